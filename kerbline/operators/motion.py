@@ -414,18 +414,18 @@ def propagate_axis(
         if closing_row:
             axis = np.array([last["prev_fx"], last["prev_fy"], last["prev_fz"]], float)
             behind[: size - 1] = _turn_axis(axis, t[::-1], omega[::-1], -omega_sign)[::-1]
-            own = (n >= last["prev_a0"]) & (n < last["n"])
-            if not has_open:
-                ahead[own] = axis
+            ahead[(n >= last["prev_a0"]) & (n < last["n"])] = axis
         if has_open:
             own = (n >= first["n"]) & (n < first["prev_a1"])
             if not closing_row:
                 behind[own] = [first["prev_fx"], first["prev_fy"], first["prev_fz"]]
         share = np.zeros(size)
         if has_open and closing_row:
-            share = np.where(np.arange(size) > 0, (t - t[0]) / max(t[-1] - t[0], 1e-9), 1.0 if not closing_row else 0.0)
+            share = (t - t[0]) / max(t[-1] - t[0], 1e-9)
         elif closing_row:
             share[:] = 1.0
+        if has_open:
+            share[0] = 1.0
         f, b = np.isfinite(ahead[:, 0]), np.isfinite(behind[:, 0])
         mix = np.where((f & b)[:, None], (1 - share[:, None]) * np.nan_to_num(ahead) + share[:, None] * np.nan_to_num(behind), np.where(f[:, None], ahead, behind))
         mix = mix / np.clip(np.linalg.norm(mix, axis=1, keepdims=True), 1e-9, None)
