@@ -13,7 +13,7 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     a = F.pow(F.sin(dlat / 2), F.lit(2)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(
         F.sin(dlon / 2), F.lit(2)
     )
-    return 2 * EARTH_R_M * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return 2 * EARTH_R_M * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))
 
 
 def equirect_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

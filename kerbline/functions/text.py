@@ -63,7 +63,8 @@ def eta_from_countdown(text: Column) -> Column:
 
 def eta_from_time(at: Column, now: Column) -> Column:
     seconds = (F.unix_millis(at) - F.unix_millis(now)) / F.lit(1000.0)
-    return F.greatest(F.lit(0), F.floor(seconds / 60 + 0.5).cast("int"))
+    minutes = F.floor(seconds / 60 + 0.5).cast("int")
+    return F.when(minutes < 0, 0).otherwise(minutes)
 
 
 def is_revenue(route: Column) -> Column:

@@ -127,8 +127,8 @@ def facility_stats(attributed: DataFrame, trips: DataFrame, facilities: DataFram
 def congestion_stats(rows: DataFrame, trips: DataFrame) -> DataFrame:
     """Statistics of the positive residual per segment, placed at its midpoint."""
     positive = rows.select(
-        "shape_id", "seg_id", "x_start", "x_end", F.greatest(F.lit(0.0), _known("d_congestion")).alias("sec")
-    ).where(F.col("sec").isNotNull())
+        "shape_id", "seg_id", "x_start", "x_end", F.greatest(F.lit(0.0), "d_congestion").alias("sec"), "d_congestion"
+    ).where(_known("d_congestion").isNotNull())
     stats = _zero_filled(positive, ["shape_id", "seg_id"], "sec", trips).where(F.col("n") > 0)
     place = rows.groupBy("shape_id", "seg_id").agg(((F.min("x_start") + F.min("x_end")) / 2 / M_PER_MI).alias("mile"))
     return place.join(stats, ["shape_id", "seg_id"])

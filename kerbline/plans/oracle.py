@@ -117,9 +117,9 @@ SELECT * EXCLUDE (rn, d2), sqrt(d2) AS perp_m, coalesce(sqrt(d2) <= {perp}, fals
 relation("matched", snap("pings", "trip_id, bus_id, route_id, shape_id, event_id, user_id, event_type, value, ts, lat, lon, true_m", "event_id"))
 relation("clocked", """
 SELECT *, (epoch_us(ts) - epoch_us(t_start)) // 1000 / 1000.0 AS t,
-       sum(CAST(on_route AS BIGINT)) OVER (PARTITION BY trip_id ORDER BY ts, event_id) - CAST(on_route AS BIGINT) AS i
+       CAST(sum(CAST(on_route AS BIGINT)) OVER (PARTITION BY trip_id ORDER BY ts, event_id) AS BIGINT) - CAST(on_route AS BIGINT) AS i
 FROM (SELECT *, min(ts) OVER (PARTITION BY trip_id) AS t_start, count(*) OVER (PARTITION BY trip_id) AS n_pings,
-        sum(CAST(on_route AS BIGINT)) OVER (PARTITION BY trip_id) AS n FROM matched)""")
+        CAST(sum(CAST(on_route AS BIGINT)) OVER (PARTITION BY trip_id) AS BIGINT) AS n FROM matched)""")
 relation("trace", "SELECT *, dist_m AS d FROM clocked WHERE on_route AND n >= 2")
 
 # Smoothing ----------------------------------------------------------------------
