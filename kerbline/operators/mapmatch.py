@@ -191,7 +191,7 @@ def choose_shape(
     """Shape of the route each trip follows forward in time.
 
     ``pings`` must not hold shape_id. Candidates rank by (forward with more than
-    60 % on route, net progress or on-route share); the smallest id wins a tie.
+    60 % on route, net progress or on-route share, to 1e-6); the smallest id wins a tie.
     Trips without a candidate of two on-route pings get ``hint``'s column value.
     """
     keys = list(keys)
@@ -205,7 +205,7 @@ def choose_shape(
     good = F.col("frac") > 0.6
     forward = F.when(good & (F.col("net_m") > 0), 1.0).otherwise(0.0)
     key = F.struct(
-        (-forward).alias("a"), (-F.when(good, F.col("net_m")).otherwise(F.col("frac"))).alias("b"),
+        (-forward).alias("a"), (-F.round(F.when(good, F.col("net_m")).otherwise(F.col("frac")), 6)).alias("b"),
         F.col("shape_id").alias("c"),
     )
     best = per.groupBy(*keys).agg(F.min_by(F.struct("shape_id", "frac", "net_m"), key).alias("m"))
@@ -238,7 +238,7 @@ def best_shape(
     return (
         both.where(allowed)
         .groupBy(*keys)
-        .agg(F.min_by(F.struct("shape_id", "median_perp_m", "coverage"), F.struct(score, F.col("rank"))).alias("m"))
+        .agg(F.min_by(F.struct("shape_id", "median_perp_m", "coverage"), F.struct(F.round(score, 6), F.col("rank"))).alias("m"))
         .select(*keys, "m.shape_id", "m.median_perp_m", "m.coverage")
     )
 

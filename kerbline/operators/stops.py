@@ -183,7 +183,8 @@ def approaching_buses(nearby: DataFrame, predictions: DataFrame, *, max_m: float
 
 def representative_trip(trips: DataFrame, by: str = "pattern_key") -> DataFrame:
     """The trip with the smallest id per pattern."""
-    return trips.where(F.col(by).isNotNull()).groupBy(by).agg(F.min_by(F.struct("trip_id", "shape_id"), "trip_id").alias("r")).select(by, "r.trip_id", "r.shape_id")
+    first = trips.where(F.col(by).isNotNull()).groupBy(by).agg(F.min_by(F.struct("trip_id", "shape_id"), "trip_id").alias("r"))
+    return first.select(by, "r.trip_id", *([] if by == "shape_id" else ["r.shape_id"]))
 
 
 def route_stops(trips: DataFrame, stop_times: DataFrame, stops: DataFrame) -> DataFrame:

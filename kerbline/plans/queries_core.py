@@ -62,7 +62,7 @@ def _route_shapes(w):
 @query("choose_shape", "trip_id shape_id frac:4 net_m:2", """
 SELECT trip_id, shape_id, frac, net_m FROM (
  SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY CASE WHEN frac > 0.6 AND net_m > 0 THEN 0 ELSE 1 END,
-   CASE WHEN frac > 0.6 THEN -net_m ELSE -frac END, shape_id) AS rn FROM (
+   round(CASE WHEN frac > 0.6 THEN -net_m ELSE -frac END, 6), shape_id) AS rn FROM (
   SELECT trip_id, p_shape AS shape_id, avg(CAST(on_route AS DOUBLE)) AS frac, sum(CAST(on_route AS INT)) AS n_on,
     arg_max(dist_m, ts) FILTER (on_route) - arg_min(dist_m, ts) FILTER (on_route) AS net_m FROM cand_fit GROUP BY 1, 2)
  WHERE n_on >= 2) WHERE rn = 1""")
@@ -72,7 +72,7 @@ def _(w):
 
 @query("best_shape", "trip_id shape_id median_perp_m:3 coverage:4", """
 SELECT trip_id, shape_id, median_perp_m, coverage FROM (
- SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY coalesce(median_perp_m, 1e300), rank) AS rn FROM (
+ SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY round(coalesce(median_perp_m, 1e9), 6), rank) AS rn FROM (
   SELECT f.trip_id, p_shape AS shape_id, r.rank, avg(CAST(on_route AS DOUBLE)) AS coverage, quantile_cont(perp_m, 0.5) FILTER (on_route) AS median_perp_m
   FROM cand_fit f JOIN (SELECT shape_id, row_number() OVER (PARTITION BY route_id ORDER BY shape_id) - 1 AS rank FROM route_shapes) r ON r.shape_id = f.p_shape
   GROUP BY 1, 2, 3) WHERE rank = 0 OR coverage > 0.5) WHERE rn = 1""")
@@ -240,7 +240,7 @@ def _(w):
 # Segments and features ------------------------------------------------------------
 
 
-@query("near_side_stops", "shape_id stop_id dist_m:3 is_near_side signal_node_id signal_gap_m:3", "SELECT * FROM near_stops")
+@query("near_side_stops", "shape_id stop_id dist_m:3 is_near_side signal_node_id:s signal_gap_m:3", "SELECT * FROM near_stops")
 def _(w):
     return w.near_stops
 

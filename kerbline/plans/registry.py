@@ -24,15 +24,31 @@ def statements() -> dict[str, str]:
 SHIFT = 1e-7
 
 
-def _columns(spec: str) -> list[tuple[str, int | None]]:
-    """``a b:3`` means column a as it is and column b rounded to 3 digits."""
+def _columns(spec: str) -> list[tuple[str, int | str | None]]:
+    """``a b:3 c:s``: a as it is, b rounded to 3 digits, c as text."""
     out = []
     for item in spec.split():
-        name, _, digits = item.partition(":")
-        out.append((name, int(digits) if digits else None))
+        name, _, how = item.partition(":")
+        out.append((name, int(how) if how.isdigit() else how or None))
     return out
 
 
+def _spark_column(name: str, how: int | str | None):
+    if how is None:
+        return F.col(name)
+    if how == "s":
+        return F.col(name).cast("string").alias(name)
+    return F.round(F.col(name).cast("double") + SHIFT, how).alias(name)
+
+
+def _sql_column(name: str, how: int | str | None) -> str:
+    if how is None:
+        return f'"{name}"'
+    if how == "s":
+        return f'CAST("{name}" AS VARCHAR) AS "{name}"'
+    return f'round(CAST("{name}" AS DOUBLE) + {SHIFT}, {how}) AS "{name}"'
+
+
 def query(name: str, columns: str, sql: str | None = None):
     """Register a plan builder that takes a Workspace and returns a DataFrame."""
     spec = _columns(columns)
@@ -40,15 +56,11 @@ def query(name: str, columns: str, sql: str | None = None):
     def register(build: Callable[[Workspace], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = build(workspace(spark, sf_dir))
-            return df.select(*[
-                F.col(c).alias(c) if d is None else F.round(F.col(c).cast("double") + SHIFT, d).alias(c) for c, d in spec
-            ])
+            return df.select(*[_spark_column(c, how) for c, how in spec])
 
         QUERIES[name] = run
         if sql is not None:
-            picked = ", ".join(
-                f'"{c}"' if d is None else f'round(CAST("{c}" AS DOUBLE) + {SHIFT}, {d}) AS "{c}"' for c, d in spec
-            )
+            picked = ", ".join(_sql_column(c, how) for c, how in spec)
             STATEMENTS[name] = f"SELECT {picked} FROM ({sql}) q"
         return build
 
