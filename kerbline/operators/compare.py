@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kerbline.constants import MPS_TO_MPH
 from kerbline.operators import delay, smooth
-from kerbline.operators.select import best_cluster, is_degenerate, seconds
+from kerbline.operators.select import best_cluster, between, is_degenerate, seconds
 from kerbline.operators.stage import stage
 
 CHUNK = 4096
@@ -65,8 +65,8 @@ def observer_bands(events: DataFrame, clocks: DataFrame, keys: Sequence[str]) ->
     """Hand-tagged delays on the shared clock; an open end stays null."""
     label = F.coalesce(F.nullif("stop_name", F.lit("")), F.nullif("note", F.lit("")), F.col("type"))
     return events.join(clocks.select(*keys, "t0"), list(keys)).select(
-        *keys, F.round(seconds(F.col("start_ts")) - seconds(F.col("t0")), 1).alias("t_start"),
-        F.round(seconds(F.col("end_ts")) - seconds(F.col("t0")), 1).alias("t_end"), F.col("type").alias("category"), label.alias("label"),
+        *keys, F.round(between(F.col("start_ts"), F.col("t0")), 1).alias("t_start"),
+        F.round(between(F.col("end_ts"), F.col("t0")), 1).alias("t_end"), F.col("type").alias("category"), label.alias("label"),
     )
 
 
@@ -83,7 +83,7 @@ def wall_clock_axis(starts: Sequence[DataFrame], keys: Sequence[str]) -> DataFra
         every = every.unionByName(more)
     first = every.groupBy(*keys).agg(F.min("start_ts").alias("t0"))
     offsets = every.groupBy(*keys, "source").agg(F.min("start_ts").alias("start_ts"))
-    return offsets.join(first, list(keys)).withColumn("offset_s", seconds(F.col("start_ts")) - seconds(F.col("t0")))
+    return offsets.join(first, list(keys)).withColumn("offset_s", between(F.col("start_ts"), F.col("t0")))
 
 
 def ground_truth_bands(observed: DataFrame, inferred: DataFrame, doors: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -28,6 +28,11 @@ def seconds(ts: Column) -> Column:
     return F.unix_micros(ts) / F.lit(1e6)
 
 
+def between(later: Column, earlier: Column) -> Column:
+    """Seconds from one timestamp to another, exact to the microsecond."""
+    return (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(1e6)
+
+
 def filter_deadhead(pings: DataFrame) -> DataFrame:
     return pings.where(~F.coalesce(F.col("route_id") == "992", F.lit(False)))
 
@@ -83,7 +88,7 @@ def pick_dense_trips(pings: DataFrame, keys: Sequence[str], min_pings: int = 300
 def ping_gaps(pings: DataFrame, keys: Sequence[str], order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
     """Seconds since the trip's ping before, null on the first."""
     seen = scan(pings, keys, list(order), ts_slice(order[0]), __p=previous(F.col(order[0])))
-    return seen.withColumn("gap_s", seconds(F.col(order[0])) - seconds(F.col("__p"))).drop("__p")
+    return seen.withColumn("gap_s", between(F.col(order[0]), F.col("__p"))).drop("__p")
 
 
 def gap_stats(pings: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -101,7 +106,7 @@ def trip_summary(pings: DataFrame, keys: Sequence[str], tie: str = "event_id") -
         F.min_by("lat", at).alias("first_lat"), F.max_by("lat", at).alias("last_lat"),
         *([] if "bus_id" in keys else [F.min("bus_id").alias("bus_id")]),
     ).withColumn("lat_span", F.col("first_lat") - F.col("last_lat")).withColumn(
-        "dur_s", seconds(F.col("last_ts")) - seconds(F.col("first_ts"))
+        "dur_s", between(F.col("last_ts"), F.col("first_ts"))
     )
 
 
@@ -114,7 +119,7 @@ def trip_index(pings: DataFrame, tz: str = LOCAL_TZ) -> DataFrame:
     return out.select(
         text.trip_uid(F.col("trip_id"), F.col("bus_id"), F.col("service_date")).alias("trip_uid"), "trip_id", "bus_id",
         F.date_format("service_date", "yyyy-MM-dd").alias("service_date"), "n_pings",
-        ((seconds(F.col("last_ts")) - seconds(F.col("first_ts"))) / 60).alias("dur_min"),
+        ((between(F.col("last_ts"), F.col("first_ts"))) / 60).alias("dur_min"),
         F.date_format(timeutil.to_local(F.col("first_ts"), tz), "yyyy-MM-dd HH:mm:ss").alias("first_local"),
     )
 
@@ -136,7 +141,7 @@ def trip_table(doors: DataFrame) -> DataFrame:
         F.min("t_lo").alias("t_lo"), F.max("t_hi").alias("t_hi"), F.sum("n").alias("n_events"), F.sum("d").alias("n_door"),
     )
     return out.withColumn("trip_key", text.trip_key(F.col("bus_id"), F.col("trip_id"), F.col("t_lo"))).withColumn(
-        "duration_s", seconds(F.col("t_hi")) - seconds(F.col("t_lo"))
+        "duration_s", between(F.col("t_hi"), F.col("t_lo"))
     )
 
 
@@ -177,7 +182,7 @@ def select_full_trips(
         marked, keys, ["ts", "event_id"], ts_slice(),
         __h=cum_sum(F.col("__hit").cast("long"), strict=True), __p=previous(F.col("ts")),
     )
-    run = run.withColumn("__in", F.col("__h") == 0).withColumn("__gap", seconds(F.col("ts")) - seconds(F.col("__p")))
+    run = run.withColumn("__in", F.col("__h") == 0).withColumn("__gap", between(F.col("ts"), F.col("__p")))
     run = stage(run, "gates")
     at = F.struct("ts", "event_id")
     inside = F.when(F.col("__in"), at)
@@ -188,7 +193,7 @@ def select_full_trips(
         F.min_by("lat", inside).alias("lat0"), F.max_by("lat", inside).alias("lat1"),
     )
     end = pings.agg(F.max("ts")).scalar()
-    dur = seconds(F.col("t1")) - seconds(F.col("t0"))
+    dur = between(F.col("t1"), F.col("t0"))
     reason = (
         F.when(F.col("n_all") < min_pings, "too_few_pings")
         .when(~F.coalesce(F.col("d0") <= origin_m, F.lit(False)), "not_starting_at_origin")
@@ -344,7 +349,7 @@ def time_clusters(pings: DataFrame, keys: Sequence[str], gap_s: float = 1800.0,
     """Runs of pings without a pause longer than ``gap_s``: cluster_no per ping."""
     return sessions(
         pings, keys, list(order), ts_slice(order[0], DAY_US),
-        lambda prev: seconds(F.col(order[0])) - seconds(prev) > gap_s, F.col(order[0]), "cluster_no",
+        lambda prev: between(F.col(order[0]), prev) > gap_s, F.col(order[0]), "cluster_no",
     )
 
 
