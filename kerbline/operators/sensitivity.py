@@ -28,7 +28,7 @@ def every_nth(clocked: DataFrame, keys: Sequence[str], levels: int = N_LEVELS) -
 
     ``clocked`` holds ping_no, the zero-based position among all pings of a trip.
     """
-    fits = F.filter(F.sequence(F.lit(0), F.lit(levels - 1)), lambda k: F.col("ping_no") % F.shiftleft(F.lit(1).cast("long"), k.cast("int")) == 0)
+    fits = F.filter(F.sequence(F.lit(0), F.lit(levels - 1)), lambda k: F.col("ping_no") % F.pow(F.lit(2.0), k).cast("long") == 0)
     return clocked.withColumn("level", F.explode(fits))
 
 

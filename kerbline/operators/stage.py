@@ -30,13 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/kerbline/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def stage(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` once and return a DataFrame that reads the written table."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kerbline/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> int:

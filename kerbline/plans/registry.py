@@ -38,7 +38,7 @@ def _spark_column(name: str, how: int | str | None):
         return F.col(name)
     if how == "s":
         return F.col(name).cast("string").alias(name)
-    return F.round(F.col(name).cast("double") + SHIFT, how).alias(name)
+    return (F.round(F.col(name).cast("double") + SHIFT, how) + 0.0).alias(name)
 
 
 def _sql_column(name: str, how: int | str | None) -> str:
@@ -46,7 +46,7 @@ def _sql_column(name: str, how: int | str | None) -> str:
         return f'"{name}"'
     if how == "s":
         return f'CAST("{name}" AS VARCHAR) AS "{name}"'
-    return f'round(CAST("{name}" AS DOUBLE) + {SHIFT}, {how}) AS "{name}"'
+    return f'round(CAST("{name}" AS DOUBLE) + {SHIFT}, {how}) + 0.0 AS "{name}"'
 
 
 def query(name: str, columns: str, sql: str | None = None):
