@@ -13,8 +13,8 @@ from kerbline.operators.intervals import salted_left_join
 from kerbline.operators.ordered import cum_max, cum_sum, following, previous, scan, whole
 from kerbline.operators.quantiles import quantiles
 
-CELL_LAT = 0.005
-CELL_LON = 0.0075
+CELL_LAT = 0.002
+CELL_LON = 0.003
 VERTICES_PER_SLICE = 512
 
 
@@ -96,18 +96,29 @@ _CAND = ("seg_idx", "ax", "ay", "bx", "by", "s0", "ds", "lat0", "lon0")
 def _nearest(candidates: Column) -> Column:
     """Closest candidate as struct(d2, seg_idx, frac, dist_m); ties take the first segment."""
 
-    def project(c: Column) -> Column:
-        px = geo.local_x(F.col("lon"), c["lat0"], c["lon0"])
-        py = geo.local_y(F.col("lat"), c["lat0"])
-        t = geo.clamp_share(px, py, c["ax"], c["ay"], c["bx"], c["by"])
-        ex = px - (c["ax"] + t * (c["bx"] - c["ax"]))
-        ey = py - (c["ay"] + t * (c["by"] - c["ay"]))
+    def place(c: Column) -> Column:
         return F.struct(
-            (ex * ex + ey * ey).alias("d2"), c["seg_idx"].alias("seg_idx"), t.alias("frac"),
-            (c["s0"] + t * c["ds"]).alias("dist_m"),
+            c["seg_idx"].alias("seg_idx"), c["s0"].alias("s0"), c["ds"].alias("ds"),
+            (geo.local_x(F.col("lon"), c["lat0"], c["lon0"]) - c["ax"]).alias("px"),
+            (geo.local_y(F.col("lat"), c["lat0"]) - c["ay"]).alias("py"),
+            (c["bx"] - c["ax"]).alias("dx"), (c["by"] - c["ay"]).alias("dy"),
         )
 
-    return F.array_min(F.transform(candidates, project))
+    def share(c: Column) -> Column:
+        zero = F.lit(0.0)
+        return F.struct(
+            *[c[n].alias(n) for n in ("seg_idx", "s0", "ds", "px", "py", "dx", "dy")],
+            geo.clamp_share(c["px"], c["py"], zero, zero, c["dx"], c["dy"]).alias("t"),
+        )
+
+    def measure(c: Column) -> Column:
+        ex, ey = c["px"] - c["t"] * c["dx"], c["py"] - c["t"] * c["dy"]
+        return F.struct(
+            (ex * ex + ey * ey).alias("d2"), c["seg_idx"].alias("seg_idx"), c["t"].alias("frac"),
+            (c["s0"] + c["t"] * c["ds"]).alias("dist_m"),
+        )
+
+    return F.array_min(F.transform(F.transform(F.transform(candidates, place), share), measure))
 
 
 def snap_to_shape(

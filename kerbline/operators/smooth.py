@@ -243,6 +243,25 @@ def _even_point(i: Column, n: int) -> Column:
     return F.struct(t.alias("t"), curve.hermite(*_piece(t)).alias("x"))
 
 
+def _bisect(passed, n: int) -> Column:
+    """Grid indices around the point where ``passed`` turns true within a piece.
+
+    struct(a, b): a is the last index not passed (or one before the piece's own),
+    b the first passed one (or one after). The curve does not decrease, so the
+    piece's samples need not be listed.
+    """
+    start = F.struct((F.col("__lo") - 1).alias("a"), (F.col("__hi") + 1).alias("b"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["a"] + acc["b"]) / 2)
+        low = F.struct(mid.alias("a"), acc["b"].alias("b"))
+        high = F.struct(acc["a"].alias("a"), mid.alias("b"))
+        return F.when(acc["b"] - acc["a"] <= 1, acc).when(passed(_even_point(mid, n)), high).otherwise(low)
+
+    steps = F.sequence(F.lit(1), F.lit(n.bit_length() + 1))
+    return F.aggregate(steps, start, halve)
+
+
 def sample_trajectory(
     pieces: DataFrame, keys: Sequence[str], *, dt: float = 1.0, n: int | None = None, rule: str = "clip",
     floor_zero: bool = False,
@@ -325,14 +344,11 @@ def last_time_at(
     crossing = cells.join(goal, ["shape_id", "__bin"]).where(
         (F.col("x") <= pos + eps) & (pos + eps < F.col("x_next"))
     )
-    own = F.when(has, F.transform(F.sequence("__lo", "__hi"), lambda i: _even_point(i, n))).otherwise(
-        F.array().cast("array<struct<t:double,x:double>>")
-    )
-    below = F.filter(own, lambda g: g["x"] <= pos + eps)
-    above = F.filter(own, lambda g: g["x"] > pos + eps)
+    crossing = crossing.withColumn("__i", F.when(has, _bisect(lambda g: g["x"] > pos + eps, n)))
+    below, above = F.col("__i")["a"], F.col("__i")["b"]
     crossing = crossing.withColumn(
-        "__a", F.coalesce(F.element_at(F.when(F.size(below) > 0, below), -1), F.col("__before"))
-    ).withColumn("__b", F.coalesce(F.element_at(F.when(F.size(above) > 0, above), 1), F.col("__after")))
+        "__a", F.when(has & (below >= F.col("__lo")), _even_point(below, n)).otherwise(F.col("__before"))
+    ).withColumn("__b", F.when(has & (above <= F.col("__hi")), _even_point(above, n)).otherwise(F.col("__after")))
     a, b = F.col("__a"), F.col("__b")
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (pos - a["x"]) / (b["x"] - a["x"])))
     found = crossing.select(
@@ -393,21 +409,14 @@ def departure_from_grid(
 ) -> DataFrame:
     """Time of the first of n even samples that has moved ``move_m``.
 
-    Pieces above the level offer their first sample, the crossing piece its
-    first sample above; no grid rows are made.
+    Each piece offers its first sample above the level; no grid rows are made.
     """
     step, lo, hi = _even_grid(n)
     marked = pieces.withColumn("__step", step).withColumn("__lo", lo).withColumn("__hi", hi)
     level = F.col("x_first") + move_m
-    own = F.transform(F.sequence("__lo", "__hi"), lambda i: _even_point(i, n))
-    first = F.filter(own, lambda g: g["x"] >= level)
-    head = F.array(_even_point(F.col("__lo"), n))
-    reached = F.when(F.col("__hi") < F.col("__lo"), None).when(F.col("x") >= level, head).when(
-        F.coalesce(F.col("x_next"), F.col("x")) >= level, first
-    )
-    return marked.groupBy(*keys).agg(
-        F.coalesce(F.min(F.get(reached, F.lit(0))["t"]), F.min("t_first")).alias("depart_s")
-    )
+    marked = marked.withColumn("__i", _bisect(lambda g: g["x"] >= level, n)["b"])
+    reached = F.when((F.col("__hi") >= F.col("__lo")) & (F.col("__i") <= F.col("__hi")), _even_point(F.col("__i"), n)["t"])
+    return marked.groupBy(*keys).agg(F.coalesce(F.min(reached), F.min("t_first")).alias("depart_s"))
 
 
 def align_departure(rows: DataFrame, departures: DataFrame, keys: Sequence[str]) -> DataFrame:

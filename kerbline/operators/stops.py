@@ -124,8 +124,8 @@ def project_on_pattern(points: DataFrame, pattern_lines: DataFrame) -> DataFrame
 
     size = F.size("line")
     steps = F.zip_with(F.slice("line", 1, F.greatest(size - 1, F.lit(0))), F.slice("line", 2, F.greatest(size - 1, F.lit(0))), step)
-    # The first of equally near steps wins.
-    best = F.aggregate(steps, F.struct(F.lit(float("inf")).alias("d2"), F.lit(None).cast("double").alias("m")), lambda acc, s: F.when(s["d2"] < acc["d2"], s).otherwise(acc))
+    # The first of equally near steps wins, to a square millimetre.
+    best = F.aggregate(steps, F.struct(F.lit(1e18).alias("d2"), F.lit(None).cast("double").alias("m")), lambda acc, s: F.when(F.round(s["d2"], 6) < F.round(acc["d2"], 6), s).otherwise(acc))
     return joined.withColumn("__b", F.when(size > 1, best)).select(
         *points.columns, F.col("__b")["m"].alias("progress_m"), F.sqrt(F.col("__b")["d2"]).alias("offset_m")
     )

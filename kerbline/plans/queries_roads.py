@@ -203,7 +203,7 @@ SELECT shape_id, seq, round(lat, 6) AS lat, round(lon, 6) AS lon, round(sum(step
   SELECT *, lag(lat) OVER w AS pl, lag(lon) OVER w AS po FROM shape_pts WINDOW w AS (PARTITION BY shape_id ORDER BY seq)))""")
 relation("line_segs", "SELECT * FROM (SELECT shape_id, seq, lat AS la, lon AS lo, cum, lead(lat) OVER w AS lb, lead(lon) OVER w AS lob FROM line_pts WINDOW w AS (PARTITION BY shape_id ORDER BY seq)) WHERE lb IS NOT NULL")
 relation("progress", """
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY d2, seq) AS rn FROM (
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(d2, 6), seq) AS rn FROM (
  SELECT event_id, shape_id, trip_id, event_type, seq, cum + f*sqrt((bx-ax)*(bx-ax)+("by"-ay)*("by"-ay)) AS progress_m, (px-ax-f*(bx-ax))*(px-ax-f*(bx-ax)) + (py-ay-f*("by"-ay))*(py-ay-f*("by"-ay)) AS d2 FROM (
   SELECT *, greatest(0.0, least(1.0, ((px-ax)*(bx-ax)+(py-ay)*("by"-ay))/((bx-ax)*(bx-ax)+("by"-ay)*("by"-ay)))) AS f FROM (
    SELECT p.event_id, p.shape_id, p.trip_id, p.event_type, s.seq, s.cum, p.lon*mx AS px, p.lat*110540.0 AS py, s.lo*mx AS ax, s.la*110540.0 AS ay, s.lob*mx AS bx, s.lb*110540.0 AS "by"
