@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kerbline.constants import MPS_TO_MPH
 from kerbline.operators import delay, smooth
+from kerbline.operators.intervals import salted_join
 from kerbline.operators.select import best_cluster, between, is_degenerate, seconds
 from kerbline.operators.stage import stage
 
@@ -110,7 +111,7 @@ def isolate_ride(
     both = stage(snap_to_shape(tries[0].unionByName(tries[1]), segments), "isolated")
     verdict = is_degenerate(both, [*keys, "window_no"])
     choice = verdict.where(~F.col("degenerate")).groupBy(*keys).agg(F.min("window_no").alias("window_no"))
-    return both.join(choice, [*keys, "window_no"], "left_semi")
+    return salted_join(both, choice, [*keys, "window_no"], F.col("event_id"), "left_semi")
 
 
 def attribution_by_distance(bands: DataFrame, pieces: DataFrame, keys: Sequence[str]) -> DataFrame:

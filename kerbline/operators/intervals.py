@@ -61,10 +61,20 @@ def point_join(
     return lhs.join(rhs, [*by, "__bin"]).where(keep).drop("__bin")
 
 
-def salted_left_join(
-    facts: DataFrame, dims: DataFrame, on: Sequence[str], spread: Column, salt: int = 8
+def salted_join(
+    facts: DataFrame, dims: DataFrame, on: Sequence[str], spread: Column, how: str = "inner", salt: int = 8
 ) -> DataFrame:
-    """Left join that splits a hot key of ``facts`` over ``salt`` tasks."""
+    """Join of rows with a table per key that splits a hot key over ``salt`` tasks.
+
+    ``spread`` is any column that varies within a key. Each row of ``dims`` is
+    copied ``salt`` times; Spark still broadcasts it when it is small enough.
+    """
     lhs = facts.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salt)))
     rhs = dims.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
-    return lhs.join(rhs, [*on, "__salt"], "left").drop("__salt")
+    return lhs.join(rhs, [*on, "__salt"], how).drop("__salt")
+
+
+def salted_left_join(
+    facts: DataFrame, dims: DataFrame, on: Sequence[str], spread: Column, salt: int = 8
+) -> DataFrame:
+    return salted_join(facts, dims, on, spread, "left", salt)

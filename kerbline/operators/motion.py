@@ -16,7 +16,7 @@ from kerbline.constants import (
 )
 from kerbline.functions import geo
 from kerbline.operators import smooth
-from kerbline.operators.intervals import point_join
+from kerbline.operators.intervals import point_join, salted_join
 from kerbline.operators.mapmatch import cumulative_distance
 from kerbline.operators.ordered import (
     asof, cum_sum, following, interpolate, islands, last_known, next_known, number_rows, previous, scan, sessions, time_slice, whole,
@@ -53,7 +53,7 @@ def segment_gaps(samples: DataFrame, keys: Sequence[str] = KEY, gap_s: float = G
     sizes = placed.groupBy(*keys, "seg_no").agg(
         F.min("t").alias("seg_first"), F.max("t").alias("seg_last"), F.count(F.lit(1)).alias("seg_size"), F.min("n").alias("seg_n0"), F.max("n").alias("seg_n1")
     )
-    return placed.join(sizes, [*keys, "seg_no"])
+    return salted_join(placed, sizes, [*keys, "seg_no"], F.col("n"))
 
 
 def sample_rate(samples: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
@@ -110,7 +110,10 @@ def lowpass(samples: DataFrame, columns: Sequence[str], cutoff: float, keys: Seq
     keys = list(keys)
     halo = 28.0 / (2 * np.pi * cutoff * np.sin(np.pi / 8)) + 1.0
     home = F.floor(F.col("t") / BLOCK_S)
-    near = F.sequence(F.floor((F.col("t") - halo) / BLOCK_S), F.floor((F.col("t") + halo) / BLOCK_S))
+    first, last = F.floor(F.col("seg_first") / BLOCK_S), F.floor(F.col("seg_last") / BLOCK_S)
+    near = F.sequence(
+        F.greatest(first, F.floor((F.col("t") - halo) / BLOCK_S)), F.least(last, F.floor((F.col("t") + halo) / BLOCK_S))
+    )
     long_enough = samples.where(F.col("seg_size") >= MIN_SEGMENT_SAMPLES)
     spread = long_enough.select(
         *keys, "seg_no", "n", "t", "hz", "seg_n0", "seg_n1", *columns, home.alias("__home"), F.explode(near).alias("__block")
@@ -160,7 +163,7 @@ def sustained_motion(samples: DataFrame, keys: Sequence[str] = KEY) -> DataFrame
     clean = stage(segment_gaps(strictly_increasing(samples, keys), keys), "motion")
     rate = sample_rate(clean, keys)
     mode = gravity_mode(clean, keys)
-    ready = stage(clean.join(rate, keys).join(mode, keys), "motion_ready")
+    ready = stage(salted_join(clean, rate.join(mode, keys), keys, F.col("n")), "motion_ready")
     low = lowpass(ready, ["ax", "ay", "az"], SUSTAINED_HZ, keys, "_lp")
     slow = lowpass(ready.where("gravity_included"), ["ax", "ay", "az"], GRAVITY_HZ, keys, "_g").select(*keys, "n", "ax_g", "ay_g", "az_g")
     spun = lowpass(ready, ["gx", "gy", "gz"], HANDLING_HZ, keys, "_lp").select(*keys, "n", "gx_lp", "gy_lp", "gz_lp")
@@ -375,7 +378,7 @@ def propagate_axis(
     """
     keys = list(keys)
     base = motion.withColumn("wx", F.radians("gy")).withColumn("wy", F.radians("gz")).withColumn("wz", F.radians("gx"))
-    rated = lowpass(base.select(*keys, "seg_no", "n", "t", "hz", "seg_n0", "seg_n1", "seg_size", "wx", "wy", "wz"), ["wx", "wy", "wz"], cutoff, keys, "_o")
+    rated = lowpass(base.select(*keys, "seg_no", "n", "t", "hz", "seg_first", "seg_last", "seg_n0", "seg_n1", "seg_size", "wx", "wy", "wz"), ["wx", "wy", "wz"], cutoff, keys, "_o")
     rated = rated.where(F.col("seg_size") >= MIN_SEGMENT_SAMPLES)
     segs = rated.select(*keys, "seg_no", "seg_n0", "seg_n1").distinct()
     owned = point_join(anchors, segs, keys, "n_mid", ("seg_n0", "seg_n1"), 32768.0, F.col("n_mid").between(F.col("seg_n0"), F.col("seg_n1")))

@@ -11,6 +11,7 @@ from kerbline.constants import (
     END_MARGIN_S, GATE_MAX_PERP_M, LOCAL_TZ, MAX_GAP_S, MAX_TRIP_S, MIN_LAT_SPAN, MIN_PINGS, ORIGIN_TOL_M, TERMINAL_TOL_M,
 )
 from kerbline.functions import text, timeutil
+from kerbline.operators.intervals import salted_join
 from kerbline.operators.mapmatch import snap_to_shape
 from kerbline.operators.ordered import cum_sum, previous, scan, sessions
 from kerbline.operators.quantiles import quantiles
@@ -70,7 +71,7 @@ def filter_accuracy(pings: DataFrame, keys: Sequence[str], max_m: float = 50.0,
     rest = [c for c in pings.columns if c not in (*keys, "t")]
     once = good.groupBy(*keys, "t").agg(F.min(F.struct(*rest)).alias("__b")).select(*keys, "t", "__b.*")
     counted = once.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_pings)
-    return once.join(counted.drop("__n"), keys, "left_semi").select(*pings.columns)
+    return salted_join(once, counted.drop("__n"), keys, F.col("t"), "left_semi").select(*pings.columns)
 
 
 def pick_dense_trips(pings: DataFrame, keys: Sequence[str], min_pings: int = 300, max_median_m: float = 60.0) -> DataFrame:
@@ -153,7 +154,7 @@ def first_hit_truncate(rows: DataFrame, keys: Sequence[str], order: Sequence[str
 
 def truncate_at_terminal(matched: DataFrame, shape_lengths: DataFrame, keys: Sequence[str], tol_m: float = TERMINAL_TOL_M) -> DataFrame:
     """Pings up to the first on-route one near the end of the shape."""
-    sized = matched.join(shape_lengths, "shape_id")
+    sized = salted_join(matched, shape_lengths, ["shape_id"], F.col("event_id"))
     hit = (F.col("dist_m") >= F.col("shape_len_m") - tol_m) & F.col("on_route")
     return first_hit_truncate(sized, keys, ["ts", "event_id"], ts_slice(), hit).drop("shape_len_m")
 
@@ -175,7 +176,7 @@ def select_full_trips(
     """
     keys = ["bus_id", "trip_id", "service_date"]
     dated = pings.withColumn("service_date", timeutil.local_date(F.col("ts"), tz))
-    matched = snap_to_shape(dated, segments, max_perp_m=max_perp_m).join(shape_lengths(segments), "shape_id", "left")
+    matched = salted_join(snap_to_shape(dated, segments, max_perp_m=max_perp_m), shape_lengths(segments), ["shape_id"], F.col("event_id"), "left")
     hit = F.coalesce((F.col("dist_m") >= F.col("shape_len_m") - terminal_m) & F.col("on_route"), F.lit(False))
     marked = stage(matched.withColumn("__hit", hit), "gated")
     run = scan(
@@ -207,7 +208,7 @@ def select_full_trips(
         .otherwise("kept")
     )
     ledger = stage(stats.withColumn("reason", reason).select(*keys, "n_all", "n_in", "reason"), "ledger")
-    kept = run.where("__in").join(ledger.where(F.col("reason") == "kept").select(*keys), keys, "left_semi")
+    kept = salted_join(run.where("__in"), ledger.where(F.col("reason") == "kept").select(*keys), keys, F.col("event_id"), "left_semi")
     return kept.select(*pings.columns, "service_date", "dist_m", "perp_m", "on_route"), ledger
 
 
@@ -275,11 +276,11 @@ def trim_stationary_ends(pings: DataFrame, keys: Sequence[str], move_m: float =
         dlon = (F.radians("lon") - F.radians(F.col(end)["lon"])) * F.cos(F.radians(F.col(end)["lat"]))
         return 6371000.0 * F.sqrt(dlat * dlat + dlon * dlon)
 
-    moved = pings.join(ends, keys).groupBy(*keys).agg(
+    moved = salted_join(pings, ends, keys, F.col(tie)).groupBy(*keys).agg(
         F.min(F.when(off("__a") > move_m, F.col("ts"))).alias("lo"), F.max(F.when(off("__b") > move_m, F.col("ts"))).alias("hi"),
         F.min("__t0").alias("t0"), F.max("__t1").alias("t1"),
     ).select(*keys, (seconds(F.coalesce("lo", "t0")) - keep_s).alias("__lo"), (seconds(F.coalesce("hi", "t1")) + keep_s).alias("__hi"))
-    return pings.join(moved, keys).where(seconds(F.col("ts")).between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
+    return salted_join(pings, moved, keys, F.col(tie)).where(seconds(F.col("ts")).between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
 
 
 def select_benchmark_trips(
@@ -357,7 +358,7 @@ def best_cluster(pings: DataFrame, rides: DataFrame, keys: Sequence[str], *, pad
     """Pings of the run that overlaps the ride window most. rides: keys, start_ts, end_ts."""
     keys = list(keys)
     at = seconds(F.col("ts"))
-    near = pings.join(rides, keys).where(
+    near = salted_join(pings, rides, keys, F.col("event_id")).where(
         (at >= seconds(F.col("start_ts")) - pad_before_s) & (at <= seconds(F.col("end_ts")) + pad_after_s)
     )
     marked = stage(time_clusters(near, keys, gap_s), "clusters")
@@ -365,7 +366,7 @@ def best_cluster(pings: DataFrame, rides: DataFrame, keys: Sequence[str], *, pad
     best = marked.groupBy(*keys, "cluster_no").agg(shared.alias("o")).groupBy(*keys).agg(
         F.min_by("cluster_no", F.struct(-F.col("o"), F.col("cluster_no"))).alias("cluster_no")
     )
-    return marked.join(best, [*keys, "cluster_no"], "left_semi")
+    return salted_join(marked, best, [*keys, "cluster_no"], F.col("event_id"), "left_semi")
 
 
 def filter_city_bbox(pings: DataFrame, lat: float, lon: float, half_lat: float, half_lon: float) -> DataFrame:

@@ -15,7 +15,7 @@ from kerbline.constants import (
 )
 from kerbline.functions import curve
 from kerbline.operators import delay, smooth
-from kerbline.operators.intervals import overlap_join, overlap_seconds
+from kerbline.operators.intervals import overlap_join, overlap_seconds, salted_join
 from kerbline.operators.ordered import cum_max, cum_sum, previous, scan, time_slice
 from kerbline.operators.quantiles import quantiles
 from kerbline.operators.stage import stage
@@ -48,7 +48,7 @@ def downsample_ladder(matched: DataFrame, *, levels: int = N_LEVELS, tie: str =
         F.floor(F.col("__us") / 7_200_000_000), __p=previous(F.col("__us")),
     )
     cadence = quantiles(gaps, LEVEL_KEYS, (F.col("__us") - F.col("__p")) / 1e6, {"cadence_s": 0.5}, width=60.0)
-    timed = clocked.join(cadence, LEVEL_KEYS, "left")
+    timed = salted_join(clocked, cadence, LEVEL_KEYS, F.col(tie), "left")
     measured = F.coalesce("cadence_s", 2.0 * F.pow(F.lit(2.0), F.col("level")))
     return timed.withColumn("bandwidth", curve.bandwidth_for_cadence(measured))
 

@@ -12,7 +12,7 @@ from kerbline.constants import (
     BANDWIDTH, DEGREE, INVERSE_EPS_M, INVERSE_SAMPLES, M_PER_MI, MAX_PERP_M, MPS_TO_MPH,
 )
 from kerbline.functions import curve, timeutil
-from kerbline.operators.intervals import bins
+from kerbline.operators.intervals import bins, salted_join
 from kerbline.operators.mapmatch import snap_to_shape
 from kerbline.operators.ordered import (
     cum_max, cum_sum, following, last_known, next_known, previous, scan, time_slice, whole,
@@ -421,7 +421,7 @@ def departure_from_grid(
 
 def align_departure(rows: DataFrame, departures: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Shift times so that every trip departs at zero."""
-    return rows.join(departures, list(keys)).withColumn("t_aligned", F.col("t") - F.col("depart_s"))
+    return salted_join(rows, departures, keys, F.col("t")).withColumn("t_aligned", F.col("t") - F.col("depart_s"))
 
 
 def compare_bandwidths(trace: DataFrame, keys: Sequence[str], bandwidths: Sequence[int]) -> DataFrame:

@@ -111,22 +111,32 @@ def project_on_pattern(points: DataFrame, pattern_lines: DataFrame) -> DataFrame
     projected on every step of its own pattern's line; adds progress_m, offset_m.
     """
     joined = salted_left_join(points, pattern_lines, ["pattern_id"], F.struct("lat", "lon"))
-    mx = M_PER_DEG * F.cos(F.radians("lat"))
-    px, py = F.col("lon") * mx, F.col("lat") * M_PER_DEG_LAT_APP
+    steps = F.size("line") - 1
+    framed = joined.withColumn("__mx", M_PER_DEG * F.cos(F.radians("lat"))).withColumn(
+        "__p", F.transform("line", lambda v: F.struct(
+            ((v["lon"] - F.col("lon")) * F.col("__mx")).alias("x"), ((v["lat"] - F.col("lat")) * M_PER_DEG_LAT_APP).alias("y"), v["cum_m"].alias("cum")
+        ))
+    )
 
     def step(a: Column, b: Column) -> Column:
-        ax, ay = a["lon"] * mx, a["lat"] * M_PER_DEG_LAT_APP
-        bx, by = b["lon"] * mx, b["lat"] * M_PER_DEG_LAT_APP
-        t = geo.clamp_share(px, py, ax, ay, bx, by)
-        ex, ey = px - (ax + t * (bx - ax)), py - (ay + t * (by - ay))
-        length = F.sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay))
-        return F.struct((ex * ex + ey * ey).alias("d2"), (a["cum_m"] + t * length).alias("m"))
-
-    size = F.size("line")
-    steps = F.zip_with(F.slice("line", 1, F.greatest(size - 1, F.lit(0))), F.slice("line", 2, F.greatest(size - 1, F.lit(0))), step)
+        return F.struct(a["x"].alias("x"), a["y"].alias("y"), a["cum"].alias("cum"), (b["x"] - a["x"]).alias("dx"), (b["y"] - a["y"]).alias("dy"))
+
+    def share(c: Column) -> Column:
+        zero = F.lit(0.0)
+        return F.struct(
+            *[c[n].alias(n) for n in ("x", "y", "cum", "dx", "dy")],
+            geo.clamp_share(-c["x"], -c["y"], zero, zero, c["dx"], c["dy"]).alias("t"),
+        )
+
+    def measure(c: Column, i: Column) -> Column:
+        ex, ey = c["x"] + c["t"] * c["dx"], c["y"] + c["t"] * c["dy"]
+        length = F.sqrt(c["dx"] * c["dx"] + c["dy"] * c["dy"])
+        return F.struct(F.round(ex * ex + ey * ey, 6).alias("near"), i.alias("i"), (ex * ex + ey * ey).alias("d2"), (c["cum"] + c["t"] * length).alias("m"))
+
+    sides = F.zip_with(F.slice("__p", 1, F.greatest(steps, F.lit(0))), F.slice("__p", 2, F.greatest(steps, F.lit(0))), step)
     # The first of equally near steps wins, to a square millimetre.
-    best = F.aggregate(steps, F.struct(F.lit(1e18).alias("d2"), F.lit(None).cast("double").alias("m")), lambda acc, s: F.when(F.round(s["d2"], 6) < F.round(acc["d2"], 6), s).otherwise(acc))
-    return joined.withColumn("__b", F.when(size > 1, best)).select(
+    best = F.array_min(F.transform(F.transform(sides, share), measure))
+    return framed.withColumn("__b", F.when(steps >= 1, best)).select(
         *points.columns, F.col("__b")["m"].alias("progress_m"), F.sqrt(F.col("__b")["d2"]).alias("offset_m")
     )
 
@@ -224,9 +234,9 @@ def simplify_shape(shape_pts: DataFrame, *, eps_m: float = SIMPLIFY_EPS_M) -> Da
     """
     first = shape_pts.groupBy("shape_id").agg(F.min_by("lat", "seq").alias("__lat0"))
     pts = shape_pts.select("shape_id", "seq", "lat", "lon").join(first, "shape_id")
-    chunk = F.floor((F.col("seq") - 1) / LINE_CHUNK)
-    both = F.array_compact(F.array(chunk, F.when((F.col("seq") - 1) % LINE_CHUNK == 0, chunk - 1)))
-    cut = pts.withColumn("chunk", F.explode(both)).where(F.col("chunk") >= 0)
+    chunk = F.floor(F.col("seq") / LINE_CHUNK)
+    both = F.array_compact(F.array(chunk, F.when(F.col("seq") % LINE_CHUNK == 0, chunk - 1)))
+    cut = pts.withColumn("chunk", F.explode(both))
 
     def thin(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
