@@ -57,6 +57,12 @@ def bearing_deg(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return F.pmod(F.degrees(F.atan2(y, x)) + 360.0, F.lit(360.0))
 
 
+def planar_bearing_deg(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Compass direction on a local plane at the middle latitude, 0 to 360."""
+    dx = (lon2 - lon1) * F.cos(F.radians((lat1 + lat2) / 2))
+    return F.pmod(F.degrees(F.atan2(dx, lat2 - lat1)) + 360.0, F.lit(360.0))
+
+
 def camera_bearing(bearing: Column) -> Column:
     """Map rotation that lays a route left to right."""
     return F.pmod(bearing - 90.0, F.lit(360.0))

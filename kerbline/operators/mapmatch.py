@@ -182,7 +182,7 @@ def shape_extent(shape_pts: DataFrame) -> DataFrame:
         F.max_by(F.struct("lat", "lon"), "seq").alias("b"),
         F.count(F.lit(1)).alias("n_vertices"),
     )
-    bearing = geo.bearing_deg(F.col("a")["lat"], F.col("a")["lon"], F.col("b")["lat"], F.col("b")["lon"])
+    bearing = geo.planar_bearing_deg(F.col("a")["lat"], F.col("a")["lon"], F.col("b")["lat"], F.col("b")["lon"])
     length = shape_segments(shape_pts).groupBy("shape_id").agg(F.max("shape_len_m").alias("length_m"))
     return ends.join(length, "shape_id", "left").select(
         "shape_id", "n_vertices", "min_lat", "max_lat", "min_lon", "max_lon", "length_m",

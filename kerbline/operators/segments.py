@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.constants import DWELL_AHEAD_M, DWELL_BACK_M, NEAR_SIDE_M
-from kerbline.functions import text
+from kerbline.functions import geo, text
 from kerbline.operators.intervals import point_join
 from kerbline.operators.ordered import asof, following, interpolate, scan
 
@@ -129,6 +129,15 @@ def positions_on_shape(points: DataFrame, shape_segments: DataFrame) -> DataFram
     return interpolate(points, corners, ["shape_id"], "dist_m", ["lat", "lon"], route_slice(), tie=["lat", "lon"])
 
 
+def heading_at(points: DataFrame, shape_segments: DataFrame) -> DataFrame:
+    """Compass direction of the shape at route distances: heading_deg."""
+    ends = ("lat_a", "lon_a", "lat_b", "lon_b")
+    starts = shape_segments.select("shape_id", F.col("s0").alias("dist_m"), "seg_idx", *ends)
+    near = asof(points, starts, ["shape_id"], "dist_m", route_slice(), list(ends), how="both", tie=["seg_idx"])
+    a, b, c, d = (F.coalesce(f"prev_{e}", f"next_{e}") for e in ends)
+    return near.select(*points.columns, geo.planar_bearing_deg(a, b, c, d).alias("heading_deg"))
+
+
 def route_features(controls: DataFrame, stops: DataFrame, shape_segments: DataFrame) -> DataFrame:
     """Controls and stops with ids that delay attributions use, labels and places."""
     ctl = controls.select(

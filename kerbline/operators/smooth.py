@@ -424,6 +424,15 @@ def align_departure(rows: DataFrame, departures: DataFrame, keys: Sequence[str])
     return salted_join(rows, departures, keys, F.col("t")).withColumn("t_aligned", F.col("t") - F.col("depart_s"))
 
 
+def trips_in_all_runs(runs: Sequence[DataFrame], exclude: Sequence[str] = ()) -> DataFrame:
+    """Trips of any run (trip_id, bus_id), without those an excluded bus drove in some run."""
+    every = runs[0].select("trip_id", "bus_id")
+    for run in runs[1:]:
+        every = every.unionByName(run.select("trip_id", "bus_id"))
+    banned = every.where(F.col("bus_id").isin(*exclude)).select("trip_id")
+    return every.select("trip_id").distinct().join(banned, "trip_id", "left_anti")
+
+
 def compare_bandwidths(trace: DataFrame, keys: Sequence[str], bandwidths: Sequence[int]) -> DataFrame:
     """Pieces of every trip for several bandwidths, keyed by ``bandwidth``."""
     many = trace.withColumn("bandwidth", F.explode(F.array(*[F.lit(int(b)) for b in bandwidths])))

@@ -41,8 +41,7 @@ def _(w):
 
 @query("shape_extent", "shape_id n_vertices min_lat:6 max_lat:6 min_lon:6 max_lon:6 length_m:3 bearing_deg:4 camera_deg:4", """
 SELECT *, CASE WHEN bearing_deg >= 90 THEN bearing_deg - 90 ELSE bearing_deg + 270 END AS camera_deg FROM (
- SELECT p.*, s.length_m, fmod(degrees(atan2(sin(radians(blon-alon))*cos(radians(blat)),
-   cos(radians(alat))*sin(radians(blat)) - sin(radians(alat))*cos(radians(blat))*cos(radians(blon-alon)))) + 360, 360) AS bearing_deg
+ SELECT p.*, s.length_m, fmod(degrees(atan2((blon-alon)*cos(radians((alat+blat)/2)), blat-alat)) + 360, 360) AS bearing_deg
  FROM (SELECT shape_id, count(*) AS n_vertices, min(lat) AS min_lat, max(lat) AS max_lat, min(lon) AS min_lon, max(lon) AS max_lon,
    arg_min(lat, seq) AS alat, arg_min(lon, seq) AS alon, arg_max(lat, seq) AS blat, arg_max(lon, seq) AS blon FROM shape_pts GROUP BY 1) p
  JOIN (SELECT shape_id, max(shape_len_m) AS length_m FROM shapes GROUP BY 1) s USING (shape_id))""")
@@ -325,6 +324,20 @@ def _(w):
     return segments.route_features(w.controls, w.stops, w.shapes)
 
 
+@query("heading_at", "shape_id stop_id heading_deg:4", """
+SELECT s.shape_id, s.stop_id, fmod(degrees(atan2((bx-ax)/(111320.0*cos(radians(lat0)))*cos(radians(lat0 + (ay+"by")/2/111320.0)), ("by"-ay)/111320.0)) + 360, 360) AS heading_deg
+FROM stops s ASOF JOIN shapes g ON g.shape_id = s.shape_id AND g.s0 <= s.dist_m""")
+def _(w):
+    return segments.heading_at(w.stops.select("shape_id", "stop_id", "dist_m"), w.shapes)
+
+
+@query("trips_in_all_runs", "trip_id", "SELECT DISTINCT trip_id FROM multi_pieces WHERE trip_id NOT IN (SELECT trip_id FROM pings WHERE bus_id = 'B3')")
+def _(w):
+    runs = [w.pieces, w.archive_pieces]
+    buses = w.pings.select("trip_id", "bus_id").distinct()
+    return smooth.trips_in_all_runs([r.select("trip_id").distinct().join(buses, "trip_id") for r in runs], exclude=["B3"])
+
+
 # Delay ------------------------------------------------------------------------------
 
 
