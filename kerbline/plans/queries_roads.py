@@ -252,7 +252,12 @@ def _(w):
     return stops.simplify_shape(w.shape_pts, eps_m=40.0)
 
 
-@query("project_stops", "stop_id dist_m:1")
+@query("project_stops", "stop_id dist_m:1", """
+SELECT stop_id, round(m, 1) AS dist_m FROM (SELECT *, row_number() OVER (PARTITION BY stop_id ORDER BY round(d2, 6), seq) AS rn FROM (
+ SELECT stop_id, seq, cum + f*sqrt((bx-ax)*(bx-ax)+("by"-ay)*("by"-ay)) AS m, (px-ax-f*(bx-ax))*(px-ax-f*(bx-ax)) + (py-ay-f*("by"-ay))*(py-ay-f*("by"-ay)) AS d2 FROM (
+  SELECT *, greatest(0.0, least(1.0, ((px-ax)*(bx-ax)+(py-ay)*("by"-ay))/((bx-ax)*(bx-ax)+("by"-ay)*("by"-ay)))) AS f FROM (
+   SELECT p.stop_id, s.seq, s.cum, p.lon*mx AS px, p.lat*110540.0 AS py, s.lo*mx AS ax, s.la*110540.0 AS ay, s.lob*mx AS bx, s.lb*110540.0 AS "by"
+   FROM (SELECT *, 111320.0*cos(radians(lat)) AS mx FROM places) p JOIN line_segs s ON s.shape_id = p.shape_id)))) WHERE rn = 1""")
 def _(w):
     lines = _lines(w)
     places = derived.stop_places(w.spark, w.sf_dir).withColumn("pattern_id", F.substring("shape_id", 4, 5).cast("int").cast("string"))

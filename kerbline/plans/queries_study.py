@@ -348,7 +348,22 @@ def _(w):
     return bands.groupBy("role").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("isolate_ride", "event_id window_no")
+def _cluster_sql(before: int, after: int) -> str:
+    return f"""
+SELECT g.* FROM (SELECT *, sum(CASE WHEN gap > 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY trip_id ORDER BY ts, event_id) AS c FROM (
+ SELECT m.*, r.start_ts, r.end_ts, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY m.trip_id ORDER BY ts, event_id)))/1e6 AS gap FROM matched m JOIN rides r ON r.trip_id = m.trip_id
+ WHERE epoch_us(ts)/1e6 BETWEEN epoch_us(start_ts)/1e6 - {before} AND epoch_us(end_ts)/1e6 + {after})) g"""
+
+
+relation("ride_wide", _cluster_sql(600, 600))
+relation("ride_strict", _cluster_sql(0, 0))
+relation("ride_both", "SELECT 0 AS window_no, * FROM ride_wide UNION ALL SELECT 1, * FROM ride_strict")
+
+
+@query("isolate_ride", "event_id window_no", """
+WITH v AS (SELECT trip_id, window_no, arg_max(dist_m, (ts, event_id)) FILTER (on_route) - arg_min(dist_m, (ts, event_id)) FILTER (on_route) AS net, avg(CAST(on_route AS DOUBLE)) AS share FROM ride_both GROUP BY 1, 2),
+k AS (SELECT trip_id, min(window_no) AS window_no FROM v WHERE NOT (coalesce(net < 500, true) OR share < 0.6) GROUP BY 1)
+SELECT b.event_id, b.window_no FROM ride_both b JOIN k ON k.trip_id = b.trip_id AND k.window_no = b.window_no""")
 def _(w):
     return compare.isolate_ride(w.pings, rides_of(w), w.shapes, TRIP, pad_before_s=600.0, pad_after_s=600.0)
 
@@ -462,7 +477,10 @@ def _(w):
     return _gps(w)
 
 
-@query("turn_events", "trip_id t_start:3 t_end:3")
+@query("turn_events", "trip_id t_start:3 t_end:3", """
+SELECT trip_id, min(t) AS t_start, max(t) AS t_end FROM (SELECT *, rn - row_number() OVER (PARTITION BY trip_id ORDER BY t) AS run FROM (
+ SELECT y.trip_id, y.t, y.yaw_dps, p.m, row_number() OVER (PARTITION BY y.trip_id ORDER BY y.t) AS rn FROM yaw y JOIN path_pieces p ON p.trip_id = y.trip_id AND p.t = y.t)
+ WHERE abs(yaw_dps) > 0.5 AND m > 3.0) GROUP BY trip_id, run HAVING max(t) - min(t) >= 2""")
 def _(w):
     return motion.turn_events(_gps(w), min_dps=0.5, min_s=2.0)
 
