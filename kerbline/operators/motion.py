@@ -26,7 +26,7 @@ from kerbline.operators.stage import stage
 
 KEY = ["trip_id"]
 SLICE_S = 600.0
-BLOCK_S = 600.0
+BLOCK_S = 1800.0
 ORDER = 4
 
 
@@ -100,44 +100,45 @@ def _zero_phase(x: np.ndarray, h: np.ndarray, open_left: bool, open_right: bool)
     return both[len(left):len(left) + len(x)]
 
 
-def lowpass(samples: DataFrame, columns: Sequence[str], cutoff: float, keys: Sequence[str] = KEY, suffix: str = "_lp") -> DataFrame:
+def lowpass(samples: DataFrame, filters: dict[str, tuple[str, float]], keys: Sequence[str] = KEY) -> DataFrame:
     """Zero-phase order-4 low-pass of columns per contiguous stretch.
 
+    ``filters`` names each new column with its source column and cutoff in Hz.
     ``samples`` comes from ``segment_gaps`` and holds hz. Stretches are filtered
-    in time blocks with a halo as long as the filter's memory (1e-10 of its
-    response), so a long recording is never one group. Short stretches give null.
+    in time blocks with a halo as long as the slowest filter's memory (1e-10 of
+    its response), so a long recording is never one group and one pass serves all
+    filters. Short stretches give null.
     """
     keys = list(keys)
-    halo = 28.0 / (2 * np.pi * cutoff * np.sin(np.pi / 8)) + 1.0
+    slowest = min(cutoff for _, cutoff in filters.values())
+    halo = 28.0 / (2 * np.pi * slowest * np.sin(np.pi / 8)) + 1.0
     home = F.floor(F.col("t") / BLOCK_S)
     first, last = F.floor(F.col("seg_first") / BLOCK_S), F.floor(F.col("seg_last") / BLOCK_S)
     near = F.sequence(
         F.greatest(first, F.floor((F.col("t") - halo) / BLOCK_S)), F.least(last, F.floor((F.col("t") + halo) / BLOCK_S))
     )
-    long_enough = samples.where(F.col("seg_size") >= MIN_SEGMENT_SAMPLES)
-    spread = long_enough.select(
-        *keys, "seg_no", "n", "t", "hz", "seg_n0", "seg_n1", *columns, home.alias("__home"), F.explode(near).alias("__block")
-    )
-    names = list(columns)
+    columns = samples.columns
+    spread = samples.withColumn("__home", home).withColumn("__block", F.explode(near))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own = (pdf["__home"] == pdf["__block"]).to_numpy()
-        if not own.any():
-            return pd.DataFrame({c: pdf[c].iloc[:0] for c in [*keys, "n"]} | {f"{c}{suffix}": np.empty(0) for c in names})
         order = np.argsort(pdf["n"].to_numpy(), kind="stable")
         pdf, own = pdf.iloc[order], own[order]
-        h = _impulse(float(pdf["hz"].iloc[0]), cutoff)
+        out = pdf.loc[own, columns].copy()
+        usable = own.any() and pdf["seg_size"].iloc[0] >= MIN_SEGMENT_SAMPLES
         open_left = pdf["n"].iloc[0] > pdf["seg_n0"].iloc[0]
         open_right = pdf["n"].iloc[-1] < pdf["seg_n1"].iloc[0]
-        out = {c: pdf.loc[own, c].to_numpy() for c in [*keys, "n"]}
-        for c in names:
-            out[f"{c}{suffix}"] = _zero_phase(pdf[c].to_numpy(float), h, open_left, open_right)[own]
-        return pd.DataFrame(out)
+        for name, (source, cutoff) in filters.items():
+            if usable:
+                h = _impulse(float(pdf["hz"].iloc[0]), cutoff)
+                out[name] = _zero_phase(pdf[source].to_numpy(float), h, open_left, open_right)[own]
+            else:
+                out[name] = np.nan
+        return out
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in samples.schema if f.name in keys]
-    schema = ", ".join([*fields, "n bigint", *[f"`{c}{suffix}` double" for c in names]])
-    done = spread.groupBy(*keys, "seg_no", "__block").applyInPandas(run, schema)
-    return samples.join(done, [*keys, "n"], "left")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in samples.schema]
+    schema = ", ".join([*fields, *[f"`{name}` double" for name in filters]])
+    return spread.groupBy(*keys, "seg_no", "__block").applyInPandas(run, schema)
 
 
 def norm(*columns: str) -> Column:
@@ -164,10 +165,10 @@ def sustained_motion(samples: DataFrame, keys: Sequence[str] = KEY) -> DataFrame
     rate = sample_rate(clean, keys)
     mode = gravity_mode(clean, keys)
     ready = stage(salted_join(clean, rate.join(mode, keys), keys, F.col("n")), "motion_ready")
-    low = lowpass(ready, ["ax", "ay", "az"], SUSTAINED_HZ, keys, "_lp")
-    slow = lowpass(ready.where("gravity_included"), ["ax", "ay", "az"], GRAVITY_HZ, keys, "_g").select(*keys, "n", "ax_g", "ay_g", "az_g")
-    spun = lowpass(ready, ["gx", "gy", "gz"], HANDLING_HZ, keys, "_lp").select(*keys, "n", "gx_lp", "gy_lp", "gz_lp")
-    joined = low.join(slow, [*keys, "n"], "left").join(spun, [*keys, "n"])
+    axes = ("ax", "ay", "az")
+    filters = {f"{c}_lp": (c, SUSTAINED_HZ) for c in axes} | {f"{c}_g": (c, GRAVITY_HZ) for c in axes}
+    filters |= {f"{c}_lp": (c, HANDLING_HZ) for c in ("gx", "gy", "gz")}
+    joined = lowpass(ready, filters, keys)
     size = F.greatest(norm("ax_g", "ay_g", "az_g"), F.lit(1e-6))
     along = sum(((F.col(f"{a}_lp") - F.col(f"{a}_g")) * F.col(f"{a}_g") / size for a in ("ax", "ay", "az")), F.lit(0.0))
     flat = joined.withColumn("__v", along).withColumns({
@@ -175,7 +176,7 @@ def sustained_motion(samples: DataFrame, keys: Sequence[str] = KEY) -> DataFrame
         for a in ("ax", "ay", "az")
     })
     flat = flat.withColumn("a_horiz", norm("sx", "sy", "sz")).withColumn("gyro_mag", norm("gx_lp", "gy_lp", "gz_lp"))
-    flat = stage(flat.drop("__v"), "sustained")
+    flat = stage(flat.drop("__v", *[f"{c}_g" for c in axes]), "sustained")
     return handling_mask(flat, keys)
 
 
@@ -378,7 +379,7 @@ def propagate_axis(
     """
     keys = list(keys)
     base = motion.withColumn("wx", F.radians("gy")).withColumn("wy", F.radians("gz")).withColumn("wz", F.radians("gx"))
-    rated = lowpass(base.select(*keys, "seg_no", "n", "t", "hz", "seg_first", "seg_last", "seg_n0", "seg_n1", "seg_size", "wx", "wy", "wz"), ["wx", "wy", "wz"], cutoff, keys, "_o")
+    rated = lowpass(base.select(*keys, "seg_no", "n", "t", "hz", "seg_first", "seg_last", "seg_n0", "seg_n1", "seg_size", "wx", "wy", "wz"), {f"{c}_o": (c, cutoff) for c in ("wx", "wy", "wz")}, keys)
     rated = rated.where(F.col("seg_size") >= MIN_SEGMENT_SAMPLES)
     segs = rated.select(*keys, "seg_no", "seg_n0", "seg_n1").distinct()
     owned = point_join(anchors, segs, keys, "n_mid", ("seg_n0", "seg_n1"), 32768.0, F.col("n_mid").between(F.col("seg_n0"), F.col("seg_n1")))

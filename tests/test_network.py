@@ -138,7 +138,7 @@ def test_lowpass_equals_direct_recursion(spark):
     old = motion.BLOCK_S
     motion.BLOCK_S = 20.0
     try:
-        got = np.array([r.ax_lp for r in motion.lowpass(ready, ["ax"], cutoff).orderBy("n").collect()])
+        got = np.array([r.ax_lp for r in motion.lowpass(ready, {"ax_lp": ("ax", cutoff)}).orderBy("n").collect()])
     finally:
         motion.BLOCK_S = old
     # Second-order recursion form of the same filter, run both ways.
