@@ -162,7 +162,7 @@ def _(w):
     return smooth.at_pings(w.trace, w.pieces, TRIP)
 
 
-@query("knot_acceleration", "trip_id k a:5", f"""
+@query("knot_acceleration", "trip_id k a:3", f"""
 SELECT trip_id, k, CASE WHEN t_next IS NOT NULL THEN {_ACC}
   ELSE (2*((3*((x-px)/(t-pt))-2*pm-m)/(t-pt)) + 6*(t-pt)*((pm+m-2*((x-px)/(t-pt)))/((t-pt)*(t-pt)))) END AS a
 FROM (SELECT *, lag(t) OVER w AS pt, lag(x) OVER w AS px, lag(m) OVER w AS pm FROM pieces WINDOW w AS (PARTITION BY trip_id ORDER BY t))""")
