@@ -80,22 +80,17 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Memo:
-    """Ids of distinct strings, kept between the blocks of a task; dropped when it grows beyond ``limit`` strings."""
+    """Ids of distinct strings, kept between the blocks of a task; beyond ``limit`` only those of the last block stay."""
 
-    def __init__(self, encode, limit: int = 600_000):
+    def __init__(self, encode, limit: int = 400_000):
         self.encode, self.limit = encode, limit
-        self._clear()
-
-    def _clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place: dict = {}
         self.ids = np.zeros(0, np.int32)
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
 
-    def lookup(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(all ids, start of each string's ids, their number)."""
-        if len(self.place) + len(strings) > self.limit:
-            self._clear()
+    def lookup(self, strings: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(all ids, start of each string's ids, their number); the strings are distinct."""
         new = [s for s in strings if s not in self.place]
         if new:
             ids, lengths = self.encode(new)
@@ -105,6 +100,11 @@ class Memo:
             self.starts = np.concatenate([self.starts, starts])
             self.lengths = np.concatenate([self.lengths, lengths])
         at = np.fromiter(map(self.place.__getitem__, strings), np.int64, len(strings))
+        if len(self.place) > self.limit:
+            self.place = dict(zip(strings, range(len(strings))))
+            self.ids, self.lengths = self.ids[ragged(self.starts[at], self.lengths[at])], self.lengths[at]
+            self.starts = np.cumsum(self.lengths) - self.lengths
+            at = np.arange(len(strings))
         return self.ids, self.starts[at], self.lengths[at]
 
 
