@@ -7,8 +7,9 @@ from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kerbline.llm import bpe, packing, quality_rules
+from kerbline.llm import bpe, packing, quality_rules, simhash
 from kerbline.llm.texts import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,5 +40,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 STATEMENTS["op3_quality_rules"] = quality_rules.SQL
 
 
+@query
+def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
 def word_vocabulary() -> str:
     return Path(public_tokenizers.path("word_bpe_49k.json")).read_text()
