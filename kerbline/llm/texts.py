@@ -29,8 +29,8 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that none holds much more than ``limit`` bytes of text; null texts become empty.
+def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that none holds much more than ``limit`` bytes of text or more than ``rows`` rows; null texts become empty.
 
     A single text above the limit is a block of its own.
     """
@@ -42,7 +42,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         start = 0
         while start < batch.num_rows:
             done = size[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(size, done + limit, side="right")))
+            stop = min(start + rows, max(start + 1, int(np.searchsorted(size, done + limit, side="right"))))
             yield batch.slice(start, stop - start)
             start = stop
 
