@@ -18,6 +18,7 @@ import math
 import os
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -95,32 +96,55 @@ def place(lengths: dict[int, int], capacity: Capacity) -> list[tuple[int, int, i
     return out
 
 
-def _encoder(vocabulary: str, mark: str = "<|startoftext|>"):
-    """Encode many strings in one call; the mark parts them."""
+#: Fixed value: how the vocabulary's tokenizer parts normalized text.
+_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte: itself where printable, else the next one from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
+def _encoder(vocabulary: str):
+    """Function from distinct strings without spaces to (all ids, ids a string), as the tokenizer encodes them.
+
+    Strings are normalized together and cut into parts; only distinct parts reach
+    the merges. Strings that may hold a special token are encoded as they are.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import regex
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(vocabulary)
-    cut = tokenizer.token_to_id(mark)
+    split, character = regex.compile(_PARTS).findall, _byte_characters()
+
+    def merged(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [[t.id for t in tokenizer.model.tokenize(p if p.isascii() and p.isprintable() else "".join(map(character.__getitem__, p.encode())))] for p in parts]
+        return np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found))
+
+    memo = Memo(merged)
 
     def encode(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids, lengths = [], np.zeros(len(strings), np.int64)
-        special = np.array(["<|" in s for s in strings])
-        ordinary = np.flatnonzero(~special)
-        for i in range(0, len(ordinary), 2000):
-            part = ordinary[i : i + 2000]
-            got = np.array(tokenizer.encode(mark + mark.join(strings[j] for j in part), add_special_tokens=False).ids, np.int32)
-            at = np.flatnonzero(got == cut)
-            lengths[part] = np.diff(np.append(at, len(got))) - 1
-            ids.append(got[got != cut])
-        flat, starts = np.concatenate([*ids, np.zeros(0, np.int32)]), np.cumsum(lengths[ordinary]) - lengths[ordinary]
-        if not special.any():
-            return flat, lengths
-        own = {int(j): np.array(tokenizer.encode(strings[j], add_special_tokens=False).ids, np.int32) for j in np.flatnonzero(special)}
-        at = dict(zip(ordinary.tolist(), starts.tolist()))
-        rows = [own[j] if j in own else flat[at[j] : at[j] + lengths[j]] for j in range(len(strings))]
-        lengths[list(own)] = [len(x) for x in own.values()]
-        return np.concatenate(rows), lengths
+        special = [i for i, s in enumerate(strings) if "<|" in s or "\0" in s]
+        plain = strings
+        if special:
+            plain = list(strings)
+            for i in special:
+                plain[i] = ""
+        parts = [split(s) for s in tokenizer.normalizer.normalize_str("\0".join(plain)).split("\0")] if plain else []
+        flat = pa.array(list(chain.from_iterable(parts)), pa.string()).dictionary_encode()
+        codes = flat.indices.to_numpy()
+        ids, starts, lengths = memo.lookup(flat.dictionary.to_pylist())
+        ends = np.concatenate([[0], np.cumsum(lengths[codes])])[np.cumsum([0] + [len(p) for p in parts])]
+        ids = ids[ragged(starts[codes], lengths[codes])]
+        if not special:
+            return ids, np.diff(ends)
+        rows = np.split(ids, ends[1:-1])
+        for i in special:
+            rows[i] = np.array(tokenizer.encode(strings[i], add_special_tokens=False).ids, np.int32)
+        return np.concatenate(rows), np.array([len(r) for r in rows], np.int64)
 
     return encode
 
