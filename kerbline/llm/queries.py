@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import bpe, html_text, langid, packing, quality_fm, quality_rules, simhash, winnow
+from kerbline.llm import bpe, html_text, langid, license_scan, packing, quality_fm, quality_rules, simhash, winnow
 from kerbline.llm.texts import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 STATEMENTS["op3_quality_rules"] = quality_rules.SQL
 
 
+@query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.edits(table(spark, sf_dir, "documents"))
