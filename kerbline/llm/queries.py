@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import bpe, html_text, langid, license_scan, packing, quality_fm, quality_rules, simhash, winnow
+from kerbline.llm import bpe, html_text, langid, license_scan, ngram_lm, packing, quality_fm, quality_rules, simhash, winnow
 from kerbline.llm.texts import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,11 @@ def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.edits(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_bloom_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
