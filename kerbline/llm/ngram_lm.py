@@ -3,7 +3,8 @@
 A count is stored as its level on a logarithmic scale: the n-gram is put into the
 filter once for every level up to its own. Asking for level 1, 2, ... until the
 filter says no gives the level back. The filter is small enough for every worker;
-a text is scored by interpolating bigram and unigram frequencies read from it.
+a text is scored by interpolating bigram and unigram frequencies read from it,
+with several weights whose results are averaged.
 Beside it, the exact add-one unigram score is computed from exact counts.
 
 Documents are tokenized once, into blocks of token codes with the block's
@@ -40,6 +41,7 @@ BLOCK_BYTES = 16_000_000
 MAX_BITS = 1 << 31
 PROBES = 4
 GROWTH = 1.3
+TRUSTS = (20.0, 2000.0, float("inf"))
 _RANGE_TOKENS = 1 << 20
 _END = np.uint64(0x9E3779B97F4A7C15)
 BLOCKS = "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, codes binary, words binary, counts binary, n_train long"
@@ -253,23 +255,33 @@ def filter_of(grams: DataFrame, bits: int, size: int) -> Filter:
     return Filter(data, bits, size)
 
 
-def probabilities(found: Filter, word: np.ndarray, sequence: np.ndarray, before: np.ndarray, total: int, distinct: int, trust: float = 20.0) -> np.ndarray:
-    """log10 probability of each token after the one before it.
+def _log_mean(parts: list[np.ndarray]) -> np.ndarray:
+    """log10 of the mean of numbers given by their log10."""
+    most = np.maximum.reduce(parts)
+    return most + np.log10(sum(10.0 ** (p - most) for p in parts) / len(parts))
 
-    A level stands for the mean of its counts. The bigram share after a word that was
-    seen c times weighs c / (c + ``trust``), the smoothed unigram share the rest.
+
+def text_scores(found: Filter, word: np.ndarray, codes: bytes, sizes: list[int], total: int, distinct: int, trusts: tuple[float, ...] = TRUSTS) -> np.ndarray:
+    """log10 probability of each text.
+
+    A level stands for the mean of its counts. After a word seen c times the bigram
+    frequency weighs c / (c + trust), the smoothed unigram frequency the rest. A
+    text's probability is the mean of what the trusts give it: copies of
+    training text are told by bigrams, new text by words.
     """
     limits = thresholds()
     counts = np.concatenate([[0.0], (limits[:-1] + limits[1:] - 1) / 2, [float(limits[-1])]])
     level = lambda gram: np.minimum(found.level(gram), len(limits))
+    sequence, before, _ = _sequence(codes, sizes)
+    starts = np.cumsum(sizes) - sizes
     single = counts[level(unigrams(word))]
     pair, back = np.unique(before << 32 | sequence, return_inverse=True)
     double = counts[level(bigrams(word[pair >> 32], word[pair & 0xFFFFFFFF]))]
     first = single[pair >> 32]
-    weight = first / (first + trust)
     share = np.minimum(double / np.maximum(first, 1), 1)
-    smooth = (single[pair & 0xFFFFFFFF] + 1) / (total + distinct + 1)
-    return np.log10(weight * share + (1 - weight) * np.minimum(smooth, 1))[back]
+    smooth = np.minimum((single[pair & 0xFFFFFFFF] + 1) / (total + distinct + 1), 1)
+    weights = [first / (first + trust) for trust in trusts]
+    return _log_mean([np.add.reduceat(np.log10(w * share + (1 - w) * smooth)[back], starts) for w in weights])
 
 
 def score(docs: DataFrame, folds: int = 7, fold: int = 2, max_bits: int = MAX_BITS) -> DataFrame:
@@ -294,11 +306,11 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, max_bits: int = MAX_BI
             word = np.frombuffer(data, "<u8")
             known = np.empty(len(word), np.int64)
             known[np.argsort(word, kind="stable")] = np.concatenate([np.frombuffer(unpack(p), "<i8") for _, p in parts])
-            sequence, before, _ = _sequence(codes, sizes)
+            sequence = _unpacked(codes)
             starts = np.cumsum(sizes) - sizes
             base = np.log10((known + 1) / (total + distinct + 1))[sequence]
-            own_score = probabilities(shared.value, word, sequence, before, total, distinct)
-            for column, values in zip(found, (ids, held, sizes, np.add.reduceat((known > 0)[sequence], starts, dtype=np.int64), np.add.reduceat(base, starts), np.add.reduceat(own_score, starts))):
+            own_score = text_scores(shared.value, word, codes, sizes, total, distinct)
+            for column, values in zip(found, (ids, held, sizes, np.add.reduceat((known > 0)[sequence], starts, dtype=np.int64), np.add.reduceat(base, starts), own_score)):
                 column.extend(values)
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
