@@ -356,26 +356,146 @@ def forward_anchors(
     )
 
 
-def _turn_axis(f: np.ndarray, t: np.ndarray, omega: np.ndarray, sign: float) -> np.ndarray:
-    """Axis after each step of rotating ``f`` along the given samples."""
-    out = np.empty((len(t) - 1, 3))
-    for k in range(len(t) - 1):
-        dt, w = abs(t[k + 1] - t[k]), omega[k]
-        if dt < 1.0 and np.isfinite(w).all():
-            f = f + np.cross(-sign * w, f) * dt
-            f = f / max(np.linalg.norm(f), 1e-9)
-        out[k] = f
+AXIS_BLOCK = 4096
+_AXIS = ["fx", "fy", "fz"]
+_BEHIND = ["bx", "by", "bz"]
+
+
+def _small_turns(rate: np.ndarray, seconds: np.ndarray) -> np.ndarray:
+    """Matrices that turn a direction against ``rate`` for the given times; none over gaps or unknown rates."""
+    known = np.isfinite(rate).all(1) & (seconds < 1.0)
+    x, y, z = (np.where(known[:, None], -rate * seconds[:, None], 0.0)).T
+    one = np.ones_like(x)
+    return np.stack([np.stack([one, -z, y], 1), np.stack([z, one, -x], 1), np.stack([-y, x, one], 1)], 1)
+
+
+def _running_products(turns: np.ndarray) -> np.ndarray:
+    """turns[k] @ ... @ turns[0] for every k, by doubling."""
+    out, reach = turns.copy(), 1
+    while reach < len(out):
+        out[reach:] = out[reach:] @ out[:-reach]
+        reach *= 2
+    return out
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.clip(np.linalg.norm(rows, axis=-1, keepdims=True), 1e-9, None)
+
+
+class _AxisBlock:
+    """Samples of one block with the turns between them and the anchors that reach into it."""
+
+    def __init__(self, rows: pd.DataFrame, sign: float):
+        rows = rows.sort_values(["kind", "n"])
+        near = rows[rows["kind"] == 0]
+        block = near["block"].iloc[0]
+        own = (near["n"] // AXIS_BLOCK == block).to_numpy()
+        t, rate = near["t"].to_numpy(), near[["wx", "wy", "wz"]].to_numpy(float)
+        gaps = np.diff(t)
+        ahead = _small_turns(sign * rate, np.append(gaps, 9.0))
+        behind = _small_turns(-sign * rate, np.append(9.0, gaps))
+        self.last_open = not own[-1]  # a sample follows the block's last one
+        self.n, self.t, self.ahead, self.behind = near["n"].to_numpy()[own], t[own], ahead[own], behind[own]
+        anchors = rows[rows["kind"] == 1]
+        self.windows = list(zip(anchors["n"], anchors["a0"], anchors["a1"], anchors[_AXIS].to_numpy(float)))
+        self.marks = [(int(np.searchsorted(self.n, n)), f) for n, _, _, f in self.windows if n in self.n]
+
+    def forward(self, start: np.ndarray) -> np.ndarray:
+        """Direction after each sample's turn, from the anchor before it or from ``start``."""
+        out = np.full((len(self.n), 3), np.nan)
+        cuts = [(0, start), *self.marks]
+        for (a, f), b in zip(cuts, [*[c for c, _ in self.marks], len(self.n)]):
+            if b > a:
+                out[a:b] = _unit(_running_products(self.ahead[a:b]) @ f)
+        return out
+
+    def backward(self, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(direction at each sample from the anchor after it or from ``end``, direction handed to the block before)."""
+        out = np.full((len(self.n) + 1, 3), np.nan)
+        cuts = [*self.marks, (len(self.n), end)]
+        for (b, f), a in zip(cuts, [0, *[c + 1 for c, _ in self.marks]]):
+            # row k + 1 of out belongs to sample k; the turn at a sample leads to the one before
+            if b == len(self.n):
+                out[b] = f
+                b -= 1
+            if b >= a:
+                turned = _running_products(self.behind[a : b + 1][::-1]) @ f
+                out[a : b + 1] = _unit(turned)[::-1]
+        return out[1:], out[0]
+
+
+def _block_edges(rows: pd.DataFrame, keys: list[str], sign: float) -> pd.DataFrame:
+    """What a block does to a direction that passes through it, or hands on from its own anchors."""
+    block = _AxisBlock(rows, sign)
+    nothing = np.full(3, np.nan)
+    row = rows[[*keys, "seg_no", "block"]].iloc[:1].copy()
+    row["own"] = bool(block.marks)
+    row["forward"] = [(block.forward(nothing)[-1] if block.marks else _running_products(block.ahead)[-1].ravel()).tolist()]
+    row["backward"] = [(block.backward(nothing)[1] if block.marks else _running_products(block.behind[::-1])[-1].ravel()).tolist()]
+    row["t0"], row["t1"] = (block.t[block.marks[-1][0]], block.t[block.marks[0][0]]) if block.marks else (np.nan, np.nan)
+    return row
+
+
+def _block_carries(rows: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """Directions and anchor times that enter each block of a recording from both sides; one row a block."""
+    rows = rows.sort_values("block").reset_index(drop=True)
+
+    def pass_on(order, values: str, time: str):
+        held, at, out = np.full(3, np.nan), np.nan, {}
+        for k in order:
+            out[k] = (held, at)
+            edge = np.array(rows.at[k, values], float)
+            if rows.at[k, "own"]:
+                held, at = edge, rows.at[k, time]
+            else:
+                held = _unit(edge.reshape(3, 3) @ held)
+        return [out[k] for k in rows.index]
+
+    enter, leave = pass_on(rows.index, "forward", "t0"), pass_on(rows.index[::-1], "backward", "t1")
+    out = rows[[*keys, "seg_no", "block"]].copy()
+    for names, values in ((_AXIS, enter), (_BEHIND, leave)):
+        out[names] = np.array([v for v, _ in values])
+    out["t0"], out["t1"] = [at for _, at in enter], [at for _, at in leave]
     return out
 
 
+def _block_axes(rows: pd.DataFrame, keys: list[str], sign: float) -> pd.DataFrame:
+    """Blended direction at each sample of a block that an anchor reaches."""
+    block = _AxisBlock(rows, sign)
+    carry = rows[rows["kind"] == 2].iloc[0]
+    n, t = block.n, block.t
+    ahead = block.forward(carry[_AXIS].to_numpy(float))
+    behind, _ = block.backward(carry[_BEHIND].to_numpy(float))
+    if not block.last_open:
+        ahead[-1] = np.nan
+    for mark, a0, a1, f in block.windows:
+        ahead[(n >= a0) & (n < mark)] = f
+        inside = (n >= mark) & (n < a1)
+        ahead[inside & np.isnan(ahead[:, 0])] = f
+        behind[inside & np.isnan(behind[:, 0])] = f
+    centres = np.array([carry["t0"], *[t[k] for k, _ in block.marks], carry["t1"]])
+    at = np.searchsorted(centres[1:-1], t)  # anchors of the block before each sample
+    low, high = centres[at], centres[at + 1]
+    later = np.where(np.isnan(low), 1.0, np.where(np.isnan(high), 0.0, (t - low) / np.clip(high - low, 1e-9, None)))
+    later[[k for k, _ in block.marks]] = 1.0
+    later = np.where(np.isnan(ahead[:, 0]), 1.0, np.where(np.isnan(behind[:, 0]), 0.0, later))[:, None]
+    axis = _unit(np.where(later < 1, (1 - later) * np.nan_to_num(ahead), 0) + np.where(later > 0, later * np.nan_to_num(behind), 0))
+    seen = np.isfinite(ahead[:, 0]) | np.isfinite(behind[:, 0])
+    out = rows[rows["kind"] == 0]
+    out = out[out["n"] // AXIS_BLOCK == out["block"]].sort_values("n")[[*keys, "n"]].copy()
+    out[["ux", "uy", "uz"]] = axis
+    return out[seen]
+
+
 def propagate_axis(
     motion: DataFrame, anchors: DataFrame, keys: Sequence[str] = KEY, *, cutoff: float = SUSTAINED_HZ, omega_sign: float = 1.0
 ) -> DataFrame:
-    """Forward axis ux, uy, uz at every sample of a stretch that has an anchor.
+    """Forward axis ux, uy, uz at every sample of a contiguous recording that has an anchor.
 
-    Each group is the stretch between two neighbouring anchors of one contiguous
-    recording; the axis is turned by the gyroscope from both sides and blended
-    by time.
+    The axis is turned by the gyroscope from the anchors on both sides and blended
+    by time. A turn is a matrix, so a block of samples is one product: blocks are
+    reduced to it, one row a block is chained per recording, and each
+    block then places its own samples from the directions that enter it.
     """
     keys = list(keys)
     base = motion.withColumn("wx", F.radians("gy")).withColumn("wy", F.radians("gz")).withColumn("wz", F.radians("gx"))
@@ -383,63 +503,25 @@ def propagate_axis(
     rated = rated.where(F.col("seg_size") >= MIN_SEGMENT_SAMPLES)
     segs = rated.select(*keys, "seg_no", "seg_n0", "seg_n1").distinct()
     owned = point_join(anchors, segs, keys, "n_mid", ("seg_n0", "seg_n1"), 32768.0, F.col("n_mid").between(F.col("seg_n0"), F.col("seg_n1")))
-    marks = owned.select(*keys, "seg_no", F.col("n_mid").alias("n"), F.col("n0").alias("a0"), F.col("n1").alias("a1"), "fx", "fy", "fz")
-    values = ["a0", "a1", "fx", "fy", "fz"]
-    placed = asof(
-        rated.select(*keys, "seg_no", "n", "t", "wx_o", "wy_o", "wz_o"), marks, [*keys, "seg_no"], "n", F.floor(F.col("n") / 32768), values, how="both"
-    )
-    # At an anchor's middle both sides name the same anchor; it opens the stretch after it.
-    strict = F.col("prev_n").isNotNull() & (F.col("prev_n") == F.col("n"))
-    placed = placed.where(F.col("prev_n").isNotNull() | F.col("next_n").isNotNull()).withColumn("at_mid", strict)
-    placed = stage(placed.withColumn("stretch", F.coalesce("prev_n", F.lit(-1).cast("long"))), "stretches")
-    # The sample in an anchor's middle is also the last one of the stretch before.
-    ends = marks.select(*keys, "seg_no", F.col("n").alias("n"))
-    tail = scan(ends, [*keys, "seg_no"], ["n"], F.floor(F.col("n") / 32768), stretch=previous(F.col("n"))).withColumn(
-        "stretch", F.coalesce("stretch", F.lit(-1).cast("long"))
-    )
-    closing = placed.where("at_mid").drop("stretch").join(tail, [*keys, "seg_no", "n"]).withColumn("closing", F.lit(True))
-    body = placed.withColumn("closing", F.lit(False))
-    both = body.unionByName(closing.select(*body.columns))
-
-    def turn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n").reset_index(drop=True)
-        closing_row = bool(pdf["closing"].iloc[-1])
-        t, omega = pdf["t"].to_numpy(), pdf[["wx_o", "wy_o", "wz_o"]].to_numpy(float)
-        n = pdf["n"].to_numpy()
-        size = len(pdf)
-        ahead, behind = np.full((size, 3), np.nan), np.full((size, 3), np.nan)
-        first, last = pdf.iloc[0], pdf.iloc[-1]
-        has_open = bool(first["at_mid"]) and not bool(first["closing"])
-        if has_open:
-            axis = np.array([first["prev_fx"], first["prev_fy"], first["prev_fz"]], float)
-            ahead[:size - 1] = _turn_axis(axis, t, omega, omega_sign)
-            if size == 1:
-                ahead[0] = axis
-        if closing_row:
-            axis = np.array([last["prev_fx"], last["prev_fy"], last["prev_fz"]], float)
-            behind[: size - 1] = _turn_axis(axis, t[::-1], omega[::-1], -omega_sign)[::-1]
-            ahead[(n >= last["prev_a0"]) & (n < last["n"])] = axis
-        if has_open:
-            own = (n >= first["n"]) & (n < first["prev_a1"])
-            if not closing_row:
-                behind[own] = [first["prev_fx"], first["prev_fy"], first["prev_fz"]]
-        share = np.zeros(size)
-        if has_open and closing_row:
-            share = (t - t[0]) / max(t[-1] - t[0], 1e-9)
-        elif closing_row:
-            share[:] = 1.0
-        if has_open:
-            share[0] = 1.0
-        f, b = np.isfinite(ahead[:, 0]), np.isfinite(behind[:, 0])
-        mix = np.where((f & b)[:, None], (1 - share[:, None]) * np.nan_to_num(ahead) + share[:, None] * np.nan_to_num(behind), np.where(f[:, None], ahead, behind))
-        mix = mix / np.clip(np.linalg.norm(mix, axis=1, keepdims=True), 1e-9, None)
-        out = pdf[[*keys, "n"]].copy()
-        out["ux"], out["uy"], out["uz"] = mix[:, 0], mix[:, 1], mix[:, 2]
-        keep = ~pdf["closing"].to_numpy(bool) & np.isfinite(mix[:, 0])
-        return out[keep]
-
+    block = F.floor(F.col("n") / AXIS_BLOCK)
+    beside = F.array_compact(F.array(block, F.when(F.col("n") % AXIS_BLOCK == 0, block - 1), F.when(F.col("n") % AXIS_BLOCK == AXIS_BLOCK - 1, block + 1)))
+    samples = rated.select(*keys, "seg_no", "n", "t", F.col("wx_o").alias("wx"), F.col("wy_o").alias("wy"), F.col("wz_o").alias("wz"), F.explode(beside).alias("block"))
+    reached = F.sequence(F.floor(F.least("n0", "n_mid") / AXIS_BLOCK), F.floor(F.greatest(F.col("n1") - 1, F.col("n_mid")) / AXIS_BLOCK))
+    marks = owned.select(*keys, "seg_no", F.col("n_mid").alias("n"), F.col("n0").alias("a0"), F.col("n1").alias("a1"), *_AXIS, F.explode(reached).alias("block"))
+    # neighbours of a recording's first or last block are no blocks of it
+    held = samples.where(block == F.col("block")).select(*keys, "seg_no", "block").distinct()
+    parts = samples.withColumn("kind", F.lit(0)).unionByName(marks.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    parts = stage(parts.join(held, [*keys, "seg_no", "block"], "left_semi"), "axis_blocks")
+    group = [*keys, "seg_no", "block"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in motion.schema if f.name in keys)
-    return both.groupBy(*keys, "seg_no", "stretch").applyInPandas(turn, f"{fields}, n bigint, ux double, uy double, uz double")
+    whole = f"{fields}, seg_no {parts.schema['seg_no'].dataType.simpleString()}, block bigint"
+    edges = parts.groupBy(*group).applyInPandas(
+        lambda rows: _block_edges(rows, keys, omega_sign), f"{whole}, own boolean, forward array<double>, backward array<double>, t0 double, t1 double"
+    )
+    ways = ", ".join(f"{c} double" for c in (*_AXIS, *_BEHIND, "t0", "t1"))
+    carries = edges.groupBy(*keys, "seg_no").applyInPandas(lambda rows: _block_carries(rows, keys), f"{whole}, {ways}")
+    both = parts.unionByName(carries.withColumn("kind", F.lit(2)), allowMissingColumns=True)
+    return both.groupBy(*group).applyInPandas(lambda rows: _block_axes(rows, keys, omega_sign), f"{fields}, n bigint, ux double, uy double, uz double")
 
 
 def split_acceleration(motion: DataFrame, axis: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
