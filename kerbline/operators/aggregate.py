@@ -95,15 +95,17 @@ def _zero_filled(per_trip: DataFrame, by: Sequence[str], value: str, trips: Data
     by = list(by)
     x = F.col(value)
     sums = per_trip.groupBy(*by).agg(
-        F.sum(x).alias("total_s"), F.sum(x * x).alias("__sq"), F.count(F.lit(1)).alias("__rows"),
+        F.sum(x).alias("total_s"), F.avg(x).alias("__mean"), F.var_pop(x).alias("__var"), F.count(F.lit(1)).alias("__rows"),
         F.sum((x > 0).cast("long")).alias("n"),
     )
     sized = sums.join(trips.select("shape_id", "n_trips"), "shape_id")
     zeros = sized.select(*by, (F.col("n_trips") - F.col("__rows")).alias("n"))
     spread = quantiles(per_trip, by, x, QUARTILES, zeros=zeros)
     mean = F.col("total_s") / F.col("n_trips")
+    # rows and counted zeros are two groups: their own spread and that of their means
+    share = F.col("__rows") / F.col("n_trips")
     out = sized.join(spread, by).withColumn("mean_s", mean).withColumn(
-        "std_s", F.sqrt(F.greatest(F.lit(0.0), F.col("__sq") / F.col("n_trips") - mean * mean))
+        "std_s", F.sqrt(share * F.col("__var") + share * (1 - share) * F.col("__mean") * F.col("__mean"))
     )
     return out.withColumn("buffer_s", F.greatest(F.lit(0.0), F.col("p95_s") - F.col("mean_s"))).select(
         *by, "n_trips", "n", "total_s", "mean_s", "std_s", "median_s", "q25_s", "q75_s", "p95_s", "buffer_s"
@@ -210,12 +212,13 @@ def facility_lookup(features: DataFrame, stats: DataFrame, min_p95_s: float = 30
     )
 
 
-def flag_referenced(features: DataFrame, delays: DataFrame) -> DataFrame:
-    """Features that a delay of the same trip's shape refers to by its trailing digits."""
-    wanted = delays.select("shape_id", text.trailing_digits(F.col("facility_id")).alias("__d")).where(F.col("__d").isNotNull()).distinct()
-    marked = features.withColumn("__d", text.trailing_digits(F.col("facility_id")))
-    return marked.join(wanted.withColumn("__hit", F.lit(True)), ["shape_id", "__d"], "left").select(
-        *features.columns, F.coalesce("__hit", F.lit(False)).alias("attributed")
+def flag_referenced(features: DataFrame, delays: DataFrame, trips: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Features of each trip's shape, flagged where a delay of that trip refers to them by its trailing digits."""
+    keys = list(keys)
+    each = trips.select(*keys, "shape_id").distinct().join(features, "shape_id").withColumn("__d", text.trailing_digits(F.col("facility_id")))
+    wanted = delays.select(*keys, "shape_id", text.trailing_digits(F.col("facility_id")).alias("__d")).where(F.col("__d").isNotNull()).distinct()
+    return each.join(wanted.withColumn("__hit", F.lit(True)), [*keys, "shape_id", "__d"], "left").select(
+        *keys, *features.columns, F.coalesce("__hit", F.lit(False)).alias("attributed")
     )
 
 

@@ -221,18 +221,18 @@ def _(w):
 
 
 @query("asof_backward", "event_id prev_t:3 prev_d:2", """
-SELECT b.event_id, a.t AS prev_t, a.d AS prev_d FROM clocked b ASOF LEFT JOIN (SELECT trip_id, t, d FROM trace WHERE i % 3 = 0) a ON a.trip_id = b.trip_id AND a.t <= b.t""")
+SELECT b.event_id, a.t AS prev_t, a.d AS prev_d FROM clocked b ASOF LEFT JOIN (SELECT trip_id, t + 7.25 AS t, d FROM trace) a ON a.trip_id = b.trip_id AND a.t <= b.t""")
 def _(w):
-    right = w.trace.where(F.col("i") % 3 == 0).select("trip_id", "t", "d")
+    right = w.trace.select("trip_id", (F.col("t") + 7.25).alias("t"), "d")
     return asof(w.clocked.select("trip_id", "t", "event_id"), right, TRIP, "t", time_slice("t"), ["d"])
 
 
 @query("interp_lookup", "event_id d:3", """
 SELECT b.event_id, CASE WHEN p.t IS NULL THEN q.d WHEN q.t IS NULL THEN p.d WHEN q.t > p.t THEN p.d + (b.t-p.t)/(q.t-p.t)*(q.d-p.d) ELSE p.d END AS d
-FROM clocked b ASOF LEFT JOIN (SELECT trip_id, t, d FROM trace WHERE i % 3 = 0) p ON p.trip_id = b.trip_id AND p.t <= b.t
-ASOF LEFT JOIN (SELECT trip_id, t, d FROM trace WHERE i % 3 = 0) q ON q.trip_id = b.trip_id AND q.t >= b.t""")
+FROM clocked b ASOF LEFT JOIN (SELECT trip_id, t + 7.25 AS t, d FROM trace) p ON p.trip_id = b.trip_id AND p.t <= b.t
+ASOF LEFT JOIN (SELECT trip_id, t + 7.25 AS t, d FROM trace) q ON q.trip_id = b.trip_id AND q.t >= b.t""")
 def _(w):
-    right = w.trace.where(F.col("i") % 3 == 0).select("trip_id", "t", "d")
+    right = w.trace.select("trip_id", (F.col("t") + 7.25).alias("t"), "d")
     return interpolate(w.clocked.select("trip_id", "t", "event_id"), right, TRIP, "t", ["d"], time_slice("t"), tie=["d"])
 
 
@@ -576,11 +576,12 @@ def _(w):
     return aggregate.facility_lookup(segments.route_features(w.controls, w.stops, w.shapes), _stats(w))
 
 
-@query("flag_attributed", "shape_id facility_id attributed", r"""
-SELECT f.shape_id, f.facility_id, EXISTS (SELECT 1 FROM attributed a WHERE a.shape_id = f.shape_id AND a.facility_id IS NOT NULL
-  AND regexp_extract(a.facility_id, '(\d+)\D*$', 1) = regexp_extract(f.facility_id, '(\d+)\D*$', 1)) AS attributed FROM features f""")
+@query("flag_attributed", "trip_id shape_id facility_id attributed", r"""
+SELECT t.trip_id, f.shape_id, f.facility_id, EXISTS (SELECT 1 FROM attributed a WHERE a.trip_id = t.trip_id AND a.shape_id = f.shape_id AND a.facility_id IS NOT NULL
+  AND regexp_extract(a.facility_id, '(\d+)\D*$', 1) = regexp_extract(f.facility_id, '(\d+)\D*$', 1)) AS attributed
+FROM features f JOIN (SELECT DISTINCT trip_id, shape_id FROM pieces) t ON t.shape_id = f.shape_id""")
 def _(w):
-    return aggregate.flag_referenced(segments.route_features(w.controls, w.stops, w.shapes), w.attributed)
+    return aggregate.flag_referenced(segments.route_features(w.controls, w.stops, w.shapes), w.attributed, w.pieces, TRIP)
 
 
 @query("ping_density", "route_id cx cy n", """

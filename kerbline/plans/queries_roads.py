@@ -163,12 +163,11 @@ def _(w):
 
 relation("places", """
 SELECT shape_id, stop_id, name, dist_m, stop_seq, 42.02 - 0.006*(dist_m/668.0) AS lat, -87.67 + 0.02*(g % 5) + 0.0015 + 0.00001*(g % 9) AS lon FROM (SELECT *, CAST(stop_id AS BIGINT)//1000 AS g FROM stops)""")
-relation("near_pts", "SELECT event_id, lat + CASE WHEN event_id % 50 = 0 THEN 0.35 ELSE 0.0 END AS lat, lon FROM pings WHERE event_type = 'view'")
+relation("near_pts", "SELECT event_id, lat + CASE WHEN event_id % 50 = 0 THEN 0.35 ELSE 0.0 END AS lat, lon FROM pings")
 
 
 def _points(w):
-    rows = w.pings.where(F.col("event_type") == "view")
-    return rows.select(F.col("event_id").alias("point_id"), (F.col("lat") + F.when(F.col("event_id") % 50 == 0, 0.35).otherwise(0.0)).alias("lat"), "lon")
+    return w.pings.select(F.col("event_id").alias("point_id"), (F.col("lat") + F.when(F.col("event_id") % 50 == 0, 0.35).otherwise(0.0)).alias("lat"), "lon")
 
 
 @query("nearest_stops", "point_id rank dist_m:3", """

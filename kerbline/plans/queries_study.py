@@ -59,9 +59,9 @@ def _clock(w) -> DataFrame:
     return w.clocked.groupBy("trip_id").agg(F.min("t_start").alias("t_start"))
 
 
-@query("downsample_ladder", "trip_id level event_id t:3 bandwidth cadence_s:s", "SELECT * REPLACE (CAST(round(cadence_s, 3) AS VARCHAR) AS cadence_s) FROM ladder WHERE level <= 3")
+@query("downsample_ladder", "trip_id level event_id t:3 bandwidth cadence_s:s", "SELECT * REPLACE (CAST(round(cadence_s, 3) AS VARCHAR) AS cadence_s) FROM ladder")
 def _(w):
-    return _levels(w).ladder.where("level <= 3").withColumn("cadence_s", F.round("cadence_s", 3))
+    return _levels(w).ladder.withColumn("cadence_s", F.round("cadence_s", 3))
 
 
 @query("every_nth", "trip_id level n", "SELECT trip_id, level, count(*) AS n FROM laddered GROUP BY 1, 2")
@@ -226,9 +226,9 @@ def _(w):
     return sensitivity.per_trip_metrics(_components(w))
 
 
-@query("complete_trips", "trip_id", "SELECT trip_id FROM components WHERE level <= 4 GROUP BY 1 HAVING count(DISTINCT level) = 5")
+@query("complete_trips", "trip_id", "SELECT trip_id FROM components GROUP BY 1 HAVING count(DISTINCT level) = 8")
 def _(w):
-    return sensitivity.complete_trips(_components(w).where("level <= 4"), 5)
+    return sensitivity.complete_trips(_components(w), 8)
 
 
 @query("iqr_by_level", "level q25:3 median:3 q75:3", """
