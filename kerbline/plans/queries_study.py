@@ -621,14 +621,14 @@ def _(w):
     end = w.samples.groupBy(F.lit("~end").alias("trip_id")).agg(F.max("t").alias("t")).select(
         "trip_id", F.timestamp_millis(F.lit(1704110400000 + 86_400_000) + F.floor(F.col("t") * 1000)).alias("ts"), "t", F.lit(0.0).alias("x"), F.lit(60.0).alias("v_mph")
     )
-    return drained(w, rows.unionByName(end), live.live_slow_events)
+    return drained(w, rows.unionByName(end), lambda s: live.live_slow_events(s, keys=["trip_id"]))
 
 
 @query("stream_stop_after_terminal", "event_id", "SELECT event_id FROM gate_rows WHERE before = 0")
 def _(w):
     from kerbline.operators.mapmatch import snap_to_shape
 
-    matched = stage(snap_to_shape(w.pings.select("trip_id", "shape_id", "event_id", "ts", "lat", "lon"), w.shapes, max_perp_m=80.0), "stream_matched")
+    matched = stage(snap_to_shape(w.pings.select("trip_id", "bus_id", "shape_id", "event_id", "ts", "lat", "lon"), w.shapes, max_perp_m=80.0), "stream_matched")
     lengths = stage(select.shape_lengths(w.shapes), "lengths")
     return drained(w, matched, lambda s: live.stop_after_terminal(s, lengths, tol_m=4000.0))
 

@@ -184,12 +184,54 @@ def test_stream_slow_events_equal_batch(products):
     at = F.timestamp_millis(F.lit(1704110400000) + F.floor(F.col("t") * 1000))
     rows = products.samples.select("trip_id", at.alias("ts"), "t", "x", "v_mph")
     end = rows.limit(1).select(F.lit("~end").alias("trip_id"), (F.col("ts") + F.expr("interval 2 days")).alias("ts"), "t", "x", F.lit(60.0).alias("v_mph"))
-    got = drained(products, rows.unionByName(end), live.live_slow_events)
+    got = drained(products, rows.unionByName(end), lambda s: live.live_slow_events(s, keys=["trip_id"]))
     want = products.events
     cols = ["trip_id", "t_start", "t_end", "x_start", "x_end", "min_v_mph"]
     assert got.count() == want.count() and got.select(cols).exceptAll(want.select(cols)).count() == 0
 
 
+def streamed(spark, folder, batches, build):
+    """Feed each batch as a file of its own, one per trigger."""
+    import os
+    import time
+
+    live.use_keyed_state(spark)
+    for k, rows in enumerate(batches):
+        rows.coalesce(1).write.parquet(str(folder / f"part{k}"))
+        (made,) = [f for f in os.listdir(folder / f"part{k}") if f.endswith(".parquet")]
+        os.makedirs(folder / "in", exist_ok=True)
+        os.link(folder / f"part{k}" / made, folder / "in" / f"{k}.parquet")
+        os.utime(folder / "in" / f"{k}.parquet", (time.time() - 100 + k, time.time() - 100 + k))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batches[0].schema)
+    plan = build(live.stream_pings(spark, str(folder / "in"), schema, 1))
+    job = plan.writeStream.format("parquet").option("checkpointLocation", str(folder / "marks")).option("path", str(folder / "out")).trigger(availableNow=True).start()
+    job.awaitTermination()
+    return spark.read.schema(plan.schema).parquet(str(folder / "out"))
+
+
+def test_late_batches_do_not_change_slow_events(spark, products, tmp_path):
+    at = F.timestamp_millis(F.lit(1704110400000) + F.floor(F.col("t") * 1000))
+    rows = products.samples.where("t < 250").select("trip_id", at.alias("ts"), "t", "x", "v_mph").cache()
+    late = (F.floor(F.col("t") / 20) % 2) == 1
+    end = rows.limit(1).select(F.lit("~end").alias("trip_id"), (F.col("ts") + F.expr("interval 2 days")).alias("ts"), "t", "x", F.lit(60.0).alias("v_mph"))
+    last = end.withColumn("ts", F.col("ts") + F.expr("interval 1 hour"))
+    cols = ["trip_id", "t_start", "t_end", "x_start", "x_end", "min_v_mph"]
+    whole = streamed(spark, tmp_path / "a", [rows, end, last], lambda s: live.live_slow_events(s, keys=["trip_id"], watermark="400 seconds")).select(cols)
+    split = streamed(spark, tmp_path / "b", [rows.where(~late), rows.where(late), end, last], lambda s: live.live_slow_events(s, keys=["trip_id"], watermark="400 seconds")).select(cols)
+    assert whole.count() > 0 and whole.exceptAll(split).count() == 0 and split.exceptAll(whole).count() == 0
+
+
+def test_a_trip_id_that_returns_is_another_run(spark, tmp_path):
+    def ping(day, minute, dist, bus="B"):
+        return ("T1", bus, "S", f"2024-01-{day:02d} 12:{minute:02d}:00", dist, True)
+
+    cast = lambda rows: spark.createDataFrame(rows, "trip_id string, bus_id string, shape_id string, ts string, dist_m double, on_route boolean").withColumn("ts", F.to_timestamp("ts"))
+    lengths = spark.createDataFrame([("S", 1000.0)], "shape_id string, shape_len_m double")
+    batches = [[ping(1, 0, 10.0), ping(1, 5, 990.0), ping(1, 6, 995.0)], [ping(1, 4, 700.0), ping(1, 7, 999.0)], [ping(8, 0, 20.0), ping(8, 1, 500.0), ping(8, 2, 10.0, "C")]]
+    out = streamed(spark, tmp_path, [cast(b) for b in batches], lambda s: live.stop_after_terminal(s, lengths, tol_m=20.0))
+    assert sorted((r.ts.day, r.ts.minute, r.bus_id) for r in out.collect()) == [(1, 0, "B"), (1, 4, "B"), (1, 5, "B"), (8, 0, "B"), (8, 1, "B"), (8, 2, "C")]
+
+
 def test_motion_chunks_stream(spark, products, tmp_path):
     trip = tmp_path / "T1"
     trip.mkdir()
