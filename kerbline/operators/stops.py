@@ -21,7 +21,6 @@ BUFFER_M = 27.43
 GOOD_ACCURACY_M = 30.0
 BOX = (0.02, 0.028)
 SIMPLIFY_EPS_M = 8.0
-LINE_CHUNK = 20000
 
 
 @dataclass(frozen=True)
@@ -206,47 +205,69 @@ def route_stops(trips: DataFrame, stop_times: DataFrame, stops: DataFrame) -> Da
     )
 
 
-def _keep_mask(x: np.ndarray, y: np.ndarray, eps: float) -> np.ndarray:
-    keep = np.zeros(len(x), bool)
-    keep[[0, -1]] = True
-    todo = [(0, len(x) - 1)]
-    while todo:
-        a, b = todo.pop()
-        if b - a < 2:
-            continue
-        dx, dy = x[b] - x[a], y[b] - y[a]
-        px, py = x[a + 1:b] - x[a], y[a + 1:b] - y[a]
-        size = dx * dx + dy * dy
-        share = np.clip((px * dx + py * dy) / size, 0, 1) if size > 0 else np.zeros(b - a - 1)
-        off = np.hypot(px - share * dx, py - share * dy)
-        worst = int(off.argmax())
-        if off[worst] > eps:
-            middle = a + 1 + worst
-            keep[middle] = True
-            todo += [(a, middle), (middle, b)]
-    return keep
-
-
-def simplify_shape(shape_pts: DataFrame, *, eps_m: float = SIMPLIFY_EPS_M) -> DataFrame:
+def _off_chord(px, py, dx, dy):
+    """Distance of points from a chord, all relative to its begin."""
+    size = dx * dx + dy * dy
+    share = np.clip(np.divide(px * dx + py * dy, size, out=np.zeros_like(size), where=size > 0), 0, 1)
+    return np.hypot(px - share * dx, py - share * dy)
+
+
+def _corners(x: np.ndarray, y: np.ndarray, eps: float) -> np.ndarray:
+    """Inner vertices that matter; all open chords are split at once."""
+    inner = np.arange(1, len(x) - 1)
+    begin, end, found = np.zeros_like(inner), np.full_like(inner, len(x) - 1), []
+    while len(inner):
+        off = _off_chord(x[inner] - x[begin], y[inner] - y[begin], x[end] - x[begin], y[end] - y[begin])
+        first = np.flatnonzero(np.append(True, begin[1:] != begin[:-1]))
+        size = np.diff(np.append(first, len(inner)))
+        most = np.maximum.reduceat(off, first)
+        peaks = np.flatnonzero(off == np.repeat(most, size))
+        corner = inner[peaks[np.searchsorted(peaks, first)]]
+        found.append(corner[most > eps])
+        corner, split = np.repeat(corner, size), np.repeat(most > eps, size) & (inner != np.repeat(corner, size))
+        before = inner < corner
+        begin, end, inner = np.where(before, begin, corner)[split], np.where(before, corner, end)[split], inner[split]
+    return np.concatenate([*found, inner])
+
+
+def simplify_shape(shape_pts: DataFrame, *, eps_m: float = SIMPLIFY_EPS_M, in_task: int = 4096) -> DataFrame:
     """Line vertices that matter at ``eps_m`` (Ramer, Douglas and Peucker).
 
-    One group is one line, in stretches of at most 20 000 vertices.
+    A chord with at most ``in_task`` vertices is finished in one task. Longer ones are
+    split all at once by rounds of an aggregate, which finds the vertex furthest from
+    each chord (the first of equal ones), and a join that deals the others to the new chords.
     """
-    first = shape_pts.groupBy("shape_id").agg(F.min_by("lat", "seq").alias("__lat0"))
-    pts = shape_pts.select("shape_id", "seq", "lat", "lon").join(first, "shape_id")
-    chunk = F.floor(F.col("seq") / LINE_CHUNK)
-    both = F.array_compact(F.array(chunk, F.when(F.col("seq") % LINE_CHUNK == 0, chunk - 1)))
-    cut = pts.withColumn("chunk", F.explode(both))
-
-    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        scale = np.cos(np.radians(pdf["__lat0"].iloc[0])) * M_PER_DEG
-        mask = _keep_mask(pdf["lon"].to_numpy() * scale, pdf["lat"].to_numpy() * M_PER_DEG_LAT_APP, eps_m)
-        return pdf.loc[mask, ["shape_id", "seq", "lat", "lon"]]
-
-    schema = "shape_id string, seq bigint, lat double, lon double"
-    thinned = cut.withColumn("seq", F.col("seq").cast("long")).groupBy("shape_id", "chunk").applyInPandas(thin, schema)
-    return thinned.dropDuplicates(["shape_id", "seq"])
+    line = shape_pts.select("shape_id", F.col("seq").cast("long").alias("seq"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    ends = line.groupBy("shape_id").agg(F.min(F.struct("seq", "lat", "lon")).alias("a"), F.max(F.struct("seq", "lat", "lon")).alias("b"))
+    scale = F.cos(F.radians(F.col("a")["lat"])) * M_PER_DEG
+    flat = lambda p: F.struct(p["seq"].alias("seq"), (p["lon"] * scale).alias("x"), (p["lat"] * M_PER_DEG_LAT_APP).alias("y"), p["lat"].alias("lat"), p["lon"].alias("lon"))
+    inner = line.join(ends, "shape_id").where((F.col("seq") > F.col("a")["seq"]) & (F.col("seq") < F.col("b")["seq"]))
+    todo = inner.select("shape_id", flat(F.struct("seq", "lat", "lon")).alias("p"), flat(F.col("a")).alias("a"), flat(F.col("b")).alias("b"))
+    kept = ends.select("shape_id", F.inline(F.array("a", "b")))
+    chord = ["shape_id", F.col("a.seq").alias("begin"), F.col("b.seq").alias("end")]
+    dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
+    px, py = F.col("p.x") - F.col("a.x"), F.col("p.y") - F.col("a.y")
+    size = dx * dx + dy * dy
+    share = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * dx + py * dy) / size))).otherwise(0.0)
+    off = F.hypot(px - share * dx, py - share * dy)
+    while not todo.groupBy(*chord).count().where(F.col("count") > in_task).isEmpty():
+        furthest = F.max_by(F.struct("p", off.alias("off")), F.struct(off, -F.col("p.seq"))).alias("m")
+        split = stage(todo.groupBy(*chord).agg(furthest).where(F.col("m.off") > eps_m).select("shape_id", "begin", "end", F.col("m.p").alias("m")), "splits")
+        kept = kept.unionByName(split.select("shape_id", "m.seq", "m.lat", "m.lon"))
+        dealt = todo.withColumn("begin", F.col("a.seq")).withColumn("end", F.col("b.seq")).join(split, ["shape_id", "begin", "end"])
+        before = F.col("p.seq") < F.col("m.seq")
+        todo = stage(dealt.where(F.col("p.seq") != F.col("m.seq")).select(
+            "shape_id", "p", F.when(before, F.col("a")).otherwise(F.col("m")).alias("a"), F.when(before, F.col("m")).otherwise(F.col("b")).alias("b")
+        ), "chords")
+
+    def finish(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seq")
+        x, y = (np.concatenate([rows[f"a{c}"].iloc[:1], rows[c], rows[f"b{c}"].iloc[:1]]) for c in "xy")
+        return rows.iloc[np.sort(_corners(x, y, eps_m)) - 1][["shape_id", "seq", "lat", "lon"]]
+
+    open_ = todo.select(*chord, "p.*", F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
+    rest = open_.groupBy("shape_id", "begin", "end").applyInPandas(finish, "shape_id string, seq bigint, lat double, lon double")
+    return kept.unionByName(rest).distinct()
 
 
 def pattern_lines(simplified: DataFrame) -> DataFrame:

@@ -246,7 +246,18 @@ def _(w):
     return stops.upcoming_stops(_next(w).withColumnRenamed("event_id", "point_id"), _stop_lists(w))
 
 
-@query("simplify_shape", "shape_id seq")
+@query("simplify_shape", "shape_id seq lat:6 lon:6", """
+WITH RECURSIVE pts AS (SELECT p.shape_id, seq, lat, lon, lon*111320.0*cos(radians(lat0)) AS x, lat*110540.0 AS y FROM shape_pts p JOIN (SELECT shape_id, arg_min(lat, seq) AS lat0 FROM shape_pts GROUP BY 1) f USING (shape_id)),
+chords AS (
+ SELECT shape_id, min(seq) AS a, max(seq) AS b FROM pts GROUP BY 1
+ UNION ALL
+ SELECT shape_id, CASE WHEN side = 0 THEN a ELSE m END AS a, CASE WHEN side = 0 THEN m ELSE b END AS b FROM (
+  SELECT *, row_number() OVER (PARTITION BY shape_id, a, b ORDER BY off DESC, m) AS rn FROM (
+   SELECT c.shape_id, c.a, c.b, p.seq AS m, sqrt(pow(p.x - pa.x - share*(pb.x - pa.x), 2) + pow(p.y - pa.y - share*(pb.y - pa.y), 2)) AS off
+   FROM chords c JOIN pts pa ON pa.shape_id = c.shape_id AND pa.seq = c.a JOIN pts pb ON pb.shape_id = c.shape_id AND pb.seq = c.b JOIN pts p ON p.shape_id = c.shape_id AND p.seq > c.a AND p.seq < c.b,
+   LATERAL (SELECT CASE WHEN pow(pb.x-pa.x, 2) + pow(pb.y-pa.y, 2) > 0 THEN greatest(0.0, least(1.0, ((p.x-pa.x)*(pb.x-pa.x) + (p.y-pa.y)*(pb.y-pa.y))/(pow(pb.x-pa.x, 2) + pow(pb.y-pa.y, 2)))) ELSE 0.0 END AS share) z) d) r,
+  (VALUES (0), (1)) v(side) WHERE rn = 1 AND off > 40.0)
+SELECT shape_id, seq, lat, lon FROM pts WHERE EXISTS (SELECT 1 FROM chords c WHERE c.shape_id = pts.shape_id AND seq IN (c.a, c.b))""")
 def _(w):
     return stops.simplify_shape(w.shape_pts, eps_m=40.0)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 from kerbline.constants import CATEGORIES
@@ -58,9 +58,23 @@ def write_trajectories(records: DataFrame, path: str, *, compact: bool = False)
     writer.parquet(path) if compact else writer.json(path)
 
 
-def write_trip_samples(samples: DataFrame, path: str) -> None:
-    """Per-ping curve values, one folder per trip."""
-    samples.write.mode("overwrite").partitionBy("trip_id").option("header", True).csv(path)
+BUCKETS = 64
+
+
+def bucketed(rows: DataFrame, key: str, date: str | None = None, buckets: int = BUCKETS) -> DataFrameWriter:
+    """Writer of rows under date (where there is one) and hash bucket of the key, keys together and in order.
+
+    Folders grow with days, not with keys; a large bucket is split over several
+    files by the adaptive rebalance.
+    """
+    placed = rows.withColumn("bucket", F.pmod(F.hash(key), F.lit(buckets)))
+    folders = [date, "bucket"] if date else ["bucket"]
+    return placed.hint("rebalance", *folders).sortWithinPartitions(*folders, key).write.mode("overwrite").partitionBy(*folders)
+
+
+def write_trip_samples(samples: DataFrame, path: str, date: str | None = None) -> None:
+    """Per-ping curve values by service date and trip bucket."""
+    bucketed(samples, "trip_id", date).option("header", True).csv(path)
 
 
 def trip_decomposition_rows(rows: DataFrame, counts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -69,8 +83,8 @@ def trip_decomposition_rows(rows: DataFrame, counts: DataFrame, keys: Sequence[s
     return rows.join(counts.select(*by, *[f"n_{c}" for c in CATEGORIES]), by)
 
 
-def write_trip_decomposition(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").partitionBy("trip_id").json(path)
+def write_trip_decomposition(rows: DataFrame, path: str, date: str | None = None) -> None:
+    bucketed(rows, "trip_id", date).json(path)
 
 
 def write_table(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -96,7 +110,8 @@ def payload_documents(rows: DataFrame, key: str) -> DataFrame:
 
 
 def write_payloads(rows: DataFrame, path: str, key: str) -> None:
-    payload_documents(rows, key).write.mode("overwrite").partitionBy(key).text(path)
+    """Keys and their documents as lines of (key, value)."""
+    bucketed(payload_documents(rows, key), key).json(path)
 
 
 def write_catalog(rows: DataFrame, path: str) -> None:

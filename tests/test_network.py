@@ -122,6 +122,21 @@ def test_simplify_keeps_corners(spark):
     assert [r.seq for r in kept] == [0, 10, 20]
 
 
+def test_long_lines_simplify_alike_in_rounds_and_in_a_task(spark):
+    rng = np.random.default_rng(0)
+    steps = rng.normal(size=(2, 600)).cumsum(1) * 2e-5
+    pts = spark.createDataFrame([("S", 3 * i, 42 + float(a), -87 + float(b)) for i, (a, b) in enumerate(steps.T)], "shape_id string, seq int, lat double, lon double")
+    whole, rounds = ({r.seq for r in stops.simplify_shape(pts, in_task=n).collect()} for n in (4096, 150))
+    x, y = pts.toPandas()["lon"] * np.cos(np.radians(42 + steps[0, 0])) * 111320.0, pts.toPandas()["lat"] * 110540.0
+    want, open_ = {0, 599}, [(0, 599)]
+    for a, b in open_:
+        far = max(((np.hypot(*((np.array([x[i] - x[a], y[i] - y[a]]) - np.clip(((x[i] - x[a]) * (x[b] - x[a]) + (y[i] - y[a]) * (y[b] - y[a])) / ((x[b] - x[a]) ** 2 + (y[b] - y[a]) ** 2), 0, 1) * np.array([x[b] - x[a], y[b] - y[a]])))), i) for i in range(a + 1, b)), default=(0, 0))
+        if far[0] > 8.0:
+            want.add(far[1])
+            open_ += [(a, far[1]), (far[1], b)]
+    assert whole == rounds == {3 * i for i in want}
+
+
 def test_bench_level_scores_full_marks(products):
     from kerbline.plans.queries_study import _components
 
