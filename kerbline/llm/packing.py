@@ -149,6 +149,12 @@ def _encoder(vocabulary: str):
     return encode
 
 
+def _folded(texts: pa.Array) -> pa.Array:
+    """Texts with fewer distinct strings and the same tokens: the tokenizer folds case and drops white space itself."""
+    lower = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))  # special tokens have a case
+    return pc.replace_substring(lower, "\n", " ")
+
+
 def cut_pieces(docs: DataFrame, vocabulary: str, longest: int, separator: int = 0) -> DataFrame:
     """Token pieces of all texts, numbered within slice and length.
 
@@ -161,7 +167,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, longest: int, separator: int =
         seen = np.zeros(longest + 1, np.int64)
         slice_ = TaskContext.get().partitionId()
         for batch in blocks(batches):
-            offsets, codes, distinct = coded(pc.split_pattern(batch.column("text"), " "))
+            offsets, codes, distinct = coded(pc.split_pattern(_folded(batch.column("text")), " "))
             ids, starts, lengths = memo.lookup(distinct)
             per_word = lengths[codes]
             flat = ids[ragged(starts[codes], per_word)].astype("<u4")
