@@ -62,19 +62,29 @@ def majority(offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and fingerprint (a signed 64-bit number) of every row."""
+def _reseeded(hashes: np.ndarray, number: int) -> np.ndarray:
+    """Hashes for the fingerprint of this number; those of number 0 are the given ones."""
+    if not number:
+        return hashes
+    x = hashes + np.uint64(number) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(27))
+
+
+def fingerprints(docs: DataFrame, words: int = 3, prints: int = 1) -> DataFrame:
+    """doc_id, fingerprint (a signed 64-bit number) and an array of it and of ``prints`` - 1 more of other hashes, for every row."""
 
     def run(batches):
         for batch in batches:
             lists = batch.column("hashes")
             offsets = lists.offsets.to_numpy().astype(np.int64)
             hashes = lists.flatten().to_numpy().view(np.uint64)
-            found = majority(offsets - offsets[0], hashes)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fingerprint"])
+            found = np.stack([majority(offsets - offsets[0], _reseeded(hashes, k)) for k in range(prints)], 1).view(np.int64)
+            values = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * prints, pa.int32()), pa.array(found.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found[:, 0].copy()), values], names=["doc_id", "fingerprint", "prints"])
 
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shingle_hashes(F.col("text").cast("string"), words).alias("hashes"))
-    return hashed.mapInArrow(run, "doc_id long, fingerprint long")
+    return hashed.mapInArrow(run, "doc_id long, fingerprint long, prints array<long>")
 
 
 def _segments() -> list[tuple[int, int]]:
@@ -120,15 +130,15 @@ def linked(values: np.ndarray, start: int, bits: int = BITS) -> np.ndarray:
 
 
 def links(distinct: DataFrame, most: int = 4096) -> DataFrame:
-    """Edges (u, v) that connect all fingerprints within two bits of each other, over any path."""
+    """Edges (u, v) between fingerprints that connect all rows (fingerprint, number, value) of one number within two bits of each other, over any path."""
     segments, equal = _segments(), _zero_run(BITS)
-    fp = F.col("fingerprint")
+    value = F.col("value")
 
     def arc(start: int) -> int:
         return _as_long(sum(segments[(start + k) % SEGMENTS][1] << segments[(start + k) % SEGMENTS][0] for k in range(equal)))
 
-    keys = F.array(*[F.struct(F.lit(i).alias("start"), fp.bitwiseAND(F.lit(arc(i))).alias("key")) for i in range(SEGMENTS)])
-    arcs = distinct.select("fingerprint", F.inline(keys))
+    keys = F.array(*[F.struct((F.col("number") * SEGMENTS + i).alias("start"), value.bitwiseAND(F.lit(arc(i))).alias("key")) for i in range(SEGMENTS)])
+    arcs = distinct.select("fingerprint", "value", F.inline(keys))
     sizes = arcs.groupBy("start", "key").agg(F.count("*").alias("n")).where("n > 1")
     shared = arcs.join(sizes, ["start", "key"])
 
@@ -137,44 +147,50 @@ def links(distinct: DataFrame, most: int = 4096) -> DataFrame:
             us, vs = [], []
             lists = batch.column("members")
             ends = lists.offsets.to_numpy()
-            values = lists.flatten().to_numpy().view(np.uint64)
+            values, nodes = (c.to_numpy() for c in lists.flatten().flatten())
             for start, a, b in zip(batch.column("start").to_pylist(), ends[:-1] - ends[0], ends[1:] - ends[0]):
-                own = values[a:b]
-                root = linked(own, start)
-                moved = root != np.arange(len(own))
-                us.append(own[moved])
-                vs.append(own[root[moved]])
-            none = np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *x]).view(np.int64)) for x in (us, vs)], names=["u", "v"])
-
-    few = shared.where(F.col("n") <= most).groupBy("start", "key").agg(F.collect_list("fingerprint").alias("members"))
+                root = linked(values[a:b].view(np.uint64), start % SEGMENTS)
+                us.append(nodes[a:b])
+                vs.append(nodes[a:b][root])
+            none = np.zeros(0, np.int64)
+            u, v = (np.concatenate([none, *x]) for x in (us, vs))
+            yield pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], names=["u", "v"])
+
+    few = shared.where(F.col("n") <= most).groupBy("start", "key").agg(F.collect_list(F.struct("value", "fingerprint")).alias("members"))
     few = few.select("start", "members").mapInArrow(run, "u long, v long")
     # within a key only bits outside its equal segments can differ
     free = [F.array(F.lit(0).cast("long"), *[F.lit(_as_long(1 << b)).cast("long") for b in range(64) if not arc(i) >> b & 1]) for i in range(SEGMENTS)]
-    flips = F.coalesce(*[F.when(F.col("start") == i, x) for i, x in enumerate(free)])
-    near = shared.where(F.col("n") > most).select("start", "key", "fingerprint", F.explode(flips).alias("flip")).select("start", "key", "fingerprint", F.col("fingerprint").bitwiseXOR(F.col("flip")).alias("near"))
+    flips = F.coalesce(*[F.when(F.col("start") % SEGMENTS == i, x) for i, x in enumerate(free)])
+    near = shared.where(F.col("n") > most).select("start", "key", "fingerprint", "value", F.explode(flips).alias("flip"))
+    near = near.select("start", "key", "fingerprint", value.bitwiseXOR(F.col("flip")).alias("near"))
     first = F.min("fingerprint").over(Window.partitionBy("start", "key", "near"))
     many = near.select(F.col("fingerprint").alias("u"), first.alias("v")).where("u <> v")
     return few.union(many)
 
 
-def groups(docs: DataFrame, words: int = 3, most: int = 4096) -> DataFrame:
-    """doc_id, fingerprint and component_id, the smallest doc_id reachable, for every row."""
-    found = stage(fingerprints(docs, words), "fingerprints")
+def groups(docs: DataFrame, words: int = 3, prints: int = 1, most: int = 4096) -> DataFrame:
+    """doc_id, fingerprint and component_id, the smallest doc_id reachable, for every row.
+
+    Rows are linked where one of their ``prints`` fingerprints, each of other
+    hashes, differs in at most two bits; more of them link more of the rows that
+    are alike but not nearly equal.
+    """
+    found = stage(fingerprints(docs, words, prints), "fingerprints")
     distinct = stage(found.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(distinct.select("fingerprint"), most))
+    values = found.select("fingerprint", F.posexplode("prints").alias("number", "value")).distinct() if prints > 1 else distinct.select("fingerprint", F.lit(0).alias("number"), F.col("fingerprint").alias("value"))
+    roots = components(links(values, most))
     rooted = distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = rooted.join(least, "root").select("fingerprint", "component_id")
-    return found.join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return found.select("doc_id", "fingerprint").join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 3, prints: int = 1) -> DataFrame:
     """One document of each group, the one with the smallest doc_id, with its own columns.
 
     Rows with the same doc_id, or with a null one, count as one document.
     """
-    kept = groups(docs, words).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.struct("doc_id").alias("kept")).distinct()
+    kept = groups(docs, words, prints).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.struct("doc_id").alias("kept")).distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
     one = Window.partitionBy("id").orderBy(F.xxhash64("row"))
     joined = rows.join(kept, F.col("id").eqNullSafe(F.col("kept.doc_id")), "left_semi")

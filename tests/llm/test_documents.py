@@ -174,7 +174,7 @@ def test_links_equal_all_pairs(spark, most):
         for j in range(i):
             if (values[i] ^ values[j]).bit_count() <= 2:
                 root[find(i)] = find(j)
-    distinct = spark.createDataFrame([(signed(v),) for v in values], "fingerprint long")
+    distinct = spark.createDataFrame([(signed(v), 0, signed(v)) for v in values], "fingerprint long, number int, value long")
     roots = {r["node"]: r["root"] for r in components(simhash.links(distinct, most)).collect()}
     got = {}
     for i, v in enumerate(values):
@@ -182,6 +182,24 @@ def test_links_equal_all_pairs(spark, most):
     assert all(len(x) == 1 for x in got.values()) and len(got) == len({find(i) for i in range(len(values))})
 
 
+def test_more_fingerprints_link_as_any_of_them_does(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    base = docs.where("n_chars > 500").orderBy("doc_id").limit(12).collect()
+    rows = [(1000 * r["doc_id"] + k, " ".join(w if (i + 7 * k) % (30 * (k + 1)) else "changed" for i, w in enumerate(r["text"].split(" ")))) for r in base for k in range(6)]
+    edited = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {r["doc_id"]: [v % (1 << 64) for v in r["prints"]] for r in simhash.fingerprints(edited, prints=4).collect()}
+    group = {i: {i} for i in prints}
+    for a in prints:
+        for b in prints:
+            if a < b and any((x ^ y).bit_count() <= 2 for x, y in zip(prints[a], prints[b])) and group[a] is not group[b]:
+                group[a] |= group[b]
+                for i in group[b]:
+                    group[i] = group[a]
+    got = simhash.groups(edited, prints=4).collect()
+    assert all(r["component_id"] == min(group[r["doc_id"]]) for r in got)
+    assert len({r["component_id"] for r in got}) < len({r["component_id"] for r in simhash.groups(edited).collect()})
+
+
 def test_one_document_of_each_group_stays(spark):
     docs = documents(spark)
     rows = simhash.keep_one(docs).collect()
