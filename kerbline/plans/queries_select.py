@@ -8,6 +8,7 @@ from kerbline.functions import curve, geo, text, timeutil
 from kerbline.operators import select, stops
 from kerbline.operators.ordered import cum_sum, islands, scan
 from kerbline.operators.quantiles import quantiles
+from kerbline.operators.stage import new_path
 from kerbline.plans import derived
 from kerbline.plans.oracle import relation, snap
 from kerbline.plans.registry import query
@@ -21,13 +22,18 @@ SELECT 'cta' AS agency, CAST(event_id AS VARCHAR) AS entity_id, bus_id AS vehicl
   year(ts) AS year, month(ts) AS month, day(ts) AS day, hour(ts) AS hour FROM pings, (VALUES (0), (1)) c(copy) WHERE c.copy = 0 OR event_id % 11 = 0""")
 
 
-def _archive(w):
-    return derived.archive_pings(w.spark, w.sf_dir)
+def _archive(w, route: str | None = None):
+    """The archive as files by agency, year, month, day and hour."""
+    if not hasattr(w, "archive_path"):
+        path = new_path(w.spark, "archive")
+        derived.archive_pings(w.spark, w.sf_dir).repartition("day", "hour").write.partitionBy("agency", "year", "month", "day", "hour").parquet(path)
+        w.archive_path = path
+    return readers.scan_archive(w.spark, w.archive_path, route)
 
 
 @query("scan_archive", "entity_id vehicle_id route_id trip_id latitude:6 longitude:6 hour", "SELECT * FROM archive WHERE route_id = '22'")
 def _(w):
-    return _archive(w).where(F.col("route_id") == "22")
+    return _archive(w, "22")
 
 
 @query("archive_hours", "agency year month day hour", "SELECT DISTINCT agency, year, month, day, hour FROM archive")
