@@ -121,28 +121,33 @@ def _nearest(candidates: Column) -> Column:
     return F.array_min(F.transform(F.transform(F.transform(candidates, place), share), measure))
 
 
-def snap_to_shape(
-    points: DataFrame, segments: DataFrame, *, max_perp_m: float = MAX_PERP_M
-) -> DataFrame:
-    """Nearest shape segment of every point: seg_idx, frac, dist_m, perp_m, on_route.
-
-    Points join the segments around their map cell, then the few that have
-    nothing within a cell width are compared with the whole shape, so the result
-    equals the full comparison. Points of an unknown shape keep nulls.
-    """
-    cand = F.struct(*_CAND)
+def _cells(segments: DataFrame) -> DataFrame:
+    """Segments of each shape around every map cell they reach, one cell wide."""
     lat_cells = F.sequence(
         F.floor(F.least("lat_a", "lat_b") / CELL_LAT) - 1, F.floor(F.greatest("lat_a", "lat_b") / CELL_LAT) + 1
     )
     lon_cells = F.sequence(
         F.floor(F.least("lon_a", "lon_b") / CELL_LON) - 1, F.floor(F.greatest("lon_a", "lon_b") / CELL_LON) + 1
     )
-    cells = (
-        segments.select("shape_id", cand.alias("__c"), F.explode(lat_cells).alias("__cy"), lon_cells.alias("__lc"))
+    return (
+        segments.select("shape_id", F.struct(*_CAND).alias("__c"), F.explode(lat_cells).alias("__cy"), lon_cells.alias("__lc"))
         .withColumn("__cx", F.explode("__lc"))
         .groupBy("shape_id", "__cy", "__cx")
         .agg(F.collect_list("__c").alias("__near"))
     )
+
+
+def snap_to_shape(
+    points: DataFrame, segments: DataFrame, *, max_perp_m: float = MAX_PERP_M
+) -> DataFrame:
+    """Nearest shape segment of every point: seg_idx, frac, dist_m, perp_m, on_route.
+
+    Points join the segments around their map cell, then the few that have
+    nothing within a cell width are compared with the whole shape, so the result
+    equals the full comparison. Points of an unknown shape keep nulls.
+    """
+    cand = F.struct(*_CAND)
+    cells = _cells(segments)
     spread = F.struct("lat", "lon", *[c for c in points.columns if c.endswith("_id")][:3])
     placed = points.withColumn("__cy", F.floor(F.col("lat") / CELL_LAT)).withColumn(
         "__cx", F.floor(F.col("lon") / CELL_LON)
@@ -190,29 +195,43 @@ def shape_extent(shape_pts: DataFrame) -> DataFrame:
     )
 
 
-def _fit(points: DataFrame, candidates: DataFrame, segments: DataFrame, keys, on, order, max_perp_m):
-    spread = points.join(candidates, on)
-    return snap_to_shape(spread, segments, max_perp_m=max_perp_m)
+def _on_shapes(points: DataFrame, candidates: DataFrame, segments: DataFrame, keys, max_perp_m: float) -> tuple[DataFrame, DataFrame]:
+    """(pings near a candidate shape of their route with dist_m and perp_m, pings per trip and candidate).
+
+    A ping meets only the shapes that pass its own map cell. ``max_perp_m`` lies
+    within a cell's width, so a ping on a shape is never missed.
+    """
+    by_route = _cells(segments).join(candidates.select("route_id", "shape_id").distinct(), "shape_id")
+    placed = points.withColumn("__cy", F.floor(F.col("lat") / CELL_LAT)).withColumn("__cx", F.floor(F.col("lon") / CELL_LON))
+    spread = F.struct("lat", "lon", *[c for c in points.columns if c.endswith("_id")][:3])
+    near = salted_left_join(placed, by_route, ["route_id", "__cy", "__cx"], spread).where(F.col("shape_id").isNotNull())
+    perp = F.sqrt(F.col("__m")["d2"])
+    found = near.withColumn("__m", _nearest(F.col("__near"))).where(perp <= max_perp_m)
+    rows = found.select(*points.columns, "shape_id", F.col("__m")["dist_m"].alias("dist_m"), perp.alias("perp_m"))
+    counted = points.groupBy(*keys, "route_id").agg(F.count(F.lit(1)).alias("__n"))
+    extra = [c for c in candidates.columns if c not in ("route_id", "shape_id")]
+    totals = counted.join(candidates, "route_id").groupBy(*keys, "shape_id", *extra).agg(F.sum("__n").alias("n_pings"))
+    return rows, totals
 
 
 def choose_shape(
     pings: DataFrame, route_shapes: DataFrame, segments: DataFrame, keys: Sequence[str], order: str,
-    *, max_perp_m: float = MAX_PERP_M, hint: str | None = None,
+    *, max_perp_m: float = MAX_PERP_M, hint: str | None = None, tie: str | None = None,
 ) -> DataFrame:
     """Shape of the route each trip follows forward in time.
 
-    ``pings`` must not hold shape_id. Candidates rank by (forward with more than
-    60 % on route, net progress or on-route share, to 1e-6); the smallest id wins a tie.
-    Trips without a candidate of two on-route pings get ``hint``'s column value.
+    ``pings`` must not hold shape_id; ``tie`` orders pings of one time. Candidates rank by
+    (forward with more than 60 % on route, net progress or on-route share, to 1e-6); the
+    smallest id wins a tie. Trips without a candidate of two on-route pings get ``hint``'s
+    column value.
     """
     keys = list(keys)
-    fit = _fit(pings, route_shapes, segments, keys, ["route_id"], order, max_perp_m)
-    on = F.col("on_route")
-    at = F.when(on, F.col(order))
-    per = fit.groupBy(*keys, "shape_id").agg(
-        F.avg(on.cast("double")).alias("frac"), F.sum(on.cast("long")).alias("n_on"),
-        (F.max_by("dist_m", at) - F.min_by("dist_m", at)).alias("net_m"),
+    rows, totals = _on_shapes(pings, route_shapes.select("route_id", "shape_id").distinct(), segments, keys, max_perp_m)
+    at = F.struct(order, tie) if tie else F.col(order)
+    on = rows.groupBy(*keys, "shape_id").agg(
+        F.count(F.lit(1)).alias("n_on"), (F.max_by("dist_m", at) - F.min_by("dist_m", at)).alias("net_m")
     ).where(F.col("n_on") >= 2)
+    per = on.join(totals, [*keys, "shape_id"]).withColumn("frac", F.col("n_on") / F.col("n_pings"))
     good = F.col("frac") > 0.6
     forward = F.when(good & (F.col("net_m") > 0), 1.0).otherwise(0.0)
     key = F.struct(
@@ -239,11 +258,11 @@ def best_shape(
     qualifies and competes with its own offset otherwise.
     """
     keys = list(keys)
-    fit = _fit(pings, candidates, segments, keys, ["route_id"], order, max_perp_m)
-    by = [*keys, "shape_id", "rank"]
-    cover = fit.groupBy(*by).agg(F.avg(F.col("on_route").cast("double")).alias("coverage"))
-    median = quantiles(fit, by, F.when(F.col("on_route"), F.col("perp_m")), {"median_perp_m": 0.5})
-    both = cover.join(median, by, "left")
+    rows, totals = _on_shapes(pings, candidates, segments, keys, max_perp_m)
+    by = [*keys, "shape_id"]
+    on = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_on"))
+    median = quantiles(rows, by, F.col("perp_m"), {"median_perp_m": 0.5})
+    both = totals.join(on, by, "left").join(median, by, "left").withColumn("coverage", F.coalesce("n_on", F.lit(0)) / F.col("n_pings"))
     allowed = (F.col("rank") == 0) | (F.col("coverage") > 0.5)
     score = F.coalesce(F.col("median_perp_m"), F.lit(float("inf")))
     return (

@@ -63,10 +63,10 @@ SELECT trip_id, shape_id, frac, net_m FROM (
  SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY CASE WHEN frac > 0.6 AND net_m > 0 THEN 0 ELSE 1 END,
    round(CASE WHEN frac > 0.6 THEN -net_m ELSE -frac END, 6), shape_id) AS rn FROM (
   SELECT trip_id, p_shape AS shape_id, avg(CAST(on_route AS DOUBLE)) AS frac, sum(CAST(on_route AS INT)) AS n_on,
-    arg_max(dist_m, ts) FILTER (on_route) - arg_min(dist_m, ts) FILTER (on_route) AS net_m FROM cand_fit GROUP BY 1, 2)
+    arg_max(dist_m, (ts, event_id)) FILTER (on_route) - arg_min(dist_m, (ts, event_id)) FILTER (on_route) AS net_m FROM cand_fit GROUP BY 1, 2)
  WHERE n_on >= 2) WHERE rn = 1""")
 def _(w):
-    return mapmatch.choose_shape(w.pings.drop("shape_id"), _route_shapes(w), w.shapes, TRIP, "ts")
+    return mapmatch.choose_shape(w.pings.drop("shape_id"), _route_shapes(w), w.shapes, TRIP, "ts", tie="event_id")
 
 
 @query("best_shape", "trip_id shape_id median_perp_m:3 coverage:4", """
