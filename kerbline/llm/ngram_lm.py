@@ -25,6 +25,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -109,6 +110,8 @@ def tokenized(docs: DataFrame, held) -> DataFrame:
             train = np.repeat(~out.to_numpy(zero_copy_only=False), sizes)
             counts = np.bincount(sequence[train], minlength=len(hashes))
             row = [base + number, batch.column("doc_id").to_pylist(), out.to_pylist(), sizes.tolist(), _packed(sequence), hashes.astype("<u8").tobytes(), _packed(counts), int(train.sum())]
+            del codes, sequence, inner, train, distinct, place
+            pa.default_memory_pool().release_unused()
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
             names = ["block", "doc_ids", "held", "sizes", "codes", "words", "counts", "n_train"]
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
@@ -117,6 +120,13 @@ def tokenized(docs: DataFrame, held) -> DataFrame:
     return given.mapInArrow(run, BLOCKS)
 
 
+def _rows(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple]:
+    """Values of one row after the other, so that only one block is unpacked at a time."""
+    for k in range(batch.num_rows):
+        yield tuple(batch.column(c)[k].as_py() for c in range(batch.num_columns))
+        pa.default_memory_pool().release_unused()
+
+
 def _ranges(ordered: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     """(range, begin, stop) of the ranges of hash that occur, for ordered hashes."""
     at = (ordered >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(ordered), np.int64)
@@ -129,7 +139,7 @@ def word_totals(table: DataFrame, bits: int) -> DataFrame:
 
     def ask(batches):
         for batch in batches:
-            for block, data, counted in zip(batch.column("block").to_pylist(), batch.column("words").to_pylist(), batch.column("counts").to_pylist()):
+            for block, data, counted in _rows(batch):
                 own = np.frombuffer(data, "<u8")
                 order = np.argsort(own, kind="stable")
                 own, n = own[order], _unpacked(counted)[order]
@@ -171,7 +181,7 @@ def ngrams(table: DataFrame, bits: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for held, sizes, codes, data, counted in zip(*[batch.column(c).to_pylist() for c in ("held", "sizes", "codes", "words", "counts")]):
+            for held, sizes, codes, data, counted in _rows(batch):
                 word = np.frombuffer(data, "<u8")
                 sequence, before, row = _sequence(codes, sizes)
                 train = ~np.array(held, bool)[row]
@@ -276,6 +286,7 @@ def text_scores(found: Filter, word: np.ndarray, codes: bytes, sizes: list[int],
     starts = np.cumsum(sizes) - sizes
     single = counts[level(unigrams(word))]
     pair, back = np.unique(before << 32 | sequence, return_inverse=True)
+    back = back.astype(np.int32)
     double = counts[level(bigrams(word[pair >> 32], word[pair & 0xFFFFFFFF]))]
     first = single[pair >> 32]
     share = np.minimum(double / np.maximum(first, 1), 1)
@@ -302,7 +313,7 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, max_bits: int = MAX_BI
         parts = sorted(zip(counts.column("part").to_pylist(), counts.column("totals").to_pylist()))
         unpack = zstandard.ZstdDecompressor().decompress
         found: list[list] = [[], [], [], [], [], []]
-        for ids, held, sizes, codes, data in zip(*[own.column(c).to_pylist() for c in ("doc_ids", "held", "sizes", "codes", "words")]):
+        for ids, held, sizes, codes, data in _rows(own.select(["doc_ids", "held", "sizes", "codes", "words"])):
             word = np.frombuffer(data, "<u8")
             known = np.empty(len(word), np.int64)
             known[np.argsort(word, kind="stable")] = np.concatenate([np.frombuffer(unpack(p), "<i8") for _, p in parts])
