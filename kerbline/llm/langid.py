@@ -30,6 +30,7 @@ LENGTH = 300
 UNKNOWN = "und"
 _BITS = 17  # of a character's number within a block; three of them and a row's number share a 64-bit key
 _ROWS = 1 << 12
+_BLOCK_BYTES = 2_000_000
 _BORDER = 1
 
 
@@ -83,7 +84,7 @@ def counts(docs: DataFrame) -> DataFrame:
     """lang, gram, n over the whole texts of all rows with a language."""
 
     def run(batches):
-        for batch in blocks(batches, rows=_ROWS):
+        for batch in blocks(batches, limit=_BLOCK_BYTES, rows=_ROWS):
             rows, grams, n, letters = _rank_keys(batch.column("text"))
             lang = batch.column("lang").dictionary_encode()
             key = lang.indices.to_numpy()[rows].astype(np.int64) << 3 * _BITS | grams
@@ -144,7 +145,7 @@ def judged(docs: DataFrame, carried: Column, found: dict[str, list[str]], length
     """``carried`` as row, lang_pred, score of every row; the prediction reads the text alone."""
 
     def run(batches):
-        for batch in blocks(batches, rows=_ROWS):
+        for batch in blocks(batches, limit=_BLOCK_BYTES, rows=_ROWS):
             best, score = _judge(batch.column("text"), found, length)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(best, pa.string()), pa.array(score, pa.float64())], names=["row", "lang_pred", "score"])
 
