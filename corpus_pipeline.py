@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbline.llm import langid, packing, quality_rules, simhash
+from kerbline.llm import langid, near_copies, packing, quality_rules
 from kerbline.llm.queries import word_vocabulary
 from kerbline.llm.texts import table
 from kerbline.operators.stage import stage
@@ -27,8 +27,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; eight fingerprints find most that are 0.8 alike or more."""
-    return simhash.keep_one(docs, prints=8)
+    """The document with the smallest id of each group linked by five-word shingles that are 0.8 alike or more; fingerprints only name candidates."""
+    return near_copies.keep_one(docs, prints=8)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
