@@ -100,6 +100,10 @@ def place(lengths: dict[int, int], capacity: Capacity) -> list[tuple[int, int, i
 _PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 
 
+#: Fixed value: the marks that normalization may compose with a letter from A to Z.
+_MARKS = r"[\x{300}-\x{36F}]"
+
+
 def _byte_characters() -> dict[int, str]:
     """The character that stands for each byte: itself where printable, else the next one from 256 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -150,8 +154,12 @@ def _encoder(vocabulary: str):
 
 
 def _folded(texts: pa.Array) -> pa.Array:
-    """Texts with fewer distinct strings and the same tokens: the tokenizer folds case and drops white space itself."""
-    lower = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))  # special tokens have a case
+    """Texts with fewer distinct strings and the same tokens: the tokenizer folds case and drops white space itself.
+
+    It composes marks with their letters first, and some letters compose only where they are small.
+    """
+    cased = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, _MARKS))  # special tokens have a case
+    lower = pc.if_else(cased, texts, pc.ascii_lower(texts))
     return pc.replace_substring(lower, "\n", " ")
 
 
