@@ -4,7 +4,7 @@ Every run of text is a node with a path of block elements from the root. Text
 length and punctuation are summed per path and divided by its nodes; the ratios
 are smoothed over neighbouring nodes, fused by multiplication, and weigh the
 text of each path. The content element is the innermost one that holds nearly
-all of that weight, and within it every path whose fused ratio reaches the
+all of that weight, or the article or main element around that one, and within it every path whose fused ratio reaches the
 threshold, or that is a paragraph, heading, list, quote or table cell not made
 of links, is content. Elements that name themselves as menus, adverts, forms,
 comments and the like are no candidates.
@@ -192,6 +192,8 @@ def main_text(html: str, threshold: float = 0.1, share: float = 0.85) -> str:
             holds[path[:k]] = holds.get(path[:k], 0) + w
     whole = holds[()]
     inner = max((p for p, w in holds.items() if w >= share * whole and (not p or p[-1].split(".")[0] not in ALWAYS)), key=len)
+    # what encloses the content element as article or main is wholly the article; the innermost such element counts
+    inner = next((inner[:k] for k in range(len(inner), 0, -1) if inner[k - 1] in CONTENT_TAGS), inner)
     best = max(fused.values())
 
     def content(path: tuple[str, ...], tag: str) -> bool:
