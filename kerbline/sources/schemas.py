@@ -33,6 +33,8 @@ OBSERVER_CSV = (
     "start_lat", "start_lon", "end_lat", "end_lon", "duration_s", "pax_on", "pax_off",
 )
 MOTION = "`timestamp` string, ax double, ay double, az double, gx double, gy double, gz double, interval_ms double, agx double, agy double, agz double"
+MOTION_COLUMNS = ("timestamp", "ax", "ay", "az", "gx", "gy", "gz", "interval_ms", "agx", "agy", "agz")
+MOTION_CHANNELS = MOTION_COLUMNS[1:7]
 CONTROL_POINT = (
     "struct<intersection_node_id:bigint,lat:double,lon:double,dist_along_route_m:double,on_way_id:bigint,control_type:string,"
     "cross_street_names:array<string>,merged_node_ids:array<bigint>,anchor_intersection_node_id:bigint,signalized:boolean,"

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 from kerbline.constants import CATEGORIES
 from kerbline.functions import timeutil
+from kerbline.sources import schemas
 from kerbline.sources.schemas import AVL_COLUMNS
 
 KNOTS_PER_RECORD = 4096
@@ -128,25 +129,22 @@ def write_stop_bundles(stops: DataFrame, listed: DataFrame, lines: DataFrame, pa
     lines.write.mode("overwrite").json(f"{path}/pattern_shapes")
 
 
-def pending_keys(keys: DataFrame, done: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Keys without a result yet."""
-    return keys.join(done.select(*on).distinct(), list(on), "left_anti")
+def write_motion_chunks(readings: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Sensor readings as append-only chunk files, one folder a chunk; only a recording's first chunk has a header line.
 
+    Chunks are of bounded length. readings: trip_id, chunk (from 1), line, ts (local clock), ax ay az gx gy gz.
+    """
+    number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    channels = schemas.MOTION_CHANNELS
+    empty = [F.lit("")] * (len(schemas.MOTION_COLUMNS) - 1 - len(channels))
+    lines = readings.select("trip_id", "chunk", "line", F.concat_ws(",", timeutil.event_time_text(F.col("ts")), *[number(c) for c in channels], *empty).alias("value"))
+    headers = readings.where("chunk = 1").select("trip_id", "chunk").distinct().select("trip_id", "chunk", F.lit(-1).cast("long").alias("line"), F.lit(",".join(schemas.MOTION_COLUMNS)).alias("value"))
+    named = lines.withColumn("line", F.col("line").cast("long")).unionByName(headers).withColumn("chunk", F.lpad(F.col("chunk").cast("string"), 6, "0"))
+    # a chunk is one row, since a sort does not reach files that are split by columns
+    whole = named.groupBy("trip_id", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "value"))), lambda x: x["value"]), "\n").alias("value"))
+    whole.select("value", "trip_id", "chunk").write.mode(mode).partitionBy("trip_id", "chunk").text(path)
 
-def incremental_build(
-    keys: DataFrame, path: str, on: Sequence[str], build: Callable[[DataFrame], DataFrame]
-) -> DataFrame:
-    """Build only the keys missing under ``path`` and append them.
 
-    Returns the keys that were asked for and produced no row.
-    """
-    from pyspark.errors import AnalysisException
-
-    spark = keys.sparkSession
-    try:
-        done = spark.read.parquet(path)
-        todo = pending_keys(keys, done, on)
-    except AnalysisException:
-        todo = keys
-    build(todo).write.mode("append").parquet(path)
-    return pending_keys(todo, spark.read.parquet(path), on)
+def pending_keys(keys: DataFrame, done: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Keys without a result yet."""
+    return keys.join(done.select(*on).distinct(), list(on), "left_anti")
