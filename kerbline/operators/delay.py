@@ -179,6 +179,11 @@ def door_dwells(
     ).select(*keys, "t_start", F.col("__d.stop_id").alias("stop_id"), F.col("__d.is_near_side").alias("near_side"))
 
 
+def by_doors(doors: DataFrame, *, tol_s: float = 30.0) -> Callable[[DataFrame, DataFrame, Sequence[str]], DataFrame]:
+    """A dwell rule that goes by door openings instead of stop zones."""
+    return lambda primary, zones, keys: door_dwells(primary, zones, doors, keys, tol_s=tol_s)
+
+
 def attribute_events(
     primary: DataFrame, dwells: DataFrame, seg_controls: DataFrame, keys: Sequence[str], *,
     crossing_m: float = CROSSING_APPROACH_M, signal_m: float = SIGNAL_APPROACH_M,

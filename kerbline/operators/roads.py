@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kerbline.constants import (
     ANCHOR_M, CLUSTER_GAP_M, CLUSTER_TYPES, DROP_NEAR_M, KEEP_TYPES, M_PER_DEG, NODE_PERP_M, SIGN_M, VEHICLE_HIGHWAYS,
@@ -25,35 +25,41 @@ VISIT_SLICE = 512
 WAY_SLACK_M = 1e-3
 
 
-_POINTS = T.ArrayType(T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())]))
+LINE_BYTES = 1 << 16
 
 
-@F.pandas_udf(_POINTS)
-def decode_polyline(encoded: pd.Series) -> pd.Series:
-    """Vertices of a text-encoded line, six decimals."""
+@F.arrow_udtf(returnType="shape_id string, idx bigint, lat double, lon double")
+class DecodeLines:
+    """Vertices of text-encoded lines with six decimals; a row comes out as soon as a stretch of the line is read.
 
-    def points(line: str | None) -> list[dict]:
-        values, number, shift = [], 0, 0
-        for char in (line or "").encode():
-            number |= ((char - 63) & 31) << shift
-            shift += 5
-            if char - 63 < 32:
-                values.append(-(number >> 1) - 1 if number & 1 else number >> 1)
-                number, shift = 0, 0
-        out, lat, lon = [], 0, 0
-        for dlat, dlon in zip(values[::2], values[1::2]):
-            lat, lon = lat + dlat, lon + dlon
-            out.append({"lat": lat / 1e6, "lon": lon / 1e6})
-        return out
+    A number is a run of 5-bit groups, lowest first, each but the last with bit 32 set, all 63 up; its
+    lowest bit is the sign. Numbers are steps in latitude and longitude by turns.
+    """
 
-    return encoded.map(points)
+    def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+        for shape_id, line in zip(batch.column("shape_id").to_pylist(), batch.column("shape").to_pylist()):
+            data = np.frombuffer((line or "").encode(), np.uint8).astype(np.int64) - 63
+            last = np.flatnonzero(data < 32)[1::2] + 1  # where a vertex ends
+            begin, at, first = 0, np.zeros(2, np.int64), 0
+            while first < len(last):
+                stop = max(first + 1, int(np.searchsorted(last, begin + LINE_BYTES, side="right")))
+                group = data[begin : last[stop - 1]]
+                ends = np.flatnonzero(group < 32)
+                starts = np.append(0, ends[:-1] + 1)
+                shift = 5 * (np.arange(len(group)) - np.repeat(starts, ends - starts + 1))
+                number = np.add.reduceat((group & 31) << shift, starts)
+                steps = np.where(number & 1, ~(number >> 1), number >> 1).reshape(-1, 2)
+                places = at + steps.cumsum(0)
+                yield pa.table({
+                    "shape_id": pa.array([shape_id] * len(places), pa.string()), "idx": pa.array(np.arange(first, first + len(places))),
+                    "lat": pa.array(places[:, 0] / 1e6), "lon": pa.array(places[:, 1] / 1e6),
+                })
+                begin, at, first = int(last[stop - 1]), places[-1], stop
 
 
 def matched_vertices(responses: DataFrame) -> DataFrame:
-    """Vertices of stored match responses (shape_id, shape) as rows idx, lat, lon."""
-    return responses.select("shape_id", F.posexplode(decode_polyline("shape")).alias("idx", "p")).select(
-        "shape_id", "idx", "p.lat", "p.lon"
-    )
+    """Vertices of stored match responses (shape_id, shape) as rows shape_id, idx, lat, lon."""
+    return DecodeLines(responses.select("shape_id", "shape").asTable())
 
 
 def way_tiling(edges: DataFrame, vertices: DataFrame, shapes: DataFrame, *, max_perp_m: float = 200.0) -> DataFrame:

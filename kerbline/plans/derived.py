@@ -243,6 +243,34 @@ def way_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def encoded_line(points: Column) -> Column:
+    """Text encoding of an array of (lat, lon) with six decimals."""
+    whole = lambda x: F.round(x * 1e6).cast("long")
+    both = F.transform(points, lambda p: F.struct(whole(p["lat"]).alias("lat"), whole(p["lon"]).alias("lon")))
+    steps = F.transform(both, lambda p, i: F.array(*[p[c] - F.when(i > 0, F.get(both, i - 1)[c]).otherwise(0) for c in ("lat", "lon")]))
+
+    def spelled(step: Column) -> Column:
+        number = F.when(step < 0, -2 * step - 1).otherwise(2 * step)
+        groups = F.when(number == 0, 1).otherwise(F.ceil((F.length(F.conv(number.cast("string"), 10, 2))) / 5)).cast("int")
+        digit = lambda k: F.pmod(F.floor(number / F.pow(F.lit(32.0), k)), F.lit(32)).cast("int")
+        return F.array_join(F.transform(F.sequence(F.lit(0), groups - 1), lambda k: F.char(digit(k) + F.when(k < groups - 1, 32).otherwise(0) + 63)), "")
+
+    return F.array_join(F.transform(F.flatten(steps), spelled), "")
+
+
+def match_responses(shape_pts_: DataFrame) -> DataFrame:
+    """Documents {shape: response} of four edges on a line slightly beside the shape."""
+    point = F.struct("seq", (F.col("lat") + 0.00004).alias("lat"), "lon")
+    lines = shape_pts_.groupBy("shape_id").agg(F.array_sort(F.collect_list(point)).alias("points"))
+    number = lambda k: F.lit(k).cast("long")
+    edge = [F.struct(
+        number(k + 7).alias("way_id"), F.array(F.lit(f"Way {k}")).alias("names"), F.lit((True, True, False, None)[k]).cast("boolean").alias("forward"), F.lit("primary").alias("road_class"),
+        number((0, 6, 18, 18)[k]).alias("begin_shape_index"), number((6, 12, 12, 99)[k]).alias("end_shape_index"),
+    ) for k in range(4)]
+    response = F.struct(encoded_line(F.col("points")).alias("shape"), F.array(*edge).alias("edges"))
+    return lines.select(F.to_json(F.create_map("shape_id", response)).alias("value"))
+
+
 def gtfs_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scheduled trips: one per order, on the shape of the customer's block."""
     g = F.floor(F.col("o_custkey") / 50)

@@ -276,7 +276,11 @@ relation("seg_times", times_from("pieces", "trip_id", "trip"))
 relation("freeflow", "SELECT shape_id, seg_id, quantile_cont(t_obs, 0.05) AS t_ff FROM seg_times WHERE t_obs > 0 AND CAST(substr(trip_id, 2) AS BIGINT) % 3 = 0 GROUP BY 1, 2")
 
 
-def causes_from(slow: str, times: str, keys: str, name: str) -> str:
+_ZONE_DWELL = """
+(SELECT arg_min({'s': z.stop_id, 'n': z.is_near_side}, z.dist_m) FROM zones z WHERE z.shape_id = p.shape_id AND z.seg_id = p.seg_id AND p.x_start <= z.zone_hi AND p.x_end >= z.zone_lo)"""
+
+
+def causes_from(slow: str, times: str, keys: str, name: str, dwell: str = _ZONE_DWELL) -> str:
     on = " AND ".join(f"e.{k.strip()} = s.{k.strip()}" for k in keys.split(","))
     ek = ", ".join(f"e.{k.strip()}" for k in keys.split(","))
     relation(f"pairs_{name}", f"""
@@ -290,7 +294,7 @@ SELECT *, CASE WHEN dw IS NOT NULL THEN 'dwell' WHEN cx IS NOT NULL THEN 'crossi
   CASE WHEN dw IS NOT NULL THEN dw.s WHEN cx IS NOT NULL THEN 'CX_' || cx WHEN sg THEN 'SIG_' || down_node END AS fac0,
   coalesce(dw.n, false) AS dwell_near_signal FROM (
  SELECT p.*, x_start <= seg_end + 10 AND x_end >= seg_end - 91.44 AS sg,
-  (SELECT arg_min({{'s': z.stop_id, 'n': z.is_near_side}}, z.dist_m) FROM zones z WHERE z.shape_id = p.shape_id AND z.seg_id = p.seg_id AND p.x_start <= z.zone_hi AND p.x_end >= z.zone_lo) AS dw,
+  {dwell} AS dw,
   (SELECT arg_min(c.node_id, c.dist_m) FROM seg_controls c WHERE c.shape_id = p.shape_id AND c.seg_id = p.seg_id
      AND c.control_type NOT IN ('traffic_signals','ped_crossing_signal') AND p.x_start <= c.dist_m + 10 AND p.x_end >= c.dist_m - 50) AS cx
  FROM primary_{name} p)""")

@@ -6,11 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kerbline.constants import FT_PER_M, LOCAL_TZ
 from kerbline.functions import text, timeutil
-from kerbline.operators.motion import strictly_increasing
 from kerbline.operators.ordered import number_rows
 from kerbline.operators.select import dedupe_pings, filter_deadhead
 from kerbline.sources import schemas
@@ -49,16 +47,33 @@ def _hour(prefix: str = "") -> Column:
     return F.make_timestamp(*c, F.lit(0), F.lit(0))
 
 
-def archive_hours(archive: DataFrame, agency: str | None = None) -> DataFrame:
+def partition_hours(spark: SparkSession, path: str, agency: str | None = None) -> DataFrame:
+    """Hours of an archive from the names of its folders alone: agency, year, month, day, hour and the UTC start ``dt``, in order.
+
+    Folders are listed level by level with one glob; no data file is opened.
+    """
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/agency={agency or '*'}/year=*/month=*/day=*/hour=*")
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath().toString() for s in fs.globStatus(place)]
+    names = spark.createDataFrame([(p,) for p in found], "path string")
+    part = lambda key: F.regexp_extract("path", rf"/{key}=([^/]+)", 1)
+    hours = names.select(F.url_decode(part("agency")).alias("agency"), *[part(k).cast("int").alias(k) for k in ("year", "month", "day", "hour")])
+    return hours.withColumn("dt", _hour()).orderBy("dt")
+
+
+def archive_hours(spark: SparkSession, path: str, agency: str | None = None) -> DataFrame:
     """Available hours in order with their UTC start ``dt``."""
-    rows = archive if agency is None else archive.where(F.col("agency") == agency)
-    return rows.select("agency", "year", "month", "day", "hour").distinct().withColumn("dt", _hour()).orderBy("dt")
+    return partition_hours(spark, path, agency)
 
 
-def scan_recent_hours(archive: DataFrame, n: int) -> DataFrame:
-    """Pings of the n most recent hours."""
-    hours = archive.select("year", "month", "day", "hour").distinct().withColumn("dt", _hour()).orderBy(F.col("dt").desc()).limit(n)
-    return archive.join(hours.drop("dt"), ["year", "month", "day", "hour"], "left_semi")
+def scan_recent_hours(spark: SparkSession, path: str, n: int, agency: str | None = None) -> DataFrame:
+    """Pings of the n most recent hours; other folders are not listed in the plan and not read."""
+    hours = partition_hours(spark, path, agency).select("year", "month", "day", "hour", "dt").distinct().orderBy(F.col("dt").desc()).limit(n).collect()
+    wanted = F.lit(False)
+    for h in hours:  # n of them
+        wanted = wanted | ((F.col("year") == h["year"]) & (F.col("month") == h["month"]) & (F.col("day") == h["day"]) & (F.col("hour") == h["hour"]))
+    rows = scan_archive(spark, path).where(wanted)
+    return rows if agency is None else rows.where(F.col("agency") == agency)
 
 
 def scan_hours_from(archive: DataFrame, start: str | None = None) -> DataFrame:
@@ -195,40 +210,62 @@ def scan_observer_events(spark: SparkSession, path, tz: str = LOCAL_TZ) -> DataF
     )
 
 
+def trip_of_path(path: Column) -> Column:
+    """Trip of a chunk file: its ``trip_id=`` folder, else its folder, or the one above a folder named motion."""
+    plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    # a path is encoded as an address, and a column's folder once more
+    named = plain(plain(F.regexp_extract(path, r"/trip_id=([^/]+)/", 1)))
+    folder = F.regexp_extract(path, r"([^/]+)/(?:motion/)?[^/]+$", 1)
+    return F.when(named != "", named).otherwise(plain(folder))
+
+
+def motion_lines(rows: DataFrame) -> DataFrame:
+    """Typed readings of chunk files with the file each comes from; header lines fail the time cast and drop out."""
+    file = F.struct(F.length("_metadata.file_path").alias("size"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_block_start").alias("start"))
+    typed = rows.select(
+        trip_of_path(F.col("_metadata.file_path")).alias("trip_id"), timeutil.parse_local(F.col("timestamp")).alias("ts"), *[F.col(c).try_cast("double").alias(c) for c in schemas.MOTION_CHANNELS], file.alias("file")
+    )
+    return typed.where(F.col("ts").isNotNull())
+
+
+def stitched(readings: DataFrame, place: Column) -> DataFrame:
+    """Readings of a recording by strictly increasing time; of equal times the one first in ``place`` stays.
+
+    Seconds count from the reading that comes first in the files. Rows are reduced
+    by (trip, time), so a long recording is no single task's work.
+    """
+    placed = readings.withColumn("place", place)
+    once = placed.groupBy("trip_id", "ts").agg(F.min_by(F.struct(*schemas.MOTION_CHANNELS), "place").alias("b"), F.min("place").alias("place"))
+    first = once.groupBy("trip_id").agg(F.min_by("ts", "place").alias("t0"))
+    timed = once.join(first, "trip_id").select("trip_id", "ts", ((F.unix_micros("ts") - F.unix_micros("t0")) / 1e6).alias("t"), "b.*")
+    return number_rows(timed, ["trip_id"], ["t"], F.floor(F.col("t") / 600), "i")
+
+
 def scan_motion(spark: SparkSession, path) -> DataFrame:
-    """Sensor chunks of recorded trips stitched together; the trip is the folder.
+    """Sensor chunks of recorded trips stitched together, in the order of file names, blocks and lines.
 
-    Only the first chunk has a header line, which the number casts reject.
+    A chunk may begin before its predecessor ends. Only the first chunk has a header line.
     """
-    schema = T.StructType([T.StructField(f.name, T.StringType()) for f in T.StructType.fromDDL(schemas.MOTION)])
-    rows = spark.read.schema(schema).option("nullValue", "").csv(path).withColumn("trip_id", F.element_at(F.split(F.input_file_name(), "/"), -2))
-    typed = rows.where(F.col("timestamp") != "timestamp").withColumn("ts", timeutil.parse_local(F.col("timestamp")))
-    typed = typed.select("trip_id", "ts", *[F.col(c).try_cast("double").alias(c) for c in ("ax", "ay", "az", "gx", "gy", "gz")])
-    start = typed.groupBy("trip_id").agg(F.min("ts").alias("__t0"))
-    timed = typed.join(start, "trip_id").withColumn("t", (F.unix_micros("ts") - F.unix_micros("__t0")) / 1e6)
-    body = F.struct("ax", "ay", "az", "gx", "gy", "gz")
-    once = timed.groupBy("trip_id", "t").agg(F.min(body).alias("b")).select("trip_id", "t", "b.*")
-    numbered = number_rows(once, ["trip_id"], ["t"], F.floor(F.col("t") / 600), "i")
-    return strictly_increasing(numbered)
+    rows = spark.read.schema(schemas.text_schema(schemas.MOTION_COLUMNS)).options(nullValue="", recursiveFileLookup=True).csv(path)
+    return stitched(motion_lines(rows).withColumn("line", F.monotonically_increasing_id()), F.struct("file", "line"))
 
 
 def scan_trip_meta(spark: SparkSession, path) -> DataFrame:
     """Meta documents of recorded trips, keyed by their folder."""
-    rows = spark.read.option("multiLine", True).schema(
+    rows = spark.read.options(multiLine=True, recursiveFileLookup=True).schema(
         "route_id string, pattern_id string, bus_id string, trip_id string, destination string, observer string, start_t bigint, end_t bigint"
     ).json(path)
-    return rows.withColumn("key", F.element_at(F.split(F.input_file_name(), "/"), -2)).withColumn(
-        "end_t", F.coalesce("end_t", F.col("start_t") + 3_600_000)
-    )
+    return rows.select("*", trip_of_path(F.col("_metadata.file_path")).alias("key")).withColumn("end_t", F.coalesce("end_t", F.col("start_t") + 3_600_000))
 
 
-def _whole_text(spark: SparkSession, path) -> DataFrame:
-    return spark.read.text(path, wholetext=True)
+def _documents(spark: SparkSession, path, lines: bool) -> DataFrame:
+    """JSON documents, one a file, or with ``lines`` one a line, so that a file may hold any number and be split."""
+    return spark.read.text(path, wholetext=not lines)
 
 
-def scan_control_points(spark: SparkSession, path) -> DataFrame:
+def scan_control_points(spark: SparkSession, path, lines: bool = False) -> DataFrame:
     """Control point cache {shape: [point, ...]}; older records lack the newer fields."""
-    parsed = _whole_text(spark, path).select(F.from_json("value", f"map<string,array<{schemas.CONTROL_POINT}>>").alias("m"))
+    parsed = _documents(spark, path, lines).select(F.from_json("value", f"map<string,array<{schemas.CONTROL_POINT}>>").alias("m"))
     rows = parsed.select(F.explode("m").alias("shape_id", "points")).select("shape_id", F.explode("points").alias("c"))
     return rows.select(
         "shape_id", F.col("c.intersection_node_id").alias("node_id"), "c.lat", "c.lon", F.col("c.dist_along_route_m").alias("dist_m"),
@@ -239,24 +276,24 @@ def scan_control_points(spark: SparkSession, path) -> DataFrame:
     )
 
 
-def scan_way_segments(spark: SparkSession, path) -> DataFrame:
-    parsed = _whole_text(spark, path).select(F.from_json("value", f"map<string,array<{schemas.WAY_SEGMENT}>>").alias("m"))
+def scan_way_segments(spark: SparkSession, path, lines: bool = False) -> DataFrame:
+    parsed = _documents(spark, path, lines).select(F.from_json("value", f"map<string,array<{schemas.WAY_SEGMENT}>>").alias("m"))
     return parsed.select(F.explode("m").alias("shape_id", "ways")).select("shape_id", F.posexplode("ways").alias("way_no", "w")).select(
         "shape_id", F.col("way_no").cast("long").alias("way_no"), "w.*"
     )
 
 
-def scan_osm(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
+def scan_osm(spark: SparkSession, path, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """(ways, nodes) of map extracts, tags as maps."""
-    parsed = _whole_text(spark, path).select(F.from_json("value", f"struct<elements:array<{schemas.OSM_ELEMENT}>>").alias("d"))
+    parsed = _documents(spark, path, lines).select(F.from_json("value", f"struct<elements:array<{schemas.OSM_ELEMENT}>>").alias("d"))
     items = parsed.select(F.explode("d.elements").alias("e")).select("e.*").withColumn("tags", F.coalesce("tags", F.create_map().cast("map<string,string>")))
     items = items.dropDuplicates(["type", "id"])
     return items.where("type = 'way'").select("id", "nodes", "tags"), items.where("type = 'node'").select("id", "lat", "lon", "tags")
 
 
-def scan_matched_edges(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
+def scan_matched_edges(spark: SparkSession, path, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """(edges, encoded lines) of stored match responses {shape: response}."""
-    parsed = _whole_text(spark, path).select(F.from_json("value", f"map<string,{schemas.MATCH_RESPONSE}>").alias("m"))
+    parsed = _documents(spark, path, lines).select(F.from_json("value", f"map<string,{schemas.MATCH_RESPONSE}>").alias("m"))
     rows = parsed.select(F.explode("m").alias("shape_id", "r")).where(F.col("r.shape").isNotNull())
     edges = rows.select("shape_id", F.posexplode("r.edges").alias("edge_no", "e")).select(
         "shape_id", F.col("edge_no").cast("long").alias("edge_no"), "e.way_id", "e.names", "e.forward", "e.road_class",
@@ -297,9 +334,9 @@ def knots_of_records(records: DataFrame) -> DataFrame:
     )
 
 
-def scan_freeflow(spark: SparkSession, path) -> DataFrame:
+def scan_freeflow(spark: SparkSession, path, lines: bool = False) -> DataFrame:
     """Free-flow seconds per segment from a {segment: seconds} document."""
-    parsed = _whole_text(spark, path).select(F.from_json("value", "map<string,double>").alias("m"))
+    parsed = _documents(spark, path, lines).select(F.from_json("value", "map<string,double>").alias("m"))
     return parsed.select(F.explode("m").alias("seg_id", "t_ff"))
 
 
