@@ -77,30 +77,29 @@ def _(w):
     return readers.scan_highfreq(w.spark, path).withColumn("sec", F.unix_seconds("ping_dt"))
 
 
-def _documents(w, rows: DataFrame, name: str) -> str:
-    """Files with one document {shape: [...]} each, of the shapes of one hash bucket."""
-    per = rows.groupBy(F.pmod(F.hash("shape_id"), F.lit(8)).alias("part")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("shape_id", "items")))).alias("value"))
-    return _written(w, name, lambda path: per.repartition("part").write.partitionBy("part").option("lineSep", " ").text(path))
+def _documents(w, documents: DataFrame, name: str) -> str:
+    """One JSON document a line, in as many files as Spark has tasks; a document holds one shape or a bounded range of ids."""
+    return _written(w, name, lambda path: documents.select(F.col("document").alias("value")).write.text(path))
 
 
-def _files(path: str) -> str:
-    return f"{path}/part=*"
+def _by_shape(items: DataFrame) -> DataFrame:
+    return items.select(F.to_json(F.create_map("shape_id", "items")).alias("document"))
 
 
 @query("scan_control_points", "shape_id node_id lat:6 lon:6 dist_m:3 on_way_id control_type streets signalized", """
 SELECT shape_id, node_id, lat, lon, dist_m, on_way_id, control_type, array_to_string(cross_street_names, '|') AS streets, false AS signalized FROM controls""")
 def _(w):
     point = F.struct(F.col("node_id").alias("intersection_node_id"), "lat", "lon", F.col("dist_m").alias("dist_along_route_m"), "on_way_id", "control_type", "cross_street_names")
-    path = _documents(w, w.controls.groupBy("shape_id").agg(F.collect_list(point).alias("items")), "controls_json")
-    return readers.scan_control_points(w.spark, _files(path)).withColumn("streets", F.array_join("cross_street_names", "|"))
+    path = _documents(w, _by_shape(w.controls.groupBy("shape_id").agg(F.collect_list(point).alias("items"))), "controls_json")
+    return readers.scan_control_points(w.spark, path, lines=True).withColumn("streets", F.array_join("cross_street_names", "|"))
 
 
 @query("scan_way_segments", "shape_id way_no way_id dist_start_m:3 dist_end_m:3 direction", "SELECT shape_id, way_no, way_id, dist_start_m, dist_end_m, 'forward' AS direction FROM way_segments")
 def _(w):
     rows = derived.way_segments(w.spark, w.sf_dir)
     box = F.struct("way_no", F.struct("way_id", "dist_start_m", "dist_end_m", "direction").alias("w"))
-    path = _documents(w, rows.groupBy("shape_id").agg(F.transform(F.array_sort(F.collect_list(box)), lambda b: b["w"]).alias("items")), "ways_json")
-    return readers.scan_way_segments(w.spark, _files(path))
+    path = _documents(w, _by_shape(rows.groupBy("shape_id").agg(F.transform(F.array_sort(F.collect_list(box)), lambda b: b["w"]).alias("items"))), "ways_json")
+    return readers.scan_way_segments(w.spark, path, lines=True)
 
 
 @query("scan_osm", "kind id n_nodes highway", """
@@ -108,18 +107,18 @@ SELECT 'way' AS kind, 100*(g+1) + w AS id, CAST(count(*) AS BIGINT) AS n_nodes,
 UNION ALL SELECT 'way', 1000000 + 100*(g+1) + k, 1, 'secondary' FROM grp, kk WHERE k % 2 = 0""")
 def _(w):
     ways = derived.osm_ways(w.spark, w.sf_dir).select(F.struct(F.lit("way").alias("type"), "id", F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), "nodes", "tags").alias("e"))
-    per = ways.groupBy(F.pmod(F.hash("e.id"), F.lit(8)).alias("part")).agg(F.to_json(F.struct(F.collect_list("e").alias("elements"))).alias("value"))
-    path = _written(w, "osm_json", lambda path: per.repartition("part").write.partitionBy("part").text(path))
-    found, _ = readers.scan_osm(w.spark, _files(path))
+    # extracts overlap: each range of a thousand ids repeats the last hundred of the one before
+    reach = F.when(F.col("e.id") % 1000 >= 900, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    per = ways.withColumn("later", F.explode(reach)).withColumn("range", F.floor(F.col("e.id") / 1000) + F.col("later")).groupBy("range").agg(F.to_json(F.struct(F.collect_list("e").alias("elements"))).alias("document"))
+    found, _ = readers.scan_osm(w.spark, _documents(w, per, "osm_json"), lines=True)
     return found.select(F.lit("way").alias("kind"), "id", F.size("nodes").cast("long").alias("n_nodes"), F.col("tags")["highway"].alias("highway"))
 
 
 @query("scan_freeflow", "seg_id t_ff:3", "SELECT shape_id || ':' || seg_id AS seg_id, t_ff FROM freeflow")
 def _(w):
-    rows = w.freeflow.select(F.concat_ws(":", "shape_id", "seg_id").alias("seg_id"), "t_ff")
-    per = rows.groupBy(F.pmod(F.hash("seg_id"), F.lit(8)).alias("part")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("seg_id", "t_ff")))).alias("value"))
-    path = _written(w, "freeflow_json", lambda path: per.repartition("part").write.partitionBy("part").text(path))
-    return readers.scan_freeflow(w.spark, _files(path))
+    item = F.struct(F.concat_ws(":", "shape_id", "seg_id"), "t_ff")
+    per = w.freeflow.groupBy("shape_id").agg(F.to_json(F.map_from_entries(F.collect_list(item))).alias("document"))
+    return readers.scan_freeflow(w.spark, _documents(w, per, "freeflow_json"), lines=True)
 
 
 @query("write_trip_samples", "trip_id t:3 x:2 v_mph:2", "SELECT trip_id, t, x, v_mph FROM samples")

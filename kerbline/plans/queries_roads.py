@@ -8,7 +8,9 @@ from kerbline.operators import roads, stops
 from kerbline.operators.stage import stage
 from kerbline.plans import derived
 from kerbline.plans.oracle import along, relation, shape, snap
+from kerbline.plans.queries_recording import responses_of
 from kerbline.plans.registry import query
+from kerbline.sources import readers
 
 # Road network ------------------------------------------------------------------------
 
@@ -125,23 +127,14 @@ relation("matched_line", f"SELECT {shape('g')} AS shape_id, k AS idx, 42.02 - 0.
 relation("line_at", "SELECT p_shape AS shape_id, idx, dist_m FROM (" + snap("matched_line", "p_shape, idx, vk", "vk", 200.0).replace("SELECT p.*,", "SELECT p.*, p.shape_id AS p_shape,") + ")")
 
 
-def _edges(w):
-    groups = w.shape_pts.select("shape_id").distinct().withColumn("w", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    return groups.select(
-        "shape_id", F.col("w").cast("long").alias("edge_no"), (F.col("w") + 7).cast("long").alias("way_id"), F.array(F.concat(F.lit("Way "), "w")).alias("names"),
-        F.when(F.col("w") == 2, False).when(F.col("w") < 2, True).alias("forward"), F.lit("primary").alias("road_class"),
-        F.when(F.col("w") == 2, 6 * F.col("w") + 6).otherwise(6 * F.col("w")).alias("begin_idx"), F.when(F.col("w") == 2, 6 * F.col("w")).when(F.col("w") == 3, F.lit(99)).otherwise(6 * F.col("w") + 6).alias("end_idx"),
-    )
-
-
 @query("way_tiling", "shape_id way_id way_no dist_start_m:3 dist_end_m:3 direction name", """
 SELECT b.shape_id, w + 7 AS way_id, w AS way_no, CASE WHEN w = 0 THEN 0.0 ELSE b.dist_m END AS dist_start_m, CASE WHEN w = 3 THEN l.len ELSE e.dist_m END AS dist_end_m,
   CASE WHEN w < 2 THEN 'forward' WHEN w = 2 THEN 'reverse' ELSE 'unknown' END AS direction, 'Way ' || w AS name
 FROM (SELECT range AS w FROM range(4)) JOIN line_at b ON b.idx = 6*w JOIN line_at e ON e.shape_id = b.shape_id AND e.idx = 6*w + 6
 JOIN (SELECT shape_id, max(shape_len_m) AS len FROM shapes GROUP BY 1) l ON l.shape_id = b.shape_id""")
 def _(w):
-    line = w.shape_pts.select("shape_id", (F.col("seq") - 1).alias("idx"), (F.col("lat") + 0.00004).alias("lat"), "lon")
-    return roads.way_tiling(_edges(w), line, w.shapes)
+    edges, lines = readers.scan_matched_edges(w.spark, responses_of(w), lines=True)
+    return roads.way_tiling(stage(edges, "edges"), roads.matched_vertices(lines), w.shapes)
 
 
 @query("diff_control_points", "shape_a shape_b side node_id control_type")

@@ -38,7 +38,8 @@ def _(w):
 
 @query("archive_hours", "agency year month day hour", "SELECT DISTINCT agency, year, month, day, hour FROM archive")
 def _(w):
-    return readers.archive_hours(_archive(w), "cta")
+    _archive(w)
+    return readers.archive_hours(w.spark, w.archive_path, "cta")
 
 
 relation("recent_hours", "SELECT DISTINCT year, month, day, hour FROM archive ORDER BY 1 DESC, 2 DESC, 3 DESC, 4 DESC LIMIT 2")
@@ -46,7 +47,8 @@ relation("recent_hours", "SELECT DISTINCT year, month, day, hour FROM archive OR
 
 @query("scan_recent_hours", "entity_id hour", "SELECT entity_id, a.hour FROM archive a JOIN recent_hours r ON a.year = r.year AND a.month = r.month AND a.day = r.day AND a.hour = r.hour")
 def _(w):
-    return readers.scan_recent_hours(_archive(w), 2)
+    _archive(w)
+    return readers.scan_recent_hours(w.spark, w.archive_path, 2)
 
 
 @query("scan_hours_from", "entity_id hour", "SELECT entity_id, hour FROM archive WHERE make_timestamp(year, month, day, hour, 0, 0.0) >= TIMESTAMP '2024-01-01 13:00:00'")

@@ -64,8 +64,8 @@ def test_archive_and_avl_layout(spark, tmp_path):
     archive = spark.createDataFrame(rows, schemas.ARCHIVE_PING)
     archive.write.partitionBy("agency", "year", "month", "day", "hour").parquet(str(tmp_path / "arch"))
     read = readers.scan_archive(spark, str(tmp_path / "arch"), "22")
-    assert [r.hour for r in readers.archive_hours(read, "cta").collect()] == [12, 13]
-    assert readers.scan_recent_hours(read, 1).count() == 1
+    assert [r.hour for r in readers.archive_hours(spark, str(tmp_path / "arch"), "cta").collect()] == [12, 13]
+    assert readers.scan_recent_hours(spark, str(tmp_path / "arch"), 1).count() == 1
     plan = readers.scan_hours_from(read, "2026-05-05 13:00:00")
     assert plan.count() == 1 and "PartitionFilters: []" not in plan._jdf.queryExecution().executedPlan().toString()
     ms = int(at.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
@@ -138,16 +138,6 @@ def test_trajectory_round_trip_and_size(spark, products, tmp_path):
     assert sum(f.stat().st_size for f in (tmp_path / "c").glob("*.parquet")) < 20000
 
 
-def test_incremental_build_keeps_failures_visible(spark, tmp_path):
-    keys = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
-    path = str(tmp_path / "inc")
-    build = lambda todo: todo.where("k <> 'c'").withColumn("v", F.lit(1))
-    assert [r.k for r in sinks.incremental_build(keys, path, ["k"], build).collect()] == ["c"]
-    again = []
-    sinks.incremental_build(keys, path, ["k"], lambda todo: again.extend(r.k for r in todo.collect()) or build(todo))
-    assert again == ["c"] and spark.read.parquet(path).count() == 2
-
-
 def test_daylight_saving_and_text_rules(spark):
     rows = spark.createDataFrame([("2026-03-08 02:30:00",), ("2026-11-01 01:30:00",), ("2026-11-01 02:30:00",), ("2026-07-01 12:00:00.250",)], "s string")
     strict = [r.u for r in rows.select(timeutil.local_to_utc_strict(timeutil.parse_local(F.col("s"))).alias("u")).collect()]
