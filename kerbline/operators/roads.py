@@ -15,6 +15,7 @@ from kerbline.constants import (
 from kerbline.functions import text
 from kerbline.operators.intervals import bins
 from kerbline.operators.mapmatch import snap_to_shape
+from kerbline.operators.matching import greedy_pairs
 from kerbline.operators.ordered import (
     asof, cum_max, cum_sum, last_known, scan, sessions, whole,
 )
@@ -277,27 +278,9 @@ def diff_control_points(a: DataFrame, b: DataFrame, pairs: DataFrame, *, radius_
     dy = (F.col("lat_a") - F.col("lat_b")) * M_PER_DEG
     dx = (F.col("lon_a") - F.col("lon_b")) * M_PER_DEG * F.cos(F.radians((F.col("lat_a") + F.col("lat_b")) / 2))
     near = ca.join(cb, [*key, "__y", "__x"]).withColumn("gap", F.sqrt(dx * dx + dy * dy)).where(F.col("gap") <= radius_m)
-    near = stage(near.select(*key, "na", "da", "nb", "db", "gap"), "diff_near")
-    reach = near.groupBy("shape_a", "shape_b", "nb").agg(F.max("da").alias("__to"))
-    ranged = stage(near.join(reach, ["shape_a", "shape_b", "nb"]), "diff_reach")
-    order = ["da", "na", "gap", "nb"]
-    run = scan(ranged, ["shape_a", "shape_b"], order, route_slice("da"), __m=cum_max(F.col("__to"), strict=True))
-    grouped = scan(
-        run, ["shape_a", "shape_b"], order, route_slice("da"),
-        __g=cum_sum(F.when(F.coalesce(F.col("da") <= F.col("__m"), F.lit(False)), 0).otherwise(1)),
-    )
-    empty = F.array().cast("array<bigint>")
-    start = F.struct(empty.alias("a"), empty.alias("b"))
-
-    def take(acc: Column, p: Column) -> Column:
-        free = ~F.array_contains(acc["a"], p["na"]) & ~F.array_contains(acc["b"], p["nb"])
-        return F.when(free, F.struct(F.array_append(acc["a"], p["na"]).alias("a"), F.array_append(acc["b"], p["nb"]).alias("b"))).otherwise(acc)
-
-    met = grouped.groupBy("shape_a", "shape_b", "__g").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("p")).select(
-        "shape_a", "shape_b", F.aggregate("p", start, take).alias("m")
-    )
-    met_a = met.select("shape_a", "shape_b", F.explode("m.a").alias("na"))
-    met_b = met.select("shape_a", "shape_b", F.explode("m.b").alias("nb"))
+    met = stage(greedy_pairs(near, ["shape_a", "shape_b"], "na", "nb", ["da", "na", "gap"]), "diff_met")
+    met_a = met.select("shape_a", "shape_b", "na")
+    met_b = met.select("shape_a", "shape_b", "nb")
     named_key = [*key, "names"]
 
     def numbered(rows: DataFrame, dist: str, node: str) -> DataFrame:

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbline.constants import FT_PER_M, M_PER_DEG, M_PER_DEG_LAT_APP
+from kerbline.constants import EARTH_R_M, FT_PER_M, M_PER_DEG, M_PER_DEG_LAT_APP
 from kerbline.functions import geo, text
-from kerbline.operators.intervals import salted_left_join
+from kerbline.operators.intervals import salted_join, salted_left_join
 from kerbline.operators.mapmatch import cumulative_distance
 from kerbline.operators.segments import near_side_stops
 from kerbline.operators.stage import stage
@@ -20,6 +21,11 @@ from kerbline.operators.stage import stage
 BUFFER_M = 27.43
 GOOD_ACCURACY_M = 30.0
 BOX = (0.02, 0.028)
+# cells that answer most points, and how many times n stops may lie around one
+FINE = ((0.0005, 0.0007), (0.002, 0.0028), (0.008, 0.0112))
+POOL = 40
+# the pyramid: size of its smallest cells in degrees, cells of a level along a side of the next, levels above the smallest
+CELL, FAN, LEVELS = 0.00125, 16, 3
 SIMPLIFY_EPS_M = 8.0
 
 
@@ -49,58 +55,111 @@ def filter_bus_stops(stops: DataFrame, city: str = "cta") -> DataFrame:
     return stops.where(CITIES[city].is_bus_stop())
 
 
-def _around(stops: DataFrame, size: tuple[float, float], place: Column) -> DataFrame:
-    """Stops of each map cell and its eight neighbours as one array."""
+def _distinct_places(stops: DataFrame, n: int) -> DataFrame:
+    """Stops that can be among the n nearest of any point: of those at one place the n with the smallest ids."""
+    first = Window.partitionBy("lat", "lon").orderBy("stop_id")
+    ranked = stops.where("lat is not null and lon is not null").select("stop_id", "lat", "lon", F.row_number().over(first).alias("__no"))
+    return ranked.where(F.col("__no") <= n).select("stop_id", F.col("lat").alias("slat"), F.col("lon").alias("slon"))
+
+
+def _pools(places: DataFrame, size: tuple[float, float], most: int) -> DataFrame:
+    """Stops of each map cell and its eight neighbours as one array, where they are at most ``most``."""
     step = F.sequence(F.lit(-1), F.lit(1))
-    spread = stops.select(place.alias("__s"), F.floor(F.col("lat") / size[0]).alias("__y"), F.floor(F.col("lon") / size[1]).alias("__x"))
-    wide = spread.withColumn("__dy", F.explode(step)).withColumn("__dx", F.explode(step))
-    return wide.groupBy((F.col("__y") + F.col("__dy")).alias("__cy"), (F.col("__x") + F.col("__dx")).alias("__cx")).agg(F.collect_list("__s").alias("__near"))
+    wide = places.withColumn("__dy", F.explode(step)).withColumn("__dx", F.explode(step)).select(
+        F.struct("stop_id", "slat", "slon").alias("__s"), (F.floor(F.col("slat") / size[0]) + F.col("__dy")).alias("__cy"), (F.floor(F.col("slon") / size[1]) + F.col("__dx")).alias("__cx")
+    )
+    few = wide.groupBy("__cy", "__cx").count().where(F.col("count") <= most).drop("count")
+    return wide.join(few, ["__cy", "__cx"], "left_semi").groupBy("__cy", "__cx").agg(F.collect_list("__s").alias("__near"))
+
+
+def _inside_box() -> Column:
+    return (F.abs(F.col("slat") - F.col("lat")) < BOX[0]) & (F.abs(F.col("slon") - F.col("lon")) < BOX[1])
+
+
+def _bound(far: bool) -> Column:
+    """Distance that no stop of a cell (lat0..lat1, lon0..lon1) is below, or with ``far`` above."""
+    lat, lon = F.col("lat"), F.col("lon")
+    if far:
+        dy = F.greatest(F.abs(lat - F.col("lat0")), F.abs(lat - F.col("lat1")))
+        dx = F.greatest(F.abs(lon - F.col("lon0")), F.abs(lon - F.col("lon1")))
+        across = F.when((F.col("lat0") <= 0) & (F.col("lat1") >= 0), 1.0).otherwise(F.cos(F.radians(F.least(F.abs("lat0"), F.abs("lat1")))))
+    else:
+        dy = F.greatest(F.lit(0.0), F.col("lat0") - lat, lat - F.col("lat1"))
+        dx = F.greatest(F.lit(0.0), F.col("lon0") - lon, lon - F.col("lon1"))
+        across = F.cos(F.radians(F.greatest(F.abs("lat0"), F.abs("lat1"))))
+    h = F.pow(F.sin(F.radians(dy) / 2), 2) + F.cos(F.radians(lat)) * across * F.pow(F.sin(F.radians(dx) / 2), 2)
+    return 2 * EARTH_R_M * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+
+
+def _descend(points: DataFrame, places: DataFrame, n: int, key: str, boxed: bool) -> DataFrame:
+    """The n nearest stops (with ``boxed`` of those in the box) by descending a pyramid of cells.
+
+    A cell that begins beyond a distance within which other cells surely hold n
+    stops is left out, so a point follows few cells on each level, wherever it is.
+    """
+    ids = places.select("*", F.floor(F.col("slat") / CELL).alias("__y"), F.floor(F.col("slon") / CELL).alias("__x"))
+    up = lambda c, k: F.floor(F.col(c) / FAN**k)
+    extent = [F.count("*").alias("count"), F.min("slat").alias("lat0"), F.max("slat").alias("lat1"), F.min("slon").alias("lon0"), F.max("slon").alias("lon1")]
+
+    def cells(k: int) -> DataFrame:
+        return ids.groupBy(up("__y", k).alias("__cy"), up("__x", k).alias("__cx")).agg(*extent)
+
+    def pruned(rows: DataFrame) -> DataFrame:
+        sure = F.lit(True)
+        if boxed:
+            lat, lon = F.col("lat"), F.col("lon")
+            wide, tall = BOX[1] + 1e-9, BOX[0] + 1e-9
+            rows = rows.where((F.col("lat1") > lat - tall) & (F.col("lat0") < lat + tall) & (F.col("lon1") > lon - wide) & (F.col("lon0") < lon + wide))
+            wide, tall = BOX[1] - 1e-9, BOX[0] - 1e-9
+            sure = (F.col("lat0") > lat - tall) & (F.col("lat1") < lat + tall) & (F.col("lon0") > lon - wide) & (F.col("lon1") < lon + wide)
+        rows = rows.select(key, "lat", "lon", "__cy", "__cx", _bound(False).alias("__lo"), F.when(sure, _bound(True)).alias("__hi"), F.when(sure, F.col("count")).otherwise(0).alias("__held"))
+        nearest = Window.partitionBy(key).orderBy(F.asc_nulls_last("__hi"), "__cy", "__cx").rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn("__within", F.when(F.sum("__held").over(nearest) >= n, F.col("__hi")))
+        rows = rows.withColumn("__limit", F.min("__within").over(Window.partitionBy(key)))
+        return rows.where(F.col("__limit").isNull() | (F.col("__lo") <= F.col("__limit") * (1 + 1e-9) + 1e-6)).select(key, "lat", "lon", "__cy", "__cx")
+
+    top = cells(LEVELS).collect()  # at most as many as the globe has cells of five degrees
+    names = ["__cy", "__cx", "count", "lat0", "lat1", "lon0", "lon1"]
+    if not top:
+        return points.select(key, F.lit(0).alias("rank"), F.lit("").alias("stop_id"), F.lit(0.0).alias("dist_m")).limit(0)
+    held = F.arrays_zip(*[F.lit([r[c] for r in top]).alias(c) for c in names])
+    now = pruned(points.select(key, "lat", "lon", F.inline(held).alias(*names)))
+    for k in range(LEVELS - 1, -1, -1):
+        children = cells(k).withColumnsRenamed({"__cy": "__y", "__cx": "__x"}).withColumn("__cy", F.floor(F.col("__y") / FAN)).withColumn("__cx", F.floor(F.col("__x") / FAN))
+        joined = salted_join(now, children, ["__cy", "__cx"], F.col(key))
+        now = pruned(joined.drop("__cy", "__cx").withColumnsRenamed({"__y": "__cy", "__x": "__cx"}))
+    met = salted_join(now, ids.withColumnsRenamed({"__y": "__cy", "__x": "__cx"}), ["__cy", "__cx"], F.col(key))
+    met = met.where(_inside_box()) if boxed else met
+    far = met.select(key, "stop_id", geo.haversine_m(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon")).alias("dist_m"))
+    return far.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("dist_m", "stop_id"))).where(F.col("rank") <= n).select(key, "rank", "stop_id", "dist_m")
 
 
 def nearest_stops(points: DataFrame, stops: DataFrame, *, n: int = 10, key: str = "point_id") -> DataFrame:
     """The n nearest stops of every point, ranked.
 
     The pool is the stops in a box around the point, or all stops where the box
-    holds fewer than n. Cells of growing size serve the points that the smaller
-    size cannot answer exactly; only those reach the next size.
+    holds fewer than n. Cells of growing size, with at most ``POOL`` times n stops
+    around each, answer the points that surely have n stops nearer than the border
+    of the cells; only the others go on, at last to a pyramid of cells. ``key``
+    is unique; points without a position have no rows.
     """
-    place = F.struct("stop_id", F.col("lat").alias("slat"), F.col("lon").alias("slon"))
-
-    def measured(pool: Column) -> Column:
-        far = F.transform(pool, lambda s: F.struct(
-            geo.haversine_m(F.col("lat"), F.col("lon"), s["slat"], s["slon"]).alias("dist_m"), s["stop_id"].alias("stop_id")
-        ))
-        return F.array_sort(far)
-
-    left = points.withColumn("__found", F.lit(None).cast("array<struct<dist_m:double,stop_id:string>>"))
-    sizes = [(0.0025, 0.0035), BOX, (0.32, 0.45), (5.12, 7.2)]
-    for size in sizes:
-        spread = F.coalesce(F.xxhash64(key), F.lit(0))
-        open_ = F.col("__found").isNull()
-        keyed = left.withColumn("__cy", F.when(open_, F.floor(F.col("lat") / size[0])).otherwise(-1000000 - F.pmod(spread, F.lit(100000)))).withColumn(
-            "__cx", F.when(open_, F.floor(F.col("lon") / size[1])).otherwise(F.lit(0))
-        )
-        near = salted_left_join(keyed, _around(stops, size, place), ["__cy", "__cx"], F.col(key))
-        pool = F.coalesce(F.col("__near"), F.array().cast(near.schema["__near"].dataType))
-        if size == BOX:
-            pool = F.filter(pool, lambda s: (F.abs(s["slat"] - F.col("lat")) < BOX[0]) & (F.abs(s["slon"] - F.col("lon")) < BOX[1]))
-        ranked = near.withColumn("__r", measured(pool))
+    places = stage(_distinct_places(stops, n), "places")
+    left, done = points.where("lat is not null and lon is not null").select(key, "lat", "lon"), []
+    far = F.transform("__near", lambda s: F.struct(geo.haversine_m(F.col("lat"), F.col("lon"), s["slat"], s["slon"]).alias("dist_m"), s["stop_id"].alias("stop_id")))
+    for size in FINE:
+        keyed = left.withColumn("__cy", F.floor(F.col("lat") / size[0])).withColumn("__cx", F.floor(F.col("lon") / size[1]))
+        near = salted_left_join(keyed, _pools(places, size, POOL * n), ["__cy", "__cx"], F.col(key))
         reach = F.least(F.lit(size[0] * 110574.0), size[1] * 111320.0 * F.cos(F.radians(F.abs(F.col("lat")) + size[0])))
-        enough = F.size("__r") >= n
-        sure = enough if size == BOX else enough & (F.get("__r", F.lit(n - 1))["dist_m"] <= reach)
-        left = ranked.withColumn("__found", F.when(open_ & sure, F.slice("__r", 1, n)).otherwise(F.col("__found"))).drop("__r", "__near", "__cy", "__cx")
-    left = stage(left, "nearest")
-    done = left.where(F.col("__found").isNotNull()).select(key, F.posexplode("__found").alias("rank", "s"))
-    # Points with fewer than n stops within reach of the widest cells: rank all
-    # stops by partial lists of n per hash group, then merge the lists.
-    rest = left.where(F.col("__found").isNull()).drop("__found")
-    groups = stops.withColumn("__h", F.pmod(F.xxhash64("stop_id"), F.lit(64))).groupBy("__h").agg(F.collect_list(place).alias("__near"))
-    partial = rest.withColumn("__h", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")))).join(groups, "__h").withColumn(
-        "__r", F.slice(measured(F.col("__near")), 1, n)
-    )
-    merged = partial.groupBy(key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("__r"))), 1, n).alias("__found"))
-    late = merged.select(key, F.posexplode("__found").alias("rank", "s"))
-    return done.unionByName(late).select(key, (F.col("rank") + 1).alias("rank"), "s.stop_id", "s.dist_m")
+        ranked = near.withColumn("__r", F.slice(F.array_sort(far), 1, n))
+        sure = (F.size("__r") == n) & (F.get("__r", F.lit(n - 1))["dist_m"] <= reach)
+        step = stage(ranked.select(key, "lat", "lon", F.when(sure, F.col("__r")).alias("__found")), "nearest")
+        done.append(step.where(F.col("__found").isNotNull()).select(key, F.posexplode("__found").alias("place", "s")).select(key, (F.col("place") + 1).alias("rank"), "s.stop_id", "s.dist_m"))
+        left = step.where(F.col("__found").isNull()).select(key, "lat", "lon")
+    boxed = stage(_descend(left, places, n, key, True), "boxed")
+    full = boxed.where(F.col("rank") == n).select(key)
+    rest = left.join(full, key, "left_anti")
+    done += [boxed.join(full, key, "left_semi"), _descend(rest, places, n, key, False)]
+    return reduce(DataFrame.unionByName, [d.withColumn("rank", F.col("rank").cast("int")) for d in done])
 
 
 def project_on_pattern(points: DataFrame, pattern_lines: DataFrame) -> DataFrame:

@@ -137,15 +137,65 @@ def _(w):
     return roads.way_tiling(stage(edges, "edges"), roads.matched_vertices(lines), w.shapes)
 
 
-@query("diff_control_points", "shape_a shape_b side node_id control_type")
-def _(w):
+def _diff_sql(pairs: str, a: str, b: str) -> str:
+    """Greedy pass over the near pairs of two shapes, one recursion step a pair, then names."""
+    gap = "sqrt(pow((a.lat - b.lat)*111320.0, 2) + pow((a.lon - b.lon)*111320.0*cos(radians((a.lat + b.lat)/2)), 2))"
+
+    def numbered(rows: str, c: str) -> str:
+        return f"""SELECT shape_a, shape_b, control_type, list_sort(cross_street_names) AS names, node_id, row_number() OVER (PARTITION BY shape_a, shape_b, control_type, list_sort(cross_street_names) ORDER BY dist_m, node_id) AS no
+ FROM {pairs} p JOIN {rows} r ON r.shape_id = p.{c} WHERE len(cross_street_names) > 0"""
+
+    return f"""
+WITH RECURSIVE near AS (
+ SELECT p.shape_a, p.shape_b, a.node_id AS na, b.node_id AS nb, row_number() OVER (PARTITION BY p.shape_a, p.shape_b ORDER BY a.dist_m, a.node_id, {gap}, b.node_id) AS rn
+ FROM {pairs} p JOIN {a} a ON a.shape_id = p.shape_a JOIN {b} b ON b.shape_id = p.shape_b AND b.control_type = a.control_type WHERE {gap} <= 30.0),
+greedy AS (
+ SELECT shape_a, shape_b, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS ua, CAST([] AS BIGINT[]) AS ub FROM {pairs}
+ UNION ALL
+ SELECT g.shape_a, g.shape_b, n.rn, CASE WHEN list_contains(ua, na) OR list_contains(ub, nb) THEN ua ELSE list_append(ua, na) END, CASE WHEN list_contains(ua, na) OR list_contains(ub, nb) THEN ub ELSE list_append(ub, nb) END
+ FROM greedy g JOIN near n ON n.shape_a = g.shape_a AND n.shape_b = g.shape_b AND n.rn = g.rn + 1),
+last AS (SELECT shape_a, shape_b, arg_max(ua, rn) AS ua, arg_max(ub, rn) AS ub FROM greedy GROUP BY 1, 2),
+xa AS ({numbered(a, 'shape_a')}), xb AS ({numbered(b, 'shape_b')}),
+same AS (SELECT shape_a, shape_b, xa.node_id AS na, xb.node_id AS nb FROM xa JOIN xb USING (shape_a, shape_b, control_type, names, no))
+SELECT l.shape_a, l.shape_b, 'a' AS side, r.node_id, r.control_type FROM last l JOIN {a} r ON r.shape_id = l.shape_a WHERE NOT list_contains(ua, r.node_id) AND NOT EXISTS (SELECT 1 FROM same s WHERE s.shape_a = l.shape_a AND s.shape_b = l.shape_b AND s.na = r.node_id)
+UNION ALL SELECT l.shape_a, l.shape_b, 'b', r.node_id, r.control_type FROM last l JOIN {b} r ON r.shape_id = l.shape_b WHERE NOT list_contains(ub, r.node_id) AND NOT EXISTS (SELECT 1 FROM same s WHERE s.shape_a = l.shape_a AND s.shape_b = l.shape_b AND s.nb = r.node_id)"""
+
+
+def _diff(w, a, b, step: int):
     ids = w.controls.select("shape_id").distinct()
     number = F.substring("shape_id", 4, 5).cast("int")
-    pairs = ids.where(number % 2 == 0).select(F.col("shape_id").alias("shape_a"), F.concat(F.lit("678"), F.lpad((number + 1).cast("string"), 5, "0")).alias("shape_b"))
-    only_a, only_b = roads.diff_control_points(w.controls, w.controls, pairs.join(ids.select(F.col("shape_id").alias("shape_b")), "shape_b"), radius_m=30.0)
+    pairs = ids.where(number % 2 == 0).select(F.col("shape_id").alias("shape_a"), F.concat(F.lit("678"), F.lpad((number + step).cast("string"), 5, "0")).alias("shape_b"))
+    only_a, only_b = roads.diff_control_points(a, b, pairs.join(ids.select(F.col("shape_id").alias("shape_b")), "shape_b"), radius_m=30.0)
     return only_a.withColumn("side", F.lit("a")).unionByName(only_b.withColumn("side", F.lit("b")))
 
 
+for _step in (1, 5):
+    relation(f"shape_pairs{_step}", f"SELECT DISTINCT {shape('a.g')} AS shape_a, {shape('b.g')} AS shape_b FROM grp a JOIN grp b ON b.g = a.g + {_step} WHERE a.g % 2 = 0")
+
+
+@query("diff_control_points", "shape_a shape_b side node_id control_type", _diff_sql("shape_pairs1", "controls", "controls"))
+def _(w):
+    return _diff(w, w.controls, w.controls, 1)
+
+
+# Controls that compete for each other: each twice on one side, three times on the other, some metres apart; streets only at every third
+_CLOSE = "SELECT shape_id, node_id*10 + j AS node_id, lat + j*{step} AS lat, lon, dist_m + j AS dist_m, control_type, CASE WHEN node_id % 3 = 0 THEN cross_street_names ELSE CAST([] AS VARCHAR[]) END AS cross_street_names FROM controls, (SELECT unnest(range({n})) AS j)"
+relation("close_a", _CLOSE.format(step="0.00012 - (node_id % 4)*0.00005", n=2))
+relation("close_b", _CLOSE.format(step="(-0.0001) + (node_id % 5)*0.00004", n=3))
+
+
+@query("diff_close_controls", "shape_a shape_b side node_id control_type", _diff_sql("shape_pairs5", "close_a", "close_b"))
+def _(w):
+    def copies(n: int, shift):
+        rows = w.controls.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        return rows.select(
+            "shape_id", (F.col("node_id") * 10 + F.col("j")).alias("node_id"), (F.col("lat") + shift(F.col("j"), F.col("node_id"))).alias("lat"), "lon", (F.col("dist_m") + F.col("j")).alias("dist_m"), "control_type",
+            F.when(F.col("node_id") % 3 == 0, F.col("cross_street_names")).otherwise(F.array().cast("array<string>")).alias("cross_street_names"),
+        )
+
+    return _diff(w, copies(2, lambda j, k: j * 0.00012 - (k % 4) * 0.00005), copies(3, lambda j, k: j * -0.0001 + (k % 5) * 0.00004), 5)
+
+
 @query("dedupe_osm_elements", "id n_nodes", "SELECT 100*(g+1) + w AS id, count(*) AS n_nodes FROM route_ways GROUP BY 1 UNION ALL SELECT 1000000 + 100*(g+1) + k, 1 FROM grp, kk WHERE k % 2 = 0")
 def _(w):
     twice = _network(w).ways.withColumn("type", F.lit("way"))
