@@ -214,6 +214,18 @@ def _on_shapes(points: DataFrame, candidates: DataFrame, segments: DataFrame, ke
     return rows, totals
 
 
+def distinct_geometries(candidates: DataFrame, segments: DataFrame, first: str) -> DataFrame:
+    """Of the candidates of a route that run along the same line the one with the smallest ``first``.
+
+    Schedules give one line many shape ids; what is measured on one holds for all.
+    """
+    line = F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("seg_idx", *[c for c in _CAND if c != "seg_idx"])))), 256)
+    lines = segments.groupBy("shape_id").agg(line.alias("__line"))
+    known = candidates.join(lines, "shape_id", "left").withColumn("__line", F.coalesce("__line", "shape_id"))
+    best = known.groupBy("route_id", "__line").agg(F.min_by(F.struct(*candidates.columns), F.struct(first, "shape_id")).alias("__c"))
+    return best.select("__c.*")
+
+
 def choose_shape(
     pings: DataFrame, route_shapes: DataFrame, segments: DataFrame, keys: Sequence[str], order: str,
     *, max_perp_m: float = MAX_PERP_M, hint: str | None = None, tie: str | None = None,
@@ -226,7 +238,8 @@ def choose_shape(
     column value.
     """
     keys = list(keys)
-    rows, totals = _on_shapes(pings, route_shapes.select("route_id", "shape_id").distinct(), segments, keys, max_perp_m)
+    lines = distinct_geometries(route_shapes.select("route_id", "shape_id").distinct(), segments, "shape_id")
+    rows, totals = _on_shapes(pings, lines, segments, keys, max_perp_m)
     at = F.struct(order, tie) if tie else F.col(order)
     on = rows.groupBy(*keys, "shape_id").agg(
         F.count(F.lit(1)).alias("n_on"), (F.max_by("dist_m", at) - F.min_by("dist_m", at)).alias("net_m")
@@ -258,7 +271,7 @@ def best_shape(
     qualifies and competes with its own offset otherwise.
     """
     keys = list(keys)
-    rows, totals = _on_shapes(pings, candidates, segments, keys, max_perp_m)
+    rows, totals = _on_shapes(pings, distinct_geometries(candidates, segments, "rank"), segments, keys, max_perp_m)
     by = [*keys, "shape_id"]
     on = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_on"))
     median = quantiles(rows, by, F.col("perp_m"), {"median_perp_m": 0.5})

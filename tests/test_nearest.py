@@ -79,3 +79,22 @@ def test_no_pool_is_longer_than_stated(spark):
     assert kept.groupBy("slat", "slon").count().agg(F.max("count")).first()[0] <= 5
     for size in stops.FINE:
         assert (stops._pools(kept, size, 200).agg(F.max(F.size("__near"))).first()[0] or 0) <= 200
+
+
+def test_shapes_along_one_line_are_scored_once(spark):
+    from kerbline.operators import mapmatch
+
+    line = [(42.0 - 0.01 * k, -87.0) for k in range(5)]
+    beside = [(a, b + 0.01) for a, b in line]
+    shapes = {"S3": line, "S1": line, "S2": beside, "S4": line[::-1], "S5": line}
+    pts = spark.createDataFrame([(s, i, a, b, None) for s, v in shapes.items() for i, (a, b) in enumerate(v)], "shape_id string, seq int, lat double, lon double, dist_m double")
+    segments = mapmatch.shape_segments(pts)
+    route = spark.createDataFrame([("r", "S3"), ("r", "S1"), ("r", "S2"), ("r", "S4"), ("q", "S5"), ("r", "none")], "route_id string, shape_id string")
+    kept = {tuple(r) for r in mapmatch.distinct_geometries(route, segments, "shape_id").collect()}
+    assert kept == {("r", "S1"), ("r", "S2"), ("r", "S4"), ("q", "S5"), ("r", "none")}
+    pings = spark.createDataFrame([("t", "r", i, 42.0 - 0.004 * i, -87.0) for i in range(10)], "trip_id string, route_id string, i int, lat double, lon double")
+    [row] = mapmatch.choose_shape(pings, route, segments, ["trip_id"], "i").collect()
+    assert row["shape_id"] == "S1" and row["frac"] == 1.0
+    ranked = spark.createDataFrame([("r", "S2", 0), ("r", "S3", 1), ("r", "S1", 2)], "route_id string, shape_id string, rank int")
+    [row] = mapmatch.best_shape(pings, ranked, segments, ["trip_id"], "i").collect()
+    assert row["shape_id"] == "S3"
