@@ -14,8 +14,12 @@ at most, so neither a frequent word nor a large corpus makes a large group. Exac
 word counts travel back to the blocks that asked. Words and n-grams are told apart by
 64-bit and by at least 48-bit hashes.
 
-The filter grows with the training tokens, four bits each, up to ``MAX_BITS``
-(256 MB); beyond that its false positives rise, which ``filter_of`` reports.
+The filter has ``BITS_PER_TOKEN`` bits for each training token at every size, so its
+rate of false positives does not grow with the corpus. It is cut by ranges of
+hash. While all parts together have at most ``BROADCAST_BITS`` (256 MB) they are
+broadcast; beyond that each block sends its n-grams to their ranges, where the part is built, and
+gets their levels back. Both ways hold the same bits and give the same
+scores, and nothing but a bounded filter ever reaches the driver.
 
 Defined cases: a null or empty text is its end alone; a null doc_id stays null
 and hashes as empty text; repeated rows are learnt and scored again; without
@@ -39,7 +43,8 @@ from kerbline.llm.texts import blocks, held_out, words
 from kerbline.operators.stage import stage
 
 BLOCK_BYTES = 8_000_000
-MAX_BITS = 1 << 31
+BROADCAST_BITS = 1 << 31
+BITS_PER_TOKEN = 6
 PROBES = 4
 GROWTH = 1.3
 TRUSTS = (20.0, 2000.0, float("inf"))
@@ -173,47 +178,69 @@ def _sequence(codes: bytes, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, n
     return sequence, before, np.repeat(np.arange(len(sizes)), sizes)
 
 
-def ngrams(table: DataFrame, bits: int) -> DataFrame:
-    """part, keys, counts: training unigrams and bigrams of each block with their counts, cut by ranges of hash.
+def _block_ngrams(word: np.ndarray, sequence: np.ndarray, before: np.ndarray, train: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs of codes that occur in ``train``, n-grams, their counts): those pairs' bigrams, then unigrams of the words with a count."""
+    pair, n = np.unique(before[train] << 32 | sequence[train], return_counts=True)
+    which = np.flatnonzero(known)
+    return pair, np.concatenate([bigrams(word[pair >> 32], word[pair & 0xFFFFFFFF]), unigrams(word[which])]), np.concatenate([n, known[which]])
 
-    A key is the 48 bits after the ``bits`` that name the range.
+
+def _keys(gram: np.ndarray, bits: int) -> np.ndarray:
+    """The 48 bits after the ``bits`` that name the range, as six bytes a row."""
+    return np.ascontiguousarray(((gram << np.uint64(bits)) >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
+
+
+def _numbers(keys: list[bytes]) -> np.ndarray:
+    wide = np.zeros((sum(map(len, keys)) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel()
+
+
+def ngrams(table: DataFrame, bits: int, asked: bool = False) -> DataFrame:
+    """block, part, keys, counts: training unigrams and bigrams of each block with their counts, in order of hash and cut by its ranges.
+
+    With ``asked`` all n-grams of the block, those that training did not see with count 0.
     """
 
     def run(batches):
         for batch in batches:
-            for held, sizes, codes, data, counted in _rows(batch):
+            for block, held, sizes, codes, data, counted in _rows(batch):
                 word = np.frombuffer(data, "<u8")
                 sequence, before, row = _sequence(codes, sizes)
                 train = ~np.array(held, bool)[row]
-                pair = np.sort(before[train] << 32 | sequence[train])
-                first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])[: len(pair)])
-                n = np.diff(np.append(first, len(pair)))
-                pair = pair[first]
                 single = _unpacked(counted)
-                known = np.flatnonzero(single)
-                gram = np.concatenate([bigrams(word[pair >> 32], word[pair & 0xFFFFFFFF]), unigrams(word[known])])
-                n = np.concatenate([n, single[known]])
-                order = np.argsort(gram)
+                pair, gram, n = _block_ngrams(word, sequence, before, train, single)
+                if asked:
+                    every, gram, _ = _block_ngrams(word, sequence, before, np.ones(len(train), bool), np.ones(len(word), np.int64))
+                    seen = np.zeros(len(every), np.int64)
+                    seen[np.searchsorted(every, pair)] = n[: len(pair)]
+                    n = np.concatenate([seen, single])
+                order = np.argsort(gram, kind="stable")
                 gram, n = gram[order], n[order]
                 found = _ranges(gram, bits)
-                keys = np.ascontiguousarray(((gram << np.uint64(bits)) >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
+                keys = _keys(gram, bits)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r for r, _, _ in found], pa.int64()), pa.array([keys[a:b].tobytes() for _, a, b in found], pa.binary()), pa.array([_packed(n[a:b]) for _, a, b in found], pa.binary())],
-                    names=["part", "keys", "counts"],
+                    [pa.array([block] * len(found), pa.int64()), pa.array([r for r, _, _ in found], pa.int64()), pa.array([keys[a:b].tobytes() for _, a, b in found], pa.binary()), pa.array([_packed(n[a:b]) for _, a, b in found], pa.binary())],
+                    names=["block", "part", "keys", "counts"],
                 )
 
-    return table.select("held", "sizes", "codes", "words", "counts").mapInArrow(run, "part long, keys binary, counts binary")
+    return table.select("block", "held", "sizes", "codes", "words", "counts").mapInArrow(run, "block long, part long, keys binary, counts binary")
 
 
 def _probes(key: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
     """First place and step of the places where (key, level) leaves its bits."""
     x = _mix(key + np.uint64(0x9E3779B97F4A7C15) * np.asarray(level, np.uint64))
-    return x, (x >> np.uint64(32)) | np.uint64(1)
+    return x, (x << np.uint64(32)) | (x >> np.uint64(32)) | np.uint64(1)
+
+
+def _place(place: np.ndarray, size: int) -> np.ndarray:
+    """Place among ``size`` bits, evenly from the upper half of a hash."""
+    return ((place >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)
 
 
 @dataclass
 class Filter:
-    """Bits of all ranges; ``bits`` name a range, ``size`` bits are a range's part."""
+    """Bits of all ranges; ``bits`` name a range, ``size`` bits, a multiple of eight, are a range's part."""
 
     data: np.ndarray
     bits: int
@@ -222,17 +249,21 @@ class Filter:
     def level(self, gram: np.ndarray) -> np.ndarray:
         """Highest level up to which the filter holds each n-gram; 0 for none."""
         part = (gram >> np.uint64(64 - self.bits)) * np.uint64(self.size) if self.bits else np.zeros(len(gram), np.uint64)
-        key = (gram << np.uint64(self.bits)) >> np.uint64(16)
-        out, left, level = np.zeros(len(gram), np.int64), np.arange(len(gram)), 1
-        while len(left):
+        return self.level_of((gram << np.uint64(self.bits)) >> np.uint64(16), part)
+
+    def level_of(self, key: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """The level of keys whose part begins at bit ``part``; levels end with the last threshold, however full the filter is."""
+        out, left = np.zeros(len(key), np.int64), np.arange(len(key))
+        for level in range(1, len(thresholds()) + 1):
+            if not len(left):
+                break
             place, step = _probes(key, level)
             for _ in range(PROBES):
-                at = (place & np.uint64(self.size - 1)) + part
+                at = _place(place, self.size) + part
                 hit = (self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 left, key, part, place, step = left[hit], key[hit], part[hit], place[hit], step[hit]
                 place = place + step
             out[left] = level
-            level += 1
         return out
 
     def false_rate(self) -> float:
@@ -240,39 +271,60 @@ class Filter:
         return float((np.bitwise_count(self.data).sum() / (8 * len(self.data))) ** PROBES)
 
 
+def _filter_part(key: np.ndarray, counts: np.ndarray, size: int) -> Filter:
+    """The part of one range, from keys with their counts; those with count 0 leave nothing."""
+    key, back = np.unique(key[counts > 0], return_inverse=True)
+    level = np.searchsorted(thresholds(), np.bincount(back, counts[counts > 0], len(key)).astype(np.int64), side="right")
+    each = np.repeat(np.arange(len(key)), level)
+    place, step = _probes(key[each], np.arange(len(each)) - np.repeat(np.cumsum(level) - level, level) + 1)
+    marked = np.zeros(size, bool)
+    for _ in range(PROBES):
+        marked[_place(place, size).astype(np.int64)] = True
+        place = place + step
+    return Filter(np.packbits(marked, bitorder="little"), 0, size)
+
+
 def filter_of(grams: DataFrame, bits: int, size: int) -> Filter:
-    """The filter of all n-grams; each range's part is made in one task, and all parts together have a fixed bound."""
-    limits = thresholds()
+    """The filter of all n-grams on the driver; each range's part is made in one task. The caller bounds 2^bits * size."""
 
     def build(rows: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), np.uint8).reshape(-1, 6)
-        wide = np.zeros((len(keys), 8), np.uint8)
-        wide[:, :6] = keys
         counts = np.concatenate([_unpacked(x) for x in rows.column("counts").to_pylist()])
-        key, back = np.unique(wide.view("<u8").ravel(), return_inverse=True)
-        level = np.searchsorted(limits, np.bincount(back, counts, len(key)).astype(np.int64), side="right")
-        each = np.repeat(np.arange(len(key)), level)
-        place, step = _probes(key[each], np.arange(len(each)) - np.repeat(np.cumsum(level) - level, level) + 1)
-        marked = np.zeros(size, bool)
-        for _ in range(PROBES):
-            marked[(place & np.uint64(size - 1)).astype(np.int64)] = True
-            place = place + step
-        return pa.table([rows.column("part")[:1], pa.array([np.packbits(marked, bitorder="little").tobytes()], pa.binary())], names=["part", "data"])
+        made = _filter_part(_numbers(rows.column("keys").to_pylist()), counts, size)
+        return pa.table([rows.column("part")[:1], pa.array([made.data.tobytes()], pa.binary())], names=["part", "data"])
 
     data = np.zeros((1 << bits) * size // 8, np.uint8)
-    for row in grams.groupBy("part").applyInArrow(build, "part long, data binary").toLocalIterator():
+    for row in grams.select("part", "keys", "counts").groupBy("part").applyInArrow(build, "part long, data binary").toLocalIterator():
         data[row["part"] * size // 8 : (row["part"] + 1) * size // 8] = np.frombuffer(row["data"], np.uint8)
     return Filter(data, bits, size)
 
 
+def answered(grams: DataFrame, size: int) -> DataFrame:
+    """block, part, levels: a byte for each n-gram that a block asked for, from the part built where its range is."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        import zstandard
+
+        keys = rows.column("keys").to_pylist()
+        counts = [_unpacked(x) for x in rows.column("counts").to_pylist()]
+        made = _filter_part(_numbers(keys), np.concatenate(counts), size)
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        told = []
+        for own in keys:  # block by block, so that no more than one block's probes are held
+            key = _numbers([own])
+            told.append(squeeze(made.level_of(key, np.zeros(len(key), np.uint64)).astype(np.uint8).tobytes()))
+        return pa.table([rows.column("block"), rows.column("part"), pa.array(told, pa.binary())], names=["block", "part", "levels"])
+
+    return grams.groupBy("part").applyInArrow(run, "block long, part long, levels binary")
+
+
 def _log_mean(parts: list[np.ndarray]) -> np.ndarray:
     """log10 of the mean of numbers given by their log10."""
     most = np.maximum.reduce(parts)
     return most + np.log10(sum(10.0 ** (p - most) for p in parts) / len(parts))
 
 
-def text_scores(found: Filter, word: np.ndarray, codes: bytes, sizes: list[int], total: int, distinct: int, trusts: tuple[float, ...] = TRUSTS) -> np.ndarray:
-    """log10 probability of each text.
+def text_scores(level, word: np.ndarray, codes: bytes, sizes: list[int], total: int, distinct: int, trusts: tuple[float, ...] = TRUSTS) -> np.ndarray:
+    """log10 probability of each text; ``level`` gives the levels of n-grams.
 
     A level stands for the mean of its counts. After a word seen c times the bigram
     frequency weighs c / (c + trust), the smoothed unigram frequency the rest. A
@@ -281,13 +333,12 @@ def text_scores(found: Filter, word: np.ndarray, codes: bytes, sizes: list[int],
     """
     limits = thresholds()
     counts = np.concatenate([[0.0], (limits[:-1] + limits[1:] - 1) / 2, [float(limits[-1])]])
-    level = lambda gram: np.minimum(found.level(gram), len(limits))
     sequence, before, _ = _sequence(codes, sizes)
     starts = np.cumsum(sizes) - sizes
-    single = counts[level(unigrams(word))]
     pair, back = np.unique(before << 32 | sequence, return_inverse=True)
     back = back.astype(np.int32)
-    double = counts[level(bigrams(word[pair >> 32], word[pair & 0xFFFFFFFF]))]
+    found = counts[level(np.concatenate([bigrams(word[pair >> 32], word[pair & 0xFFFFFFFF]), unigrams(word)]))]
+    double, single = found[: len(pair)], found[len(pair) :]
     first = single[pair >> 32]
     share = np.minimum(double / np.maximum(first, 1), 1)
     smooth = np.minimum((single[pair & 0xFFFFFFFF] + 1) / (total + distinct + 1), 1)
@@ -295,23 +346,40 @@ def text_scores(found: Filter, word: np.ndarray, codes: bytes, sizes: list[int],
     return _log_mean([np.add.reduceat(np.log10(w * share + (1 - w) * smooth)[back], starts) for w in weights])
 
 
-def score(docs: DataFrame, folds: int = 7, fold: int = 2, max_bits: int = MAX_BITS) -> DataFrame:
+def _in_hash_order(levels: np.ndarray):
+    """Levels given in order of hash, as a function of the n-grams."""
+
+    def level(gram: np.ndarray) -> np.ndarray:
+        out = np.empty(len(gram), np.int64)
+        out[np.argsort(gram, kind="stable")] = levels
+        return out
+
+    return level
+
+
+def score(docs: DataFrame, folds: int = 7, fold: int = 2, broadcast_bits: int = BROADCAST_BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learnt from those not held out."""
     spark = docs.sparkSession
     table = stage(tokenized(docs, held_out(F.col("doc_id"), folds, fold)), "blocks")
     total = int(table.agg(F.sum("n_train").alias("n")).first()["n"] or 0)
     bits = (total // _RANGE_TOKENS).bit_length()
-    wanted = max(1 << 10, 1 << (4 * total).bit_length())
-    size = max(64, min(wanted, max_bits) >> bits)
+    size = max(64, -(-BITS_PER_TOKEN * total >> bits) // 64 * 64 + 64)
     totals = stage(word_totals(table, bits), "totals")
     distinct = int(totals.agg(F.sum("distinct").alias("n")).first()["n"] or 0)
-    shared = spark.sparkContext.broadcast(filter_of(ngrams(table, bits), bits, size))  # at most max_bits, checked above
+    told = totals.select("block", "part", "totals", F.lit(None).cast("binary").alias("levels"))
+    if size << bits <= broadcast_bits:
+        shared = spark.sparkContext.broadcast(filter_of(ngrams(table, bits), bits, size))  # its size is checked here
+    else:
+        shared = None
+        told = told.union(answered(ngrams(table, bits, asked=True), size).select("block", "part", F.lit(None).cast("binary").alias("totals"), "levels"))
 
     def judge(own: pa.Table, counts: pa.Table) -> pa.Table:
         import zstandard
 
-        parts = sorted(zip(counts.column("part").to_pylist(), counts.column("totals").to_pylist()))
         unpack = zstandard.ZstdDecompressor().decompress
+        rows = list(zip(*(counts.column(c).to_pylist() for c in ("part", "totals", "levels"))))
+        parts = sorted((part, data) for part, data, _ in rows if data is not None)
+        level = shared.value.level if shared else _in_hash_order(np.frombuffer(b"".join(unpack(data) for _, data in sorted((part, data) for part, _, data in rows if data is not None)), np.uint8))
         found: list[list] = [[], [], [], [], [], []]
         for ids, held, sizes, codes, data in _rows(own.select(["doc_ids", "held", "sizes", "codes", "words"])):
             word = np.frombuffer(data, "<u8")
@@ -320,7 +388,7 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, max_bits: int = MAX_BI
             sequence = _unpacked(codes)
             starts = np.cumsum(sizes) - sizes
             base = np.log10((known + 1) / (total + distinct + 1))[sequence]
-            own_score = text_scores(shared.value, word, codes, sizes, total, distinct)
+            own_score = text_scores(level, word, codes, sizes, total, distinct)
             for column, values in zip(found, (ids, held, sizes, np.add.reduceat((known > 0)[sequence], starts, dtype=np.int64), np.add.reduceat(base, starts), own_score)):
                 column.extend(values)
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
@@ -328,5 +396,5 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, max_bits: int = MAX_BI
         return pa.table([pa.array(v, k) for v, k in zip(found, kinds)], names=names)
 
     own = table.select("block", "doc_ids", "held", "sizes", "codes", "words").groupBy("block")
-    scored = own.cogroup(totals.select("block", "part", "totals").groupBy("block")).applyInArrow(judge, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = own.cogroup(told.groupBy("block")).applyInArrow(judge, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

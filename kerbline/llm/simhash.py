@@ -66,7 +66,7 @@ def _reseeded(hashes: np.ndarray, number: int) -> np.ndarray:
     """Hashes for the fingerprint of this number; those of number 0 are the given ones."""
     if not number:
         return hashes
-    x = hashes + np.uint64(number) * np.uint64(0x9E3779B97F4A7C15)
+    x = hashes + np.uint64(number * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(27))
 
