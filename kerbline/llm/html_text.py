@@ -4,15 +4,20 @@ Every run of text is a node with a path of block elements from the root. Text
 length and punctuation are summed per path and divided by its nodes; the ratios
 are smoothed over neighbouring nodes, fused by multiplication, and weigh the
 text of each path. The content element is the innermost one that holds nearly
-all of that weight, or the article or main element around that one, and within it every path whose fused ratio reaches the
-threshold, or that is a paragraph, heading, list, quote or table cell not made
-of links, is content. Elements that name themselves as menus, adverts, forms,
-comments and the like are no candidates.
+all of that weight, or the article or main element around that one. Within it a
+path is content if its fused ratio reaches a threshold, which elements and names
+shift: it is zero in an article or main element, and for paragraphs, headings,
+lists, quotes and table cells elsewhere; there, what consists of links is left out, headings excepted.
+Elements that name themselves as menus, adverts, forms, reader comments and the like are no
+candidates: one such word in any of its names is enough for a container, all names
+must hold one for a paragraph or another element of text.
 
 Defined cases: null, empty and text-free pages give the empty string; unclosed
 and stray tags, unfinished comments and bare ``<`` are read as browsers do, as
 far as text is concerned; a null page_id or url stays null; repeated rows are
-read again; an empty table gives no rows; other columns are ignored.
+read again; an empty table gives no rows; other columns are ignored. Reading is
+linear in the length of a page, also of one that never closes a tag; elements
+nested more than ``DEPTH`` deep share the path of the last one within it.
 """
 
 from __future__ import annotations
@@ -30,8 +35,8 @@ from kerbline.llm.texts import blocks
 
 #: Fixed values of HTML: elements by how they hold text.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style title textarea noscript template iframe svg math object select".split())
-INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+RAW = set("script style title textarea noscript template iframe svg object select annotation annotation-xml".split())
+INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var math semantics mi mn mo mrow ms mtext msup msub msubsup mfrac msqrt mroot mover munder munderover mfenced mpadded mphantom mstyle".split())
 ENDS_PARAGRAPH = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: Words of the choice, each by its role.
@@ -39,18 +44,25 @@ NOISE_TAGS = set("nav footer aside form button menu dialog fieldset".split())
 NOISE_ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 NOISE_NAMES = set(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer form header login masthead menu "
-    "modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split()
+    "modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related replies reply respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split()
 )
 CONTENT_NAMES = set("article articlebody body content entry main post story text".split())
+#: Words that say how a page is laid out rather than what an element is.
+STATES = set("has with without no not is show hide open closed enabled disabled on off allowed".split())
+WRAPS = set("wrap wrapper container layout inner grid".split())
+LAYOUT_NAMES = set("sidebar header footer nav menu banner".split())
 CONTENT_TAGS = set("article main".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 ALWAYS = set("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption caption".split())
 #: Elements nested deeper take the place of the innermost one.
 DEPTH = 512
-ROOTS = set("html body article main".split())
+ROOTS = set("html body main".split())
 
-_TAG = re.compile(r"<!--|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^'\"<>]|\"[^\"<]*\"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>")
+_OPEN = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+_NAMED = re.compile(r"<(/?)([a-zA-Z][^\s/><]*+)")
+_ATTRIBUTES = re.compile(r"((?:[^'\"<>]|\"[^\"<]*\"|'[^'<]*')*+)>")
 _ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_NAME = re.compile(r"[A-Za-z]+")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -70,6 +82,15 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)} if raw else {}
 
 
+def _noise_name(name: str) -> bool:
+    """Whether one class or id names something else than content: any word of it does, unless it tells a state of the page or a frame around content."""
+    words = {w.lower() for w in _NAME.findall(name)}
+    found = words & NOISE_NAMES
+    if not found or words & STATES:
+        return False
+    return not (found <= LAYOUT_NAMES and words & CONTENT_NAMES and (found == {"header"} or words & WRAPS))
+
+
 def _noise(tag: str, own: dict[str, str], inside: bool) -> bool:
     """Whether an element names itself as something else than content; ``inside`` an article or main element."""
     if tag in ROOTS:
@@ -80,13 +101,16 @@ def _noise(tag: str, own: dict[str, str], inside: bool) -> bool:
         return True
     if own.get("role", "").lower() in NOISE_ROLES:
         return True
-    names = {n.lower() for n in _NAME.findall(f"{own.get('class', '')} {own.get('id', '')}")}
-    return bool(names & NOISE_NAMES) and not names & CONTENT_NAMES
+    names = f"{own.get('class', '')} {own.get('id', '')}".split()
+    said = [n for n in names if _noise_name(n)]
+    if tag == "article":  # themes add words on the page to an article's names
+        return any(n.lower() in NOISE_NAMES or n.lower().startswith("comment") for n in said)
+    return bool(said) and (tag not in ALWAYS or len(said) == len(names))
 
 
 def nodes(html: str) -> Iterator[Node]:
     """Text nodes of a page in page order, without those in elements that are no content."""
-    stack: list[tuple[str, str, bool]] = []  # tag, name in the path, noise
+    stack: list[tuple[str, str, bool, bool]] = []  # tag, name in the path, noise, within an article or main element
     link, at, end = 0, 0, len(html)
     node: Node | None = None
 
@@ -95,7 +119,8 @@ def nodes(html: str) -> Iterator[Node]:
         if stack and stack[-1][2] or not raw:
             return
         if node is None:
-            node = Node(tuple(s[1] for s in stack), stack[-1][0] if stack else "")
+            path = tuple(s[1] for s in stack)
+            node = Node(paths.setdefault(path, path), stack[-1][0] if stack else "")
         text = unescape(raw) if "&" in raw else raw
         node.parts.append(text)
         if link:
@@ -108,33 +133,57 @@ def nodes(html: str) -> Iterator[Node]:
             done.text = " ".join("".join(done.parts).split())
         return done if done is not None and done.text else None
 
+    paths: dict[tuple[str, ...], tuple[str, ...]] = {}
+    unclosed: set[str] = set()
+    last = html.rfind(">")
+
+    def closing_tag(name: str, start: int) -> int:
+        """End of the next closing tag of this name, or -1; a search that failed is not repeated."""
+        if name in unclosed:
+            return -1
+        found = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, start)
+        if not found:
+            unclosed.add(name)
+        return found.end() if found else -1
+
     while at < end:
-        found = _TAG.search(html, at)
+        found = _OPEN.search(html, at)
         if not found:
             add(html[at:])
             break
-        add(html[at : found.start()])
-        at = found.end()
+        begin = found.start()
         if found[0] == "<!--":
-            stop = html.find("-->", at)
+            add(html[at:begin])
+            stop = html.find("-->", begin + 4)
             at = end if stop < 0 else stop + 3
             continue
-        closing, tag, raw = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
-        if tag is None:
+        if begin > last:  # no tag ends any more: text, up to a comment
+            stop = html.find("<!--", begin)
+            add(html[at : stop if stop >= 0 else end])
+            break
+        add(html[at:begin])
+        if found[0] in ("<!", "<?"):
+            at = html.find(">", begin) + 1
             continue
-        tag = tag.lower()
+        named = _NAMED.match(html, begin)
+        closing, tag = named[1], named[2].lower()
+        rest = _ATTRIBUTES.match(html, named.end())
+        if rest:
+            raw, at = rest[1], rest.end()
+        else:
+            stop = html.find(">", named.end())
+            raw, at = html[named.end() : stop], stop + 1
         if tag in RAW:
             if not closing:
-                stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-                at = stop.end() if stop else end
+                stop = closing_tag(tag, at)
+                at = end if stop < 0 else stop
             continue
         if tag in INLINE:
             if tag == "a":
                 link = not closing
             own = _attributes(raw) if raw and not closing else {}
             if own and ("hidden" in own or _HIDDEN.search(own.get("style", ""))):
-                stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-                at = stop.end() if stop else at
+                at = max(at, closing_tag(tag, at))
             continue
         if done := close():
             yield done
@@ -153,9 +202,10 @@ def nodes(html: str) -> Iterator[Node]:
         if len(stack) >= DEPTH:
             stack.pop()
         own = _attributes(raw)
-        noise = bool(stack and stack[-1][2]) or _noise(tag, own, any(s[0] in CONTENT_TAGS for s in stack))
+        inside = bool(stack and stack[-1][3])
+        noise = bool(stack and stack[-1][2]) or _noise(tag, own, inside)
         name = tag + "".join("." + c for c in own.get("class", "").lower().split()) if tag in ("div", "section") else tag
-        stack.append((tag, name, noise))
+        stack.append((tag, name, noise, inside or tag in CONTENT_TAGS))
     if done := close():
         yield done
 
@@ -195,12 +245,14 @@ def main_text(html: str, threshold: float = 0.1, share: float = 0.85) -> str:
     # what encloses the content element as article or main is wholly the article; the innermost such element counts
     inner = next((inner[:k] for k in range(len(inner), 0, -1) if inner[k - 1] in CONTENT_TAGS), inner)
     best = max(fused.values())
+    article = any(p in CONTENT_TAGS for p in inner)
 
     def content(path: tuple[str, ...], tag: str) -> bool:
-        n, plain, _, linked = total[path]
-        if path[: len(inner)] != inner or linked > plain:
+        _, plain, _, linked = total[path]
+        if path[: len(inner)] != inner:
             return False
-        return tag in ALWAYS or fused[path] >= threshold * best or path == inner
+        shift = 0 if article or tag in ALWAYS or path == inner else 1
+        return fused[path] >= shift * threshold * best and (article or tag in HEADINGS or linked <= plain)
 
     return " ".join(n.text for n in found if content(n.path, n.tag))
 
