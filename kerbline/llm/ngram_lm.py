@@ -12,7 +12,7 @@ distinct words. Words and n-grams leave a block once each, packed by ranges of
 their hash; a range is summed in one task and holds about a million of the tokens
 at most, so neither a frequent word nor a large corpus makes a large group. Exact
 word counts travel back to the blocks that asked. Words and n-grams are told apart by
-64-bit and by at least 48-bit hashes.
+64-bit hashes, and by 40 bits within a range.
 
 The filter has ``BITS_PER_TOKEN`` bits for each training token at every size, so its
 rate of false positives does not grow with the corpus. It is cut by ranges of
@@ -45,6 +45,7 @@ from kerbline.operators.stage import stage
 BLOCK_BYTES = 8_000_000
 BROADCAST_BITS = 1 << 31
 BITS_PER_TOKEN = 6
+KEY_BITS = 40  # of an n-gram within a range; with a million tokens a range hardly any two share them
 PROBES = 4
 GROWTH = 1.3
 TRUSTS = (20.0, 2000.0, float("inf"))
@@ -185,14 +186,19 @@ def _block_ngrams(word: np.ndarray, sequence: np.ndarray, before: np.ndarray, tr
     return pair, np.concatenate([bigrams(word[pair >> 32], word[pair & 0xFFFFFFFF]), unigrams(word[which])]), np.concatenate([n, known[which]])
 
 
+def _key(gram: np.ndarray, bits: int) -> np.ndarray:
+    return (gram << np.uint64(bits)) >> np.uint64(64 - KEY_BITS)
+
+
 def _keys(gram: np.ndarray, bits: int) -> np.ndarray:
-    """The 48 bits after the ``bits`` that name the range, as six bytes a row."""
-    return np.ascontiguousarray(((gram << np.uint64(bits)) >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
+    """The ``KEY_BITS`` after the ``bits`` that name the range, as bytes a row."""
+    return np.ascontiguousarray(_key(gram, bits).view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8])
 
 
 def _numbers(keys: list[bytes]) -> np.ndarray:
-    wide = np.zeros((sum(map(len, keys)) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 6)
+    size = KEY_BITS // 8
+    wide = np.zeros((sum(map(len, keys)) // size, 8), np.uint8)
+    wide[:, :size] = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, size)
     return wide.view("<u8").ravel()
 
 
@@ -249,7 +255,7 @@ class Filter:
     def level(self, gram: np.ndarray) -> np.ndarray:
         """Highest level up to which the filter holds each n-gram; 0 for none."""
         part = (gram >> np.uint64(64 - self.bits)) * np.uint64(self.size) if self.bits else np.zeros(len(gram), np.uint64)
-        return self.level_of((gram << np.uint64(self.bits)) >> np.uint64(16), part)
+        return self.level_of(_key(gram, self.bits), part)
 
     def level_of(self, key: np.ndarray, part: np.ndarray) -> np.ndarray:
         """The level of keys whose part begins at bit ``part``; levels end with the last threshold, however full the filter is."""
