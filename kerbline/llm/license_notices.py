@@ -10,6 +10,8 @@ NOTICES: dict[str, tuple[str, ...]] = {
     "all-rights-reserved": ("All rights reserved.",),
     "apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
+        "under the Apache License 2.0",
+        "under the terms of the Apache License, Version 2.0",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at '
         'http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, '
         "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
@@ -28,11 +30,17 @@ NOTICES: dict[str, tuple[str, ...]] = {
         "contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ),
+    "cc-by-3.0": ("Licensed under CC BY 3.0.", "This work is licensed under a Creative Commons Attribution 3.0 Unported License."),
     "cc-by-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    "cc-by-nc-3.0": ("Licensed under CC BY-NC 3.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 3.0 Unported License."),
     "cc-by-nc-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    "cc-by-sa-3.0": ("Licensed under CC BY-SA 3.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License."),
     "cc-by-sa-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    "cc-by-nc-nd-3.0": ("Licensed under CC BY-NC-ND 3.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 3.0 Unported License."),
     "cc-by-nc-nd-4.0": ("Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    "cc-by-nc-sa-3.0": ("Licensed under CC BY-NC-SA 3.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License."),
     "cc-by-nc-sa-4.0": ("Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    "cc-by-nd-3.0": ("Licensed under CC BY-ND 3.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 3.0 Unported License."),
     "cc-by-nd-4.0": ("Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
     "cc0-1.0": ("Licensed under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     "gpl-2.0": (
@@ -66,6 +74,8 @@ NOTICES: dict[str, tuple[str, ...]] = {
     "mit": (
         "Released under the MIT License.",
         "Licensed under the MIT License.",
+        "under the MIT License",
+        "under the terms of the MIT License",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without '
         "restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom "
         "the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial "
@@ -83,4 +93,4 @@ NOTICES: dict[str, tuple[str, ...]] = {
 CUES = r"licen[cs]e|rights[\W_]+reserved|redistribut|is[\W_]+hereby[\W_]+granted|free[\W_]+software|public[\W_]+domain|waived[\W_]+all[\W_]+copyright"
 
 #: Words that make a licence another one.
-DECIDING = frozenset("lesser affero noncommercial noderivatives noderivs sharealike nc nd sa".split())
+DECIDING = frozenset("lesser affero noncommercial noderivatives noderivs sharealike nc nd sa international unported".split())

@@ -1,13 +1,15 @@
 """Licence notices found by conditional compression and confirmed by their wording.
 
 A candidate block is the text around a cue, on either side as far as a notice
-can reach. A notice is confirmed if its words, in order, differ from a stretch of
-the block that holds the cue by at most a tenth of them, in no number and in no
-word that tells licences apart; the
-missing and the added words are returned, so that an exact wording can be told
-from a variant. Confirmed notices are ranked by conditional compression: the
-stretch is compressed once alone and once with the notice as raw dictionary, and
-the notice that saves most bytes wins.
+can reach. Its words are compressed once alone and once with each notice as
+zstandard raw dictionary; notices are ranked by the bytes they save, and those
+that save a fair share of their own size are tried in that order. The first one
+is the finding whose words, in order, differ from a stretch of the block that holds the
+cue by at most a tenth of them, in no number and in no word that tells licences
+apart; the missing and the added words are returned, so that an exact wording
+can be told from a variant. Case, punctuation, line ends, comment marks and the numbers or
+letters of list items are no wording. A name that goes on after the stretch, as in
+``MIT-0``, is another licence. Identifier lines name their licences themselves.
 
 Defined cases: null and empty texts have no findings; equal savings rank the longer notice first, then by
 name; a null doc_id stays null; repeated rows are scanned again; an empty table
@@ -18,7 +20,6 @@ from __future__ import annotations
 
 import difflib
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +32,14 @@ from kerbline.llm.texts import blocks
 
 FINDING = "struct<license:string,begin:int,stop:int,saved:double,n_missing:int,n_added:int,missing:string,added:string>"
 _WORDS = re.compile(r"[^\W_]+")
+#: Numbers and letters of list items, at the start of a line or sentence.
+_ITEM = re.compile(r"(?:^[^\w\n]*|[:;.]\s{1,2})\(?([0-9]{1,2}|[a-z]|[ivx]{2,4})[.)](?=\s+[A-Z\"'])", re.M)
+_BEFORE_VERSION = frozenset("version versions v license licence gpl lgpl agpl".split())
+_IDENTIFIER = r"\(?([A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?)"
+# on the next line only what looks like an identifier
+_LINE = re.compile(r"(?i:SPDX-License-Identifier:)(?:[ \t]*(?=[^\s#*/;-])|[\s#*/;-]*(?=\(?(?:[^\s]*[0-9-]|[A-Z]{2})))" + _IDENTIFIER)
+_FURTHER = re.compile(r"\)?\s+(?:OR|AND)\s+" + _IDENTIFIER)
+_LATER = re.compile(r"(?:-only|-or-later|\+)$")
 
 
 @dataclass(frozen=True)
@@ -61,6 +70,14 @@ def _fit(notice: list[str], block: list[str]) -> tuple[int, int, int]:
     return int(ends[stop]), begin, stop
 
 
+def wording(text: str, low: int = 0, high: int | None = None) -> list[re.Match]:
+    """Words of a stretch of text, without the marks of list items."""
+    high = len(text) if high is None else high
+    found = list(_WORDS.finditer(text, low, high))
+    marks = {m.start(1) for m in _ITEM.finditer(text, low, high)}
+    return [w for k, w in enumerate(found) if w.start() not in marks or k and found[k - 1][0].lower() in _BEFORE_VERSION] if marks else found
+
+
 class Scanner:
     """Notices with their dictionaries; made once a task."""
 
@@ -70,10 +87,18 @@ class Scanner:
         self.tolerance = tolerance
         self.cue = re.compile(cues, re.I)
         self.notices = sorted(((name, text) for name, texts in notices.items() for text in texts), key=lambda x: (-len(x[1]), x))
-        self.words = [_WORDS.findall(text.lower()) for _, text in self.notices]
-        self.bags = [Counter(own) for own in self.words]
+        self.words = [[w[0].lower() for w in wording(text)] for _, text in self.notices]
         self.alone = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.given = [zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, text in self.notices]
+        self.usual = [i for i, (_, text) in enumerate(self.notices) if not _LINE.match(text)]
+        plain = [" ".join(self.words[i]).encode() for i in self.usual]
+        empty = len(self.alone.compress(b""))
+        self.size = [len(self.alone.compress(p)) - empty for p in plain]
+        self.ranking = []
+        for p in plain:
+            own = zstandard.ZstdCompressionDict(p, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            own.precompute_compress(level=3)
+            self.ranking.append(zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=own))
         self.reach = [len(text) * 5 // 4 + 20 for _, text in self.notices]
         self.longest = max(self.reach)
 
@@ -84,8 +109,29 @@ class Scanner:
         spared = alone - len(self.given[i].compress(data))
         return spared, spared / alone
 
-    def confirm(self, text: str, words: list[re.Match], cue: re.Match, i: int) -> tuple[int, Finding] | None:
-        """(bytes saved, finding) of the stretch of the words that holds the cue, if it is near enough to the notice."""
+    def ranked(self, words: list[str], least: float = 0.25) -> list[int]:
+        """Notices that save at least this share of their own size of the compressed words, the largest savings first."""
+        block = " ".join(words).encode("utf-8", "replace")
+        alone = len(self.alone.compress(block))
+        saved = [alone - len(one.compress(block)) for one in self.ranking]
+        return [self.usual[k] for k in sorted((k for k in range(len(saved)) if saved[k] >= least * self.size[k]), key=lambda k: -saved[k])]
+
+    def named(self, text: str, line: re.Match) -> list[Finding]:
+        """The licences that an identifier line names; ``-only``, ``-or-later`` and ``+`` are no part of a name."""
+        import zstandard
+
+        out, begin = [], line.start()
+        while line:
+            own = zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(f"SPDX-License-Identifier: {line[1]}".encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            part = " ".join(text[begin : line.end(1)].split()).encode("utf-8", "replace")
+            alone = len(self.alone.compress(part))
+            out.append(Finding(_LATER.sub("", line[1].lower()), begin, line.end(1), (alone - len(own.compress(part))) / alone, (), ()))
+            line = _FURTHER.match(text, line.end(1))
+            begin = line.start(1) if line else 0
+        return out
+
+    def confirm(self, text: str, words: list[re.Match], cue: re.Match, i: int) -> Finding | None:
+        """The stretch of the words that holds the cue, if it is near enough to the notice."""
         notice, reach = self.words[i], self.reach[i]
         words = [w for w in words if w.start() >= cue.start() - reach and w.end() <= cue.end() + reach]
         while True:
@@ -111,28 +157,31 @@ class Scanner:
         if DECIDING & {*missing, *added} or ("gnu", "library") in pairs or any(c.isdigit() for word in notice for c in word) and any(w.isdigit() and len(w) < 3 for w in added):  # another licence or version
             return None
         at, end = words[begin].start(), words[stop - 1].end()
-        spared, share = self.saved(text[at:end], i)
-        return spared, Finding(self.notices[i][0], at, end, share, tuple(missing), tuple(added))
+        if text[end : end + 1] == "-" and text[end + 1 : end + 2].isalnum():  # the name goes on
+            return None
+        return Finding(self.notices[i][0], at, end, self.saved(text[at:end], i)[1], tuple(missing), tuple(added))
 
     def scan(self, text: str) -> tuple[int, list[Finding]]:
         """(candidate blocks, confirmed findings) of a whole text, from left to right."""
         candidates, found, done, floor = 0, [], -1, 0
+        lines = {m.start() + len("SPDX-"): m for m in _LINE.finditer(text)}
         for cue in self.cue.finditer(text):
             if cue.start() < done:
                 continue
             candidates += 1
             done = cue.end()
-            low, high = max(floor, cue.start() - self.longest), cue.end() + self.longest
+            if cue.start() in lines:
+                found += self.named(text, lines[cue.start()])
+                done = floor = max(done, found[-1].stop)
+                continue
             # cut words at the ends of the block are none of a notice within reach
-            words = list(_WORDS.finditer(text, low, high))
-            held = Counter(w[0].lower() for w in words)
-            # a notice with more words missing than allowed cannot be confirmed
-            likely = [i for i, own in enumerate(self.bags) if sum(max(0, n - held[w]) for w, n in own.items()) <= self.tolerance * len(self.words[i])]
-            near = [x for x in (self.confirm(text, words, cue, i) for i in likely) if x]
-            if near:
-                finding = max(near, key=lambda x: x[0])[1]  # of equal savings the first, the longest notice
-                found.append(finding)
-                done = floor = max(done, finding.stop)
+            words = wording(text, max(floor, cue.start() - self.longest), cue.end() + self.longest)
+            for i in self.ranked([w[0].lower() for w in words]):
+                finding = self.confirm(text, words, cue, i)
+                if finding:
+                    found.append(finding)
+                    done = floor = max(done, finding.stop)
+                    break
         return candidates, found
 
 

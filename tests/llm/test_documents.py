@@ -229,7 +229,7 @@ def test_every_notice_is_found_word_by_word():
 
 
 def test_variants_are_told_and_others_left(spark):
-    mit = NOTICES["mit"][2].replace("any person", "any human being")
+    mit = NOTICES["mit"][4].replace("any person", "any human being")
     texts = [mit, "Licensed under the GNU General Public License, version 9.", "the license of this is unknown", None, "", "Released under the MIT License. Licensed under CC BY-NC 4.0.", "LICENSE " * 500]
     rows = {r["doc_id"]: r for r in license_scan.licenses(documents(spark, texts)).collect()}
     assert (rows[0]["licenses"], rows[0]["n_differences"]) == ("mit", 3)

@@ -44,3 +44,47 @@ def test_creative_commons_are_told_apart():
     for kind, name in own.items():
         assert names(f"This work is licensed under a Creative Commons Attribution{kind} 4.0 International License.") == [name]
     assert names("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivs 4.0 International License.") == []
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("SPDX-License-Identifier: GPL-2.0-or-later", ["gpl-2.0"]), ("// SPDX-License-Identifier: LGPL-2.1-or-later\n", ["lgpl-2.1"]), ("# SPDX-License-Identifier: ISC", ["isc"]), ("SPDX-License-Identifier: MPL-2.0.", ["mpl-2.0"]),
+        ("SPDX-License-Identifier: MIT-0", ["mit-0"]), ("SPDX-License-Identifier: BSD-3-Clause-Clear", ["bsd-3-clause-clear"]), ("SPDX-License-Identifier: (MIT OR Apache-2.0)", ["mit", "apache-2.0"]), ("SPDX-License-Identifier: GPL-3.0+", ["gpl-3.0"]),
+        ("Distributed under the MIT license.", ["mit"]), ("It is licensed under the terms of the MIT license.", ["mit"]), ("Licensed under the Apache License 2.0", ["apache-2.0"]), ("Licensed under CC BY 3.0.", ["cc-by-3.0"]),
+        ("Released under the MIT-0 License.", []), ("This work is licensed under a Creative Commons Attribution 4.0 Unported License.", []),
+        ("This work is licensed under a Creative Commons Attribution 3.0 Unported License.", ["cc-by-3.0"]), ("SPDX-License-Identifier:", []),
+    ],
+)
+def test_short_notices_and_identifiers(text, found):
+    assert names("Some words before.\n" + text + "\nSome words after.") == found
+
+
+@pytest.mark.parametrize("marks", [("*", "*", "*"), ("-", "-", "-"), ("1)", "2)", "3)"), ("a.", "b.", "c."), ("(i)", "(ii)", "(iii)")])
+def test_marks_of_list_items_are_no_wording(marks):
+    for name in ("bsd-2-clause", "bsd-3-clause"):
+        text = NOTICES[name][0]
+        for k, mark in enumerate(marks, 1):
+            text = text.replace(f" {k}. ", f"\n {mark} ")
+        [found] = SCANNER.scan(f"Copyright.\n{text}\nThe end.")[1]
+        assert (found.license, found.missing, found.added) == (name, (), ())
+
+
+def test_the_ranking_is_that_of_compressing_with_every_notice():
+    import zstandard
+
+    text = "Words of the house. " * 10 + NOTICES["gpl-3.0"][1].replace("program", "library") + " And more words of the house. " * 9 + "Licensed under CC BY 4.0."
+    words = [w[0].lower() for w in license_scan.wording(text)]
+    block = " ".join(words).encode()
+    plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
+    alone, empty, saved = len(plain.compress(block)), len(plain.compress(b"")), {}
+    for i in SCANNER.usual:
+        own = " ".join(SCANNER.words[i]).encode()
+        given = zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(own, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+        spared = alone - len(given.compress(block))
+        if spared >= 0.25 * (len(plain.compress(own)) - empty):
+            saved[i] = spared
+    got = SCANNER.ranked(words)
+    assert SCANNER.notices[got[0]][0] == "gpl-3.0" and "cc-by-4.0" in [SCANNER.notices[i][0] for i in got]
+    assert abs(len(set(got) ^ set(saved))) <= 3 and [SCANNER.notices[i][0] for i in sorted(saved, key=lambda i: -saved[i])][:2] == [SCANNER.notices[i][0] for i in got][:2]
+    assert names(text) == ["gpl-3.0", "cc-by-4.0"]
