@@ -12,12 +12,12 @@ from kerbline.constants import (
     SIGNAL_APPROACH_M, SLOW_MPH,
 )
 from kerbline.functions import text
-from kerbline.operators.intervals import overlap_join, overlap_seconds
+from kerbline.operators.intervals import hot_keys, overlap_join, overlap_seconds, split_join
 from kerbline.operators.ordered import (
     following, islands, last_known, next_known, previous, scan, sessions, time_slice,
 )
 from kerbline.operators.quantiles import quantiles
-from kerbline.operators.smooth import last_time_at, sample_trajectory
+from kerbline.operators.smooth import last_time_at, numbered_positions, sample_trajectory
 from kerbline.operators.stage import stage
 
 EVENT_BIN_S = 600.0
@@ -116,16 +116,16 @@ def segment_times(pieces: DataFrame, segs: DataFrame, keys: Sequence[str]) -> Da
     ends = segs.select("shape_id", F.col("x_start").alias("pos_m")).union(
         segs.select("shape_id", F.col("x_end").alias("pos_m"))
     )
-    at = stage(last_time_at(pieces, ends, keys), "times")
+    hot = hot_keys(pieces, ["shape_id"])
+    at = last_time_at(pieces, ends, keys, hot=hot).select(*keys, "shape_id", "place_no", "t_at")
+    number = numbered_positions(ends)
     spans = segs.select("shape_id", "seg_id", "x_start", "x_end", "down_node")
-    start = at.withColumnsRenamed({"pos_m": "x_start", "t_at": "t_in"})
-    end = at.withColumnsRenamed({"pos_m": "x_end", "t_at": "t_out"})
-    return (
-        start.join(spans, ["shape_id", "x_start"])
-        .join(end, [*keys, "shape_id", "x_end"])
-        .select(*keys, "shape_id", "seg_id", "x_start", "x_end", "down_node", "t_in", "t_out",
-                (F.col("t_out") - F.col("t_in")).alias("t_obs"))
-    )
+    of = lambda end: spans.join(number, (spans["shape_id"] == number["shape_id"]) & (spans[end] == number["pos_m"])).select(spans["*"], "place_no", F.lit(end).alias("__end"))
+    sides = stage(of("x_start").unionByName(of("x_end")), "sides")
+    met = split_join(at, sides, ["shape_id", "place_no"], F.struct(*keys), hot)
+    time = lambda end: F.max(F.when(F.col("__end") == end, F.col("t_at")))
+    both = met.groupBy(*keys, "shape_id", "seg_id", "x_start", "x_end", "down_node").agg(time("x_start").alias("t_in"), time("x_end").alias("t_out"))
+    return both.withColumn("t_obs", F.col("t_out") - F.col("t_in"))
 
 
 def event_segments(events: DataFrame, times: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -155,7 +155,7 @@ def proximity_dwells(primary: DataFrame, zones: DataFrame, keys: Sequence[str])
         "shape_id", "seg_id", "stop_id", F.col("dist_m").alias("stop_m"), "is_near_side", "zone_lo", "zone_hi"
     ).where(F.col("zone_hi") >= F.col("zone_lo"))
     hit = overlap_join(
-        primary, spans, ["shape_id", "seg_id"], ("x_start", "x_end"), ("zone_lo", "zone_hi"), 200.0, touching=True
+        primary, spans, ["shape_id", "seg_id"], ("x_start", "x_end"), ("zone_lo", "zone_hi"), 200.0, touching=True, hot=hot_keys(primary, ["shape_id", "seg_id"])
     )
     return hit.groupBy(*keys, "t_start").agg(
         F.min_by(F.struct("stop_id", "is_near_side"), F.struct("stop_m", "stop_id")).alias("__d")
@@ -195,7 +195,7 @@ def attribute_events(
         (F.col("dist_m") - crossing_m).alias("__lo"), (F.col("dist_m") + PAST_FACILITY_M).alias("__hi"),
     )
     crossed = overlap_join(
-        primary, zones, ["shape_id", "seg_id"], ("x_start", "x_end"), ("__lo", "__hi"), 200.0, touching=True
+        primary, zones, ["shape_id", "seg_id"], ("x_start", "x_end"), ("__lo", "__hi"), 200.0, touching=True, hot=hot_keys(primary, ["shape_id", "seg_id"])
     ).groupBy(*keys, "t_start").agg(F.min_by("node_id", F.struct("cx_m", "node_id")).alias("__cx"))
     joined = primary.join(dwells, [*keys, "t_start"], "left").join(crossed, [*keys, "t_start"], "left")
     dwell, cross = F.col("stop_id").isNotNull(), F.col("__cx").isNotNull()
@@ -279,7 +279,7 @@ def segment_decomposition(
     if freeflow is None:
         rows = rows.withColumn("t_ff", F.lit(None).cast("double"))
     else:
-        rows = rows.join(freeflow.select("shape_id", "seg_id", "t_ff"), ["shape_id", "seg_id"], "left")
+        rows = split_join(rows, freeflow.select("shape_id", "seg_id", "t_ff"), ["shape_id", "seg_id"], F.struct(*keys), hot_keys(times, ["shape_id", "seg_id"]), "left")
     cols = [f"{b}_{p}" for b in _BUCKETS for p in ("core", "loss")] + ["t_dwell_near_signal"]
     rows = rows.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in cols})
     rows = rows.withColumns({b: F.col(f"{b}_core") + F.col(f"{b}_loss") for b in _BUCKETS})

@@ -335,8 +335,8 @@ def pick_trip_in_window(pings: DataFrame, lo: str, hi: str, vehicle: str = "bus_
 
 
 def sample_trips(trips: DataFrame, n: int, seed: int, key: str = "trip_id") -> DataFrame:
-    """n trips without replacement, the same ones for the same seed."""
-    return trips.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n trips without replacement, the same ones for the same seed, by MD5 of key and seed."""
+    return trips.orderBy(F.md5(F.concat(F.col(key), F.lit(f":{seed}")).cast("binary")), key).limit(n)
 
 
 def sample_pings(pings: DataFrame, group: str, cap: int, seed: int, key: str = "event_id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +12,7 @@ from kerbline.constants import (
     BANDWIDTH, DEGREE, INVERSE_EPS_M, INVERSE_SAMPLES, M_PER_MI, MAX_PERP_M, MPS_TO_MPH,
 )
 from kerbline.functions import curve, timeutil
-from kerbline.operators.intervals import bins, salted_join
+from kerbline.operators.intervals import HotKeys, bins, salted_join, split_join
 from kerbline.operators.mapmatch import snap_to_shape
 from kerbline.operators.ordered import (
     cum_max, cum_sum, following, last_known, next_known, previous, scan, time_slice, whole,
@@ -214,9 +214,13 @@ def rejects(clocked: DataFrame, keys: Sequence[str]) -> DataFrame:
 def reconstruct(
     pings: DataFrame, segments: DataFrame, keys: Sequence[str], *, bandwidth: int | str = BANDWIDTH,
     degree: int = DEGREE, max_perp_m: float = MAX_PERP_M, tie: str = "event_id",
+    matcher: Callable[..., DataFrame] = snap_to_shape,
 ) -> tuple[DataFrame, DataFrame]:
-    """Hermite pieces of every trip, and the rejected trips."""
-    matched = stage(snap_to_shape(pings, segments, max_perp_m=max_perp_m), "matched")
+    """Hermite pieces of every trip, and the rejected trips.
+
+    ``matcher`` (pings, segments, max_perp_m=...) places pings on their shape: it adds dist_m, perp_m and on_route.
+    """
+    matched = stage(matcher(pings, segments, max_perp_m=max_perp_m), "matched")
     clocked = trip_clock(matched, keys, tie)
     pieces = smooth_pchip(on_route_trace(clocked), keys, bandwidth=bandwidth, degree=degree)
     return pieces, rejects(clocked, keys)
@@ -314,16 +318,24 @@ def at_pings(mono: DataFrame, pieces: DataFrame, keys: Sequence[str]) -> DataFra
     )
 
 
+def numbered_positions(positions: DataFrame) -> DataFrame:
+    """Distinct positions with their number along the shape, a whole number that rows can be joined by: shape_id, pos_m, place_no."""
+    order = Window.partitionBy("shape_id").orderBy("pos_m")  # the positions of one shape
+    return positions.select("shape_id", "pos_m").distinct().withColumn("place_no", F.row_number().over(order))
+
+
 def last_time_at(
-    pieces: DataFrame, positions: DataFrame, keys: Sequence[str], *, n: int = INVERSE_SAMPLES
+    pieces: DataFrame, positions: DataFrame, keys: Sequence[str], *, n: int = INVERSE_SAMPLES, hot: HotKeys | None = None
 ) -> DataFrame:
     """Last time each trip is at or below each position of its shape.
 
     Same answer as searching n even samples of the trip, but only the piece that
     crosses a position is sampled. ``positions``: shape_id, pos_m. A position
-    never reached gives the end time, one already passed the start time.
+    never reached gives the end time, one already passed the start time. Rows of
+    ``hot`` shapes are split. Adds ``place_no`` of ``numbered_positions``.
     """
     keys = list(keys)
+    trip = F.struct(*keys)
     step, lo, hi = _even_grid(n)
     marked = pieces.withColumn("__step", step).withColumn("__lo", lo).withColumn("__hi", hi)
     has = F.col("__hi") >= F.col("__lo")
@@ -338,10 +350,10 @@ def last_time_at(
     cells = linked.where(F.col("x_next") > F.col("x")).withColumn(
         "__bin", F.explode(bins(F.col("x") - eps, F.col("x_next"), POSITION_BIN_M))
     )
-    places = positions.select("shape_id", "pos_m").distinct()
+    places = stage(numbered_positions(positions), "positions")
     goal = places.withColumn("__bin", F.floor(F.col("pos_m") / POSITION_BIN_M))
     pos = F.col("pos_m")
-    crossing = cells.join(goal, ["shape_id", "__bin"]).where(
+    crossing = split_join(cells, goal, ["shape_id", "__bin"], trip, hot).where(
         (F.col("x") <= pos + eps) & (pos + eps < F.col("x_next"))
     )
     crossing = crossing.withColumn("__i", F.when(has, _bisect(lambda g: g["x"] > pos + eps, n)))
@@ -352,7 +364,7 @@ def last_time_at(
     a, b = F.col("__a"), F.col("__b")
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (pos - a["x"]) / (b["x"] - a["x"])))
     found = crossing.select(
-        *keys, "pos_m",
+        *keys, "place_no",
         F.when(b["x"] == a["x"], a["t"]).otherwise(a["t"] + share * (b["t"] - a["t"])).alias("__t"),
     )
     spans = pieces.groupBy(*keys, "shape_id").agg(
@@ -360,10 +372,10 @@ def last_time_at(
         F.min("t_first").alias("t_first"), F.max("t_last").alias("t_last"),
     )
     return (
-        spans.join(places, "shape_id")
-        .join(found, [*keys, "pos_m"], "left")
+        split_join(spans, places, ["shape_id"], trip, hot)
+        .join(found, [*keys, "place_no"], "left")
         .select(
-            *keys, "shape_id", "pos_m",
+            *keys, "shape_id", "pos_m", "place_no",
             F.when(F.col("x_last") < pos, F.col("t_last"))
             .when(F.col("x_first") >= pos, F.col("t_first"))
             .when(F.col("x_last") <= pos + eps, F.col("t_last"))

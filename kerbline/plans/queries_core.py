@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kerbline.operators import aggregate, delay, mapmatch, quintic, segments, smooth, stops
 from kerbline.operators.ordered import asof, interpolate, time_slice
+from kerbline.operators.stage import stage
 from kerbline.plans import derived
 from kerbline.plans.oracle import _H, events_from, grid, locreg, pieces, relation, snap
 from kerbline.plans.registry import query
@@ -386,7 +387,7 @@ def _(w):
 @query("attribute_events", "trip_id t_start:3 seg_id category facility_id dwell_near_signal core_s:3", """
 SELECT trip_id, t_start, seg_id, cat0 AS category, CASE WHEN category = 'signal_overflow' THEN NULL ELSE facility_id END AS facility_id, dwell_near_signal, core_s FROM attributed""")
 def _(w):
-    primary = delay.primary_segment(w.attribution[1], w.events, TRIP)
+    primary = stage(delay.primary_segment(w.attribution[1], w.events, TRIP), "primary")
     return delay.attribute_events(primary, delay.proximity_dwells(primary, w.zones, TRIP), w.seg_controls, TRIP)
 
 

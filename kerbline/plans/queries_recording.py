@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kerbline.functions import timeutil
-from kerbline.operators import delay, roads, sensitivity, stops
+from kerbline.operators import delay, mapmatch, roads, sensitivity, smooth, stops
 from kerbline.operators.stage import new_path, stage
 from kerbline.plans import derived
 from kerbline.plans.oracle import causes_from, relation
@@ -173,6 +173,32 @@ def _(w):
     return per.select("pattern_id", F.posexplode("stops").alias("place", "s")).select("pattern_id", "place", "s.*")
 
 
+@query("stop_bundles_by_direction", "kind pattern_id stop_id stop_seq:s is_near_side:s", """
+SELECT 'call' AS kind, r.k AS pattern_id, c.stop_id, c.stop_sequence AS stop_seq, NULL AS is_near_side
+FROM (SELECT route_id || '_' || direction_id AS k, min(trip_id) AS trip_id FROM gtfs_trips GROUP BY 1) r JOIN stop_times c ON c.trip_id = r.trip_id
+UNION ALL SELECT 'stop', '', stop_id, NULL, NULL FROM stops WHERE stop_seq % 9 <> 8""")
+def _(w):
+    """The second city: patterns by route and direction, stops by their kind, no near-side flags."""
+    found, listed, _ = stops.stop_bundles(derived.gtfs_trips(w.spark, w.sf_dir), derived.gtfs_stop_times(w.spark, w.sf_dir), derived.stop_places(w.spark, w.sf_dir), w.shape_pts, None, city="mta")
+    none = F.lit(None).cast("string")
+    calls = listed.select(F.lit("call").alias("kind"), "pattern_id", "stop_id", F.col("stop_seq").cast("string").alias("stop_seq"), F.col("is_near_side").cast("string").alias("is_near_side"))
+    return calls.union(found.select(F.lit("stop"), F.lit(""), "stop_id", none, none))
+
+
+@query("reconstruct_with_matcher", "trip_id n_knots:s reason", """
+SELECT trip_id, CASE WHEN n >= 2 AND nt >= 2 THEN nt END AS n_knots, CASE WHEN n < 2 THEN 'fewer than 2 on-route pings' WHEN nt < 2 THEN 'one distinct time' ELSE 'kept' END AS reason
+FROM (SELECT trip_id, max(n) AS n, count(DISTINCT CASE WHEN on_route THEN t END) AS nt FROM early_clock GROUP BY 1)""")
+def _(w):
+    """Reconstruction through a matcher of the caller's, here one that leaves out pings on the line itself."""
+
+    def beside(pings, segments, *, max_perp_m):
+        return mapmatch.snap_to_shape(pings, segments, max_perp_m=max_perp_m).withColumn("on_route", F.col("on_route") & (F.col("perp_m") > 2.4))
+
+    pieces, rejected = smooth.reconstruct(w.pings, w.shapes, TRIP, matcher=beside)
+    kept = pieces.groupBy("trip_id").agg(F.count("*").alias("n_knots")).withColumn("reason", F.lit("kept"))
+    return kept.unionByName(rejected.select("trip_id", F.lit(None).cast("long").alias("n_knots"), "reason"))
+
+
 class ServiceDown(Exception):
     """Stands for a service that cannot be reached."""
 
