@@ -142,7 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = texts.join(F.broadcast(chosen), "doc_id")  # a bounded sample
-    found = joined.mapInArrow(run, "doc_id long, quality int, features binary, numbers binary").limit(sample).collect()
+    found = joined.mapInArrow(run, "doc_id long, quality int, features binary, numbers binary")
+    found = found.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "features", "numbers").limit(sample).collect()  # repeated ids: always the same rows
     found.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["features"], r["numbers"]))
     return fit([(np.frombuffer(r["features"], "<i4"), np.frombuffer(r["numbers"], "<f4")) for r in found], np.array([r["quality"] for r in found], float))
 

@@ -336,6 +336,13 @@ def test_interactions_equal_all_pairs():
         assert raw[k] == pytest.approx(0.3 + float(machine.linear[i] @ x) + pairs, rel=1e-3, abs=1e-3)
 
 
+def test_repeated_ids_beyond_the_sample_give_the_same_model(spark):
+    rows = [(i % 5, f"text {i} of many {'good words' if i % 2 else 'bad bad bad'}") for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, quality int")
+    machines = [quality_fm.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), labels, sample=40) for n in (1, 3, 7)]
+    assert all((m.linear == machines[0].linear).all() and (m.factors == machines[0].factors).all() for m in machines)
+
+
 def test_quality_is_learnt_and_all_rows_scored(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality_fm.predict(docs, labels).join(labels, "doc_id").where("held_out").collect()
