@@ -215,9 +215,45 @@ def _(w):
     return smooth.compare_bandwidths(w.trace, TRIP, [5, 10, 20])
 
 
-@query("smooth_mqsi", "trip_id n:0 v_min:1 x_end:1")
+# Elimination forward and substitution backward over the inner knots of a trip, one knot a step.
+relation("bent_rows", """
+SELECT trip_id, k, n_knots, hl, hr, 2*(hl + hr) AS diag, 6*(dr - dl) AS rhs FROM pieces WHERE n_knots > 2 AND k BETWEEN 1 AND n_knots - 2""")
+relation("bent_down", """
+WITH RECURSIVE f AS (SELECT trip_id, k, n_knots, hr, diag, rhs FROM bent_rows WHERE k = 1
+ UNION ALL SELECT r.trip_id, r.k, r.n_knots, r.hr, r.diag - r.hl/f.diag*r.hl, r.rhs - r.hl/f.diag*f.rhs FROM f JOIN bent_rows r ON r.trip_id = f.trip_id AND r.k = f.k + 1)
+SELECT * FROM f""")
+relation("bent_up", """
+WITH RECURSIVE b AS (SELECT trip_id, k, rhs/diag AS c FROM bent_down WHERE k = n_knots - 2
+ UNION ALL SELECT d.trip_id, d.k, (d.rhs - d.hr*b.c)/d.diag FROM b JOIN bent_down d ON d.trip_id = b.trip_id AND d.k = b.k - 1)
+SELECT * FROM b""")
+relation("bent", """
+SELECT p.*, coalesce(c, 0.0) AS c, lead(coalesce(c, 0.0)) OVER (PARTITION BY p.trip_id ORDER BY p.k) AS c_next FROM pieces p LEFT JOIN bent_up b ON b.trip_id = p.trip_id AND b.k = p.k""")
+relation("bent_coef", """
+SELECT *, (10*rest - 4*slope*h + (c_next-c)*h*h/2)/(h*h*h) AS a3, (-15*rest + 7*slope*h - (c_next-c)*h*h)/(h*h*h*h) AS a4, (6*rest - 3*slope*h + (c_next-c)*h*h/2)/(h*h*h*h*h) AS a5 FROM (
+ SELECT *, x_next - x - m*h - c*h*h/2 AS rest, m_next - m - c*h AS slope FROM (SELECT *, t_next - t AS h FROM bent))""")
+relation("bent_grid", """
+SELECT trip_id, i, t_first + i*5.0 AS ts, coalesce(x + s*(m + s*(c/2 + s*(a3 + s*(a4 + s*a5)))), x) AS xs, coalesce(m + s*(c + s*(3*a3 + s*(4*a4 + s*5*a5))), m) AS v_mps, coalesce(c + s*(6*a3 + s*(12*a4 + s*20*a5)), c) AS a_mps2 FROM (
+ SELECT *, t_first + i*5.0 - t AS s FROM (
+  SELECT *, unnest(range(CAST(ceil((t-t_first)/5.0) AS BIGINT), CAST(CASE WHEN t_next IS NULL THEN floor((t-t_first)/5.0 + 1e-9) ELSE ceil((t_next-t_first)/5.0) - 1 END AS BIGINT) + 1)) AS i FROM bent_coef))""")
+
+
+def _bent(w):
+    return quintic.smooth_mqsi(w.pieces, TRIP)
+
+
+@query("mqsi_knots", "trip_id k t:3 c:4 c_next:4", "SELECT * FROM bent")
+def _(w):
+    return _bent(w)
+
+
+@query("sample_quintic", "trip_id i t:3 x:2 v_mps:3 a_mps2:3", "SELECT trip_id, i, ts AS t, xs AS x, v_mps, a_mps2 FROM bent_grid")
+def _(w):
+    return quintic.sample_quintic(_bent(w), TRIP, 5.0)
+
+
+@query("smooth_mqsi", "trip_id n:0 v_min:1 x_end:1", "SELECT trip_id, count(*) AS n, min(v_mps) AS v_min, max(xs) AS x_end FROM bent_grid GROUP BY 1")
 def _(w):
-    grid_rows = quintic.sample_quintic(quintic.smooth_mqsi(w.pieces, TRIP), TRIP, 5.0)
+    grid_rows = quintic.sample_quintic(_bent(w), TRIP, 5.0)
     return grid_rows.groupBy("trip_id").agg(F.count(F.lit(1)).alias("n"), F.min("v_mps").alias("v_min"), F.max("x").alias("x_end"))
 
 

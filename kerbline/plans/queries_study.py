@@ -399,8 +399,9 @@ def _(w):
 # Motion -------------------------------------------------------------------------------------
 
 relation("sensor", """
-SELECT 'T' || l_suppkey AS trip_id, i, i/50.0 + i // 400 AS t, 1.2*sin((i/50.0 + i // 400)*0.8 + l_suppkey % 7) + (l_quantity - 25)/25 AS ax, 0.6*sin((i/50.0 + i // 400)*0.8 + l_suppkey % 7) + (l_discount - 0.05)*20 AS ay,
-  (l_tax - 0.04)*10 AS az FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS i FROM lineitem)""")
+SELECT 'T' || l_suppkey AS trip_id, i, t, 1.2*sin(t*0.8 + l_suppkey % 7) + (l_quantity - 25)/25 AS ax, 0.6*sin(t*0.8 + l_suppkey % 7) + (l_discount - 0.05)*20 AS ay, (l_tax - 0.04)*10 AS az,
+  (l_quantity - 25)/25*20 AS gx, (l_discount - 0.05)*400 AS gy, 20*sin(t*0.8 + l_suppkey % 7) AS gz
+FROM (SELECT *, i/50.0 + i // 400 AS t FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS i FROM lineitem))""")
 
 
 def _gaps(w):
@@ -431,7 +432,49 @@ def _sustained(w):
     return w.sustained
 
 
-@query("lowpass", "trip_id n a_horiz:3 handling")
+# The filter as two second-order sections in a row, one sample a step: forward, then backward over what came out.
+# These sensors never contain gravity (all magnitudes are below 5), so its projection has no statement.
+relation("sensor6", """
+SELECT trip_id, i // 400 AS seg, i, i % 400 AS j, count(*) OVER (PARTITION BY trip_id, i // 400, ch) AS size, ch, cutoff, CASE ch WHEN 'ax' THEN ax WHEN 'ay' THEN ay WHEN 'az' THEN az WHEN 'gx' THEN gx WHEN 'gy' THEN gy ELSE gz END AS v
+FROM sensor, (VALUES ('ax', 0.4), ('ay', 0.4), ('az', 0.4), ('gx', 1.0), ('gy', 1.0), ('gz', 1.0)) f(ch, cutoff)""")
+relation("sensor_hz", "SELECT trip_id, 1/quantile_cont(d, 0.5) AS hz FROM (SELECT trip_id, t - lag(t) OVER (PARTITION BY trip_id ORDER BY t) AS d FROM sensor) GROUP BY 1")
+relation("section", """
+SELECT trip_id, cutoff, k1*k1/n1 AS b1, 2*(k1*k1 - 1)/n1 AS c1, (1 - 2*sin(pi()/8)*k1 + k1*k1)/n1 AS e1, k1*k1/n2 AS b2, 2*(k1*k1 - 1)/n2 AS c2, (1 - 2*cos(pi()/8)*k1 + k1*k1)/n2 AS e2 FROM (
+ SELECT *, 1 + 2*sin(pi()/8)*k1 + k1*k1 AS n1, 1 + 2*cos(pi()/8)*k1 + k1*k1 AS n2 FROM (SELECT trip_id, cutoff, tan(pi()*cutoff/hz) AS k1 FROM sensor_hz, (VALUES (0.4), (1.0)) f(cutoff)))""")
+relation("wide0", """
+SELECT trip_id, seg, ch, row_number() OVER (PARTITION BY trip_id, seg, ch ORDER BY u) AS o, u, v, b1, c1, e1, b2, c2, e2 FROM (
+ SELECT trip_id, seg, ch, cutoff, j AS u, v FROM sensor6 WHERE size >= 11
+ UNION ALL SELECT trip_id, seg, ch, cutoff, -j, 2*v0 - v FROM ends6 WHERE size >= 11 AND j BETWEEN 1 AND least(15, size - 1)
+ UNION ALL SELECT trip_id, seg, ch, cutoff, 2*(size - 1) - j, 2*v1 - v FROM ends6 WHERE size >= 11 AND j BETWEEN size - 1 - least(15, size - 1) AND size - 2)
+JOIN section USING (trip_id, cutoff)""")
+relation("ends6", "SELECT *, first_value(v) OVER w AS v0, last_value(v) OVER w AS v1 FROM sensor6 WINDOW w AS (PARTITION BY trip_id, seg, ch ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
+
+
+def _filtered(src: str) -> str:
+    """Both sections along o; before its first row a series is taken to be constant."""
+    return f"""
+WITH RECURSIVE f AS (
+ SELECT trip_id, seg, ch, o, u, v AS z, v*(1 - b1) AS p1, v*(b1 - e1) AS p2, v*(1 - b2) AS q1, v*(b2 - e2) AS q2 FROM {src} WHERE o = 1
+ UNION ALL
+ SELECT trip_id, seg, ch, o, u, z, 2*b1*v - c1*y + p2, b1*v - e1*y, 2*b2*y - c2*z + q2, b2*y - e2*z FROM (
+  SELECT *, b2*y + q1 AS z FROM (SELECT w.*, f.p2, f.q1, f.q2, w.b1*w.v + f.p1 AS y FROM f JOIN {src} w ON w.trip_id = f.trip_id AND w.seg = f.seg AND w.ch = f.ch AND w.o = f.o + 1)))
+SELECT trip_id, seg, ch, u, z FROM f"""
+
+
+relation("onward", _filtered("wide0"))
+relation("wide1", """
+SELECT f.trip_id, f.seg, f.ch, row_number() OVER (PARTITION BY f.trip_id, f.seg, f.ch ORDER BY f.u DESC) AS o, f.u, f.z AS v, b1, c1, e1, b2, c2, e2 FROM onward f JOIN wide0 w ON w.trip_id = f.trip_id AND w.seg = f.seg AND w.ch = f.ch AND w.u = f.u""")
+relation("backward", _filtered("wide1"))
+relation("quiet0", """
+SELECT s.trip_id, s.i AS n, s.t, max(hz) AS hz, max(CASE WHEN ch = 'ax' THEN z END) AS sx, max(CASE WHEN ch = 'ay' THEN z END) AS sy, max(CASE WHEN ch = 'az' THEN z END) AS sz,
+  max(CASE WHEN ch = 'gx' THEN z END) AS gx, max(CASE WHEN ch = 'gy' THEN z END) AS gy, max(CASE WHEN ch = 'gz' THEN z END) AS gz
+FROM sensor s JOIN sensor_hz USING (trip_id) LEFT JOIN backward b ON b.trip_id = s.trip_id AND b.seg = s.i // 400 AND b.u = s.i % 400 GROUP BY 1, 2, 3""")
+relation("quiet", """
+SELECT *, coalesce(n - last_value(hit IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= pad - 1, false) OR coalesce(first_value(hit IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - n <= pad, false) AS handling FROM (
+ SELECT *, sqrt(sx*sx + sy*sy + sz*sz) AS a_horiz, CASE WHEN sqrt(gx*gx + gy*gy + gz*gz) > 60 THEN n END AS hit, round_even(hz, 0) AS pad FROM quiet0) WINDOW w AS (PARTITION BY trip_id ORDER BY n)""")
+
+
+@query("lowpass", "trip_id n a_horiz:3 handling", "SELECT * FROM quiet")
 def _(w):
     return _sustained(w)
 
