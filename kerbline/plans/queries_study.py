@@ -435,8 +435,8 @@ def _sustained(w):
 # The filter as two second-order sections in a row, one sample a step: forward, then backward over what came out.
 # These sensors never contain gravity (all magnitudes are below 5), so its projection has no statement.
 relation("sensor6", """
-SELECT trip_id, i // 400 AS seg, i, i % 400 AS j, count(*) OVER (PARTITION BY trip_id, i // 400, ch) AS size, ch, cutoff, CASE ch WHEN 'ax' THEN ax WHEN 'ay' THEN ay WHEN 'az' THEN az WHEN 'gx' THEN gx WHEN 'gy' THEN gy ELSE gz END AS v
-FROM sensor, (VALUES ('ax', 0.4), ('ay', 0.4), ('az', 0.4), ('gx', 1.0), ('gy', 1.0), ('gz', 1.0)) f(ch, cutoff)""")
+SELECT trip_id, i // 400 AS seg, i, i % 400 AS j, count(*) OVER (PARTITION BY trip_id, i // 400, ch) AS size, ch, cutoff, CASE ch WHEN 'ax' THEN ax WHEN 'ay' THEN ay WHEN 'az' THEN az WHEN 'gx' THEN gx WHEN 'gy' THEN gy WHEN 'gz' THEN gz WHEN 'wx' THEN radians(gy) WHEN 'wy' THEN radians(gz) ELSE radians(gx) END AS v
+FROM sensor, (VALUES ('ax', 0.4), ('ay', 0.4), ('az', 0.4), ('gx', 1.0), ('gy', 1.0), ('gz', 1.0), ('wx', 0.4), ('wy', 0.4), ('wz', 0.4)) f(ch, cutoff)""")
 relation("sensor_hz", "SELECT trip_id, 1/quantile_cont(d, 0.5) AS hz FROM (SELECT trip_id, t - lag(t) OVER (PARTITION BY trip_id ORDER BY t) AS d FROM sensor) GROUP BY 1")
 relation("section", """
 SELECT trip_id, cutoff, k1*k1/n1 AS b1, 2*(k1*k1 - 1)/n1 AS c1, (1 - 2*sin(pi()/8)*k1 + k1*k1)/n1 AS e1, k1*k1/n2 AS b2, 2*(k1*k1 - 1)/n2 AS c2, (1 - 2*cos(pi()/8)*k1 + k1*k1)/n2 AS e2 FROM (
@@ -467,7 +467,8 @@ SELECT f.trip_id, f.seg, f.ch, row_number() OVER (PARTITION BY f.trip_id, f.seg,
 relation("backward", _filtered("wide1"))
 relation("quiet0", """
 SELECT s.trip_id, s.i AS n, s.t, max(hz) AS hz, max(CASE WHEN ch = 'ax' THEN z END) AS sx, max(CASE WHEN ch = 'ay' THEN z END) AS sy, max(CASE WHEN ch = 'az' THEN z END) AS sz,
-  max(CASE WHEN ch = 'gx' THEN z END) AS gx, max(CASE WHEN ch = 'gy' THEN z END) AS gy, max(CASE WHEN ch = 'gz' THEN z END) AS gz
+  max(CASE WHEN ch = 'gx' THEN z END) AS gx, max(CASE WHEN ch = 'gy' THEN z END) AS gy, max(CASE WHEN ch = 'gz' THEN z END) AS gz,
+  max(CASE WHEN ch = 'wx' THEN z END) AS wx, max(CASE WHEN ch = 'wy' THEN z END) AS wy, max(CASE WHEN ch = 'wz' THEN z END) AS wz
 FROM sensor s JOIN sensor_hz USING (trip_id) LEFT JOIN backward b ON b.trip_id = s.trip_id AND b.seg = s.i // 400 AND b.u = s.i % 400 GROUP BY 1, 2, 3""")
 relation("quiet", """
 SELECT *, coalesce(n - last_value(hit IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= pad - 1, false) OR coalesce(first_value(hit IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - n <= pad, false) AS handling FROM (
@@ -534,12 +535,40 @@ def _on_clock(w):
     return w.on_clock
 
 
-@query("classify_episodes", "trip_id t_start:3 t_end:3 kind a_mean:3")
+relation("gps_acc", """
+SELECT trip_id, t, m, CASE WHEN t_next IS NOT NULL THEN 2*((3*((x_next-x)/(t_next-t))-2*m-m_next)/(t_next-t))
+  ELSE 2*((3*((x-px)/(t-pt))-2*pm-m)/(t-pt)) + 6*(t-pt)*((pm+m-2*((x-px)/(t-pt)))/((t-pt)*(t-pt))) END AS a
+FROM (SELECT *, lag(t) OVER w AS pt, lag(x) OVER w AS px, lag(m) OVER w AS pm FROM path_pieces WINDOW w AS (PARTITION BY trip_id ORDER BY t))""")
+relation("gps_track", """
+SELECT y.trip_id, y.t, coalesce(greatest(g.m, 0.0), 0.0) AS v, coalesce(g.a, 0.0) AS dvdt, y.yaw_dps AS yaw_all, CASE WHEN g.m > 3.0 THEN 1.0 ELSE 0.0 END AS mv FROM yaw y LEFT JOIN gps_acc g ON g.trip_id = y.trip_id AND g.t = y.t""")
+_BETWEEN = ", ".join(f"coalesce(p.{c} + CASE WHEN r.t > p.t THEN (q.t - p.t)/(r.t - p.t) ELSE 0.0 END*(r.{c} - p.{c}), p.{c}, r.{c}) AS {c}" for c in ("v", "dvdt", "yaw_all", "mv"))
+relation("clock_rows", f"""
+SELECT *, abs(v*radians(yaw)) AS a_lat_gps FROM (SELECT *, CASE WHEN mv > 0.5 THEN yaw_all END AS yaw FROM (
+ SELECT q.*, {_BETWEEN} FROM quiet q ASOF LEFT JOIN gps_track p ON p.trip_id = q.trip_id AND p.t <= q.t ASOF LEFT JOIN gps_track r ON r.trip_id = q.trip_id AND r.t >= q.t))""")
+
+
+@query("classify_episodes", "trip_id t_start:3 t_end:3 kind a_mean:3", """
+SELECT trip_id, t_start, t_end, round(a_mean, 3) AS a_mean, CASE WHEN share IS NULL THEN CASE WHEN v < 3.0 THEN 'low-speed' ELSE 'unknown' END
+  WHEN share >= 0.6 THEN CASE WHEN abs(net) >= 45.0 THEN 'turn' ELSE 'steering (curve/lane)' END WHEN share <= 0.35 THEN CASE WHEN dv < -0.05 THEN 'brake' ELSE 'accelerator' END ELSE 'mixed' END AS kind
+FROM (SELECT trip_id, min(t) AS t_start, max(t) AS t_end, avg(a_horiz) AS a_mean, avg(a_lat_gps)/avg(a_horiz) AS share, sum(turned) - arg_min(turned, n) AS net, sum(dvdt)/count(*) AS dv, sum(v)/count(*) AS v FROM (
+  SELECT *, n - row_number() OVER (PARTITION BY trip_id ORDER BY n) AS run FROM (
+   SELECT *, coalesce((t - lag(t) OVER (PARTITION BY trip_id ORDER BY t))*coalesce(yaw, 0.0), 0.0) AS turned FROM clock_rows) WHERE a_horiz > 0.35 AND NOT handling)
+ GROUP BY trip_id, run HAVING max(t) - min(t) >= 1.5)""")
 def _(w):
     return motion.classify_episodes(_on_clock(w))
 
 
-@query("accel_vs_gps", "trip_id n_valid p95_a:3")
+relation("gps_valid", """
+SELECT trip_id, t, a, coalesce(pa + CASE WHEN rt > pt THEN (t - pt)/(rt - pt) ELSE 0.0 END*(ra - pa), pa, ra) AS a_phone, coalesce(ph + CASE WHEN ht > gt THEN (t - gt)/(ht - gt) ELSE 0.0 END*(rh - ph), ph, rh) AS held FROM (
+ SELECT g.trip_id, g.t, g.a, p.t AS pt, p.a_horiz AS pa, r.t AS rt, r.a_horiz AS ra, x.t AS gt, CAST(x.handling AS INT)*1.0 AS ph, y.t AS ht, CAST(y.handling AS INT)*1.0 AS rh FROM gps_acc g
+ ASOF LEFT JOIN (SELECT * FROM quiet WHERE NOT handling AND a_horiz IS NOT NULL) p ON p.trip_id = g.trip_id AND p.t <= g.t ASOF LEFT JOIN (SELECT * FROM quiet WHERE NOT handling AND a_horiz IS NOT NULL) r ON r.trip_id = g.trip_id AND r.t >= g.t
+ ASOF LEFT JOIN quiet x ON x.trip_id = g.trip_id AND x.t <= g.t ASOF LEFT JOIN quiet y ON y.trip_id = g.trip_id AND y.t >= g.t) gps_of
+WHERE EXISTS (SELECT 1 FROM (SELECT trip_id, min(t) AS t0, max(t) AS t1 FROM sensor GROUP BY trip_id, i // 400 HAVING count(*) >= 11) s WHERE s.trip_id = gps_of.trip_id AND gps_of.t BETWEEN t0 AND t1)""")
+
+
+@query("accel_vs_gps", "trip_id n_valid r:3 p95_a:3", """
+SELECT q.trip_id, coalesce(n_valid, 0) AS n_valid, CASE WHEN n_valid > 30 THEN r END AS r, p95_a FROM (SELECT trip_id, quantile_cont(a_horiz, 0.95) AS p95_a FROM quiet WHERE NOT handling GROUP BY 1) q
+LEFT JOIN (SELECT trip_id, count(*) AS n_valid, corr(a_phone, abs(a)) AS r FROM gps_valid WHERE held <= 0.25 GROUP BY 1) v ON v.trip_id = q.trip_id""")
 def _(w):
     return motion.accel_vs_gps(_sustained(w), _gps(w))
 
@@ -550,7 +579,20 @@ def _anchors(w):
     return w.anchors
 
 
-@query("forward_anchors", "trip_id n0 n1 t_mid:3 fx:3 fy:3 fz:3")
+relation("anchor_rows", """
+SELECT *, n - row_number() OVER (PARTITION BY trip_id ORDER BY n) AS run FROM clock_rows WHERE a_horiz > 0.5 AND abs(dvdt) > 0.001 AND abs(v*radians(yaw_all)) < 0.3*greatest(a_horiz, 1e-6) AND NOT handling""")
+relation("anchor_runs", """
+SELECT trip_id, run, n0, n1, (n0 + n1 + 1) // 2 AS n_mid, dv, vx/size AS mx, vy/size AS my, vz/size AS mz FROM (
+ SELECT *, greatest(sqrt(vx*vx + vy*vy + vz*vz), 1e-9) AS size FROM (
+  SELECT trip_id, run, min(n) AS n0, max(n) AS n1, sum(sx*a_horiz) AS vx, sum(sy*a_horiz) AS vy, sum(sz*a_horiz) AS vz, sum(dvdt)/count(*) AS dv FROM anchor_rows GROUP BY 1, 2 HAVING max(t) - min(t) >= 1.5))""")
+relation("anchors", """
+SELECT trip_id, n0, n1 + 1 AS n1, n_mid, t_mid, sign(dv)*mx AS fx, sign(dv)*my AS fy, sign(dv)*mz AS fz FROM (
+ SELECT a.trip_id, a.n0, any_value(a.n1) AS n1, any_value(a.n_mid) AS n_mid, any_value(dv) AS dv, any_value(mx) AS mx, any_value(my) AS my, any_value(mz) AS mz, max(CASE WHEN r.n = a.n_mid THEN r.t END) AS t_mid,
+  stddev_pop(degrees(acos(greatest(-1.0, least(1.0, (r.sx*mx + r.sy*my + r.sz*mz)/greatest(r.a_horiz, 1e-9)))))) AS spread
+ FROM anchor_runs a JOIN anchor_rows r ON r.trip_id = a.trip_id AND r.run = a.run GROUP BY 1, 2) WHERE spread <= 60.0 AND sign(dv) <> 0""")
+
+
+@query("forward_anchors", "trip_id n0 n1 t_mid:3 fx:3 fy:3 fz:3", "SELECT * FROM anchors")
 def _(w):
     return _anchors(w)
 
