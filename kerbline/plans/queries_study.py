@@ -521,10 +521,13 @@ def _(w):
     return _gps(w)
 
 
-@query("turn_events", "trip_id t_start:3 t_end:3", """
+relation("turned_runs", """
 SELECT trip_id, min(t) AS t_start, max(t) AS t_end FROM (SELECT *, rn - row_number() OVER (PARTITION BY trip_id ORDER BY t) AS run FROM (
  SELECT y.trip_id, y.t, y.yaw_dps, p.m, row_number() OVER (PARTITION BY y.trip_id ORDER BY y.t) AS rn FROM yaw y JOIN path_pieces p ON p.trip_id = y.trip_id AND p.t = y.t)
  WHERE abs(yaw_dps) > 0.5 AND m > 3.0) GROUP BY trip_id, run HAVING max(t) - min(t) >= 2""")
+
+
+@query("turn_events", "trip_id t_start:3 t_end:3", "SELECT * FROM turned_runs")
 def _(w):
     return motion.turn_events(_gps(w), min_dps=0.5, min_s=2.0)
 
@@ -605,23 +608,73 @@ def _split(w):
     return w.split
 
 
-@query("propagate_axis", "trip_id n a_long:3 a_lat:3")
+# The axis is turned from sample to sample, onward from the anchor before and back from the anchor after.
+relation("turn_rows", """
+SELECT q.trip_id, q.n // 400 AS seg, q.n % 400 AS j, q.n, q.t, a.fx, a.fy, a.fz, lead(q.t) OVER w IS NULL AS last_row,
+  CASE WHEN wx IS NOT NULL AND lead(q.t) OVER w - q.t < 1.0 THEN lead(q.t) OVER w - q.t ELSE 0.0 END*coalesce(wx, 0.0) AS ax, CASE WHEN wx IS NOT NULL AND lead(q.t) OVER w - q.t < 1.0 THEN lead(q.t) OVER w - q.t ELSE 0.0 END*coalesce(wy, 0.0) AS ay,
+  CASE WHEN wx IS NOT NULL AND lead(q.t) OVER w - q.t < 1.0 THEN lead(q.t) OVER w - q.t ELSE 0.0 END*coalesce(wz, 0.0) AS az,
+  CASE WHEN wx IS NOT NULL AND q.t - lag(q.t) OVER w < 1.0 THEN q.t - lag(q.t) OVER w ELSE 0.0 END*coalesce(wx, 0.0) AS bx, CASE WHEN wx IS NOT NULL AND q.t - lag(q.t) OVER w < 1.0 THEN q.t - lag(q.t) OVER w ELSE 0.0 END*coalesce(wy, 0.0) AS "by",
+  CASE WHEN wx IS NOT NULL AND q.t - lag(q.t) OVER w < 1.0 THEN q.t - lag(q.t) OVER w ELSE 0.0 END*coalesce(wz, 0.0) AS bz
+FROM (SELECT *, count(*) OVER (PARTITION BY trip_id, n // 400) AS size FROM quiet) q LEFT JOIN anchors a ON a.trip_id = q.trip_id AND a.n_mid = q.n WHERE size >= 11 WINDOW w AS (PARTITION BY q.trip_id, q.n // 400 ORDER BY q.n)""")
+relation("axis_onward", """
+WITH RECURSIVE f AS (
+ SELECT trip_id, seg, j, fx + az*fy - ay*fz AS ux, -az*fx + fy + ax*fz AS uy, ay*fx - ax*fy + fz AS uz FROM turn_rows WHERE j = 0
+ UNION ALL
+ SELECT trip_id, seg, j, gx + az*gy - ay*gz, -az*gx + gy + ax*gz, ay*gx - ax*gy + gz FROM (
+  SELECT r.*, coalesce(r.fx, f.ux) AS gx, coalesce(r.fy, f.uy) AS gy, coalesce(r.fz, f.uz) AS gz FROM f JOIN turn_rows r ON r.trip_id = f.trip_id AND r.seg = f.seg AND r.j = f.j + 1))
+SELECT * FROM f""")
+relation("axis_back", """
+WITH RECURSIVE f AS (
+ SELECT trip_id, seg, j, CAST(NULL AS DOUBLE) AS ux, CAST(NULL AS DOUBLE) AS uy, CAST(NULL AS DOUBLE) AS uz FROM turn_rows WHERE last_row
+ UNION ALL
+ SELECT trip_id, seg, j - 1, gx - bz*gy + "by"*gz, bz*gx + gy - bx*gz, -"by"*gx + bx*gy + gz FROM (
+  SELECT r.*, coalesce(r.fx, f.ux) AS gx, coalesce(r.fy, f.uy) AS gy, coalesce(r.fz, f.uz) AS gz FROM f JOIN turn_rows r ON r.trip_id = f.trip_id AND r.seg = f.seg AND r.j = f.j WHERE r.j > 0))
+SELECT * FROM f""")
+relation("axis_sides", """
+SELECT trip_id, seg, n, t, mark, before_t, after_t, CASE WHEN covered AND n < c_mid THEN cx ELSE coalesce(px, CASE WHEN covered THEN cx END) END AS px, CASE WHEN covered AND n < c_mid THEN cy ELSE coalesce(py, CASE WHEN covered THEN cy END) END AS py,
+  CASE WHEN covered AND n < c_mid THEN cz ELSE coalesce(pz, CASE WHEN covered THEN cz END) END AS pz, coalesce(qx, CASE WHEN covered AND n >= c_mid THEN cx END) AS qx, coalesce(qy, CASE WHEN covered AND n >= c_mid THEN cy END) AS qy, coalesce(qz, CASE WHEN covered AND n >= c_mid THEN cz END) AS qz
+FROM (SELECT r.trip_id, r.seg, r.n, r.t, r.fx IS NOT NULL AS mark, c.fx IS NOT NULL AS covered, c.n_mid AS c_mid, c.fx AS cx, c.fy AS cy, c.fz AS cz,
+   last_value(CASE WHEN r.fx IS NOT NULL THEN r.t END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_t, first_value(CASE WHEN r.fx IS NOT NULL THEN r.t END IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after_t,
+   CASE WHEN NOT r.last_row THEN p.ux/p.size END AS px, CASE WHEN NOT r.last_row THEN p.uy/p.size END AS py, CASE WHEN NOT r.last_row THEN p.uz/p.size END AS pz, q.ux/q.size AS qx, q.uy/q.size AS qy, q.uz/q.size AS qz
+  FROM turn_rows r JOIN (SELECT *, greatest(sqrt(ux*ux + uy*uy + uz*uz), 1e-9) AS size FROM axis_onward) p ON p.trip_id = r.trip_id AND p.seg = r.seg AND p.j = r.j
+  JOIN (SELECT *, greatest(sqrt(ux*ux + uy*uy + uz*uz), 1e-9) AS size FROM axis_back) q ON q.trip_id = r.trip_id AND q.seg = r.seg AND q.j = r.j
+  LEFT JOIN anchors c ON c.trip_id = r.trip_id AND c.n_mid // 400 = r.seg AND r.n >= c.n0 AND r.n < c.n1 WINDOW w AS (PARTITION BY r.trip_id, r.seg ORDER BY r.n))""")
+relation("axis", """
+SELECT trip_id, n, ux/size AS ux, uy/size AS uy, uz/size AS uz FROM (SELECT *, greatest(sqrt(ux*ux + uy*uy + uz*uz), 1e-9) AS size FROM (
+ SELECT trip_id, n, (1 - later)*coalesce(px, 0.0) + later*coalesce(qx, 0.0) AS ux, (1 - later)*coalesce(py, 0.0) + later*coalesce(qy, 0.0) AS uy, (1 - later)*coalesce(pz, 0.0) + later*coalesce(qz, 0.0) AS uz FROM (
+  SELECT *, CASE WHEN px IS NULL THEN 1.0 WHEN qx IS NULL THEN 0.0 WHEN mark OR before_t IS NULL THEN 1.0 WHEN after_t IS NULL THEN 0.0 ELSE (t - before_t)/greatest(after_t - before_t, 1e-9) END AS later
+  FROM axis_sides WHERE px IS NOT NULL OR qx IS NOT NULL)))""")
+relation("signed", """
+SELECT *, sqrt(greatest(0.0, a_horiz*a_horiz - a_long*a_long)) AS a_lat, least(t - pt, rt - t) AS dt_anchor, coalesce(n >= p0 AND n < p1, false) OR coalesce(n >= r0 AND n < r1, false) AS in_anchor FROM (
+ SELECT c.*, c.sx*a.ux + c.sy*a.uy + c.sz*a.uz AS a_long, p.t_mid AS pt, p.n0 AS p0, p.n1 AS p1, r.t_mid AS rt, r.n0 AS r0, r.n1 AS r1 FROM clock_rows c LEFT JOIN axis a ON a.trip_id = c.trip_id AND a.n = c.n
+ ASOF LEFT JOIN anchors p ON p.trip_id = c.trip_id AND p.t_mid <= c.t ASOF LEFT JOIN anchors r ON r.trip_id = c.trip_id AND r.t_mid >= c.t)""")
+relation("scored", "SELECT *, abs(v*radians(yaw_all)) AS lat FROM signed WHERE a_long IS NOT NULL AND NOT handling AND mv > 0.5 AND NOT in_anchor AND abs(dvdt) > 0.0")
+
+
+@query("propagate_axis", "trip_id n a_long:3 a_lat:3", "SELECT * FROM signed WHERE a_long IS NOT NULL")
 def _(w):
     return _split(w).where(F.col("a_long").isNotNull())
 
 
-@query("fusion_scores", "trip_id n_val r_long:3 sign_agree:3")
+@query("fusion_scores", "trip_id n_val r_long:3 sign_agree:3", """
+SELECT trip_id, count(*) AS n_val, CASE WHEN count(*) > 20 THEN corr(a_long, dvdt) END AS r_long, CASE WHEN count(*) > 20 THEN avg(CASE WHEN sign(a_long) = sign(dvdt) THEN 1.0 ELSE 0.0 END) END AS sign_agree FROM scored GROUP BY 1""")
 def _(w):
     return motion.fusion_scores(_split(w), min_a=0.0, min_n=20)
 
 
-@query("drift_bins", "bin_lo_s:0 bin_hi_s:0 n")
+@query("drift_bins", "bin_lo_s:0 bin_hi_s:0 n sign_agree_wmean:3 r_long_wmean:3", """
+SELECT lo AS bin_lo_s, hi AS bin_hi_s, CAST(sum(n) AS BIGINT) AS n, sum(sa*n)/sum(CASE WHEN sa IS NOT NULL THEN n END) AS sign_agree_wmean, sum(r*n)/sum(CASE WHEN r IS NOT NULL THEN n END) AS r_long_wmean FROM (
+ SELECT trip_id, lo, least(hi, 1e6) AS hi, count(*) AS n, avg(CASE WHEN sign(a_long) = sign(dvdt) THEN 1.0 ELSE 0.0 END) AS sa, corr(a_long, dvdt) AS r FROM scored
+ JOIN (VALUES (0.0, 5.0), (5.0, 10.0), (10.0, 20.0), (20.0, 40.0), (40.0, 80.0), (80.0, 1e9)) b(lo, hi) ON dt_anchor >= lo AND dt_anchor < hi GROUP BY 1, 2, 3 HAVING count(*) >= 10) GROUP BY 1, 2""")
 def _(w):
     bins = motion.drift_bins(_split(w), min_a=0.0, min_n=10)
     return motion.weighted_pool(bins, ["bin_lo_s", "bin_hi_s"], ["sign_agree", "r_long"])
 
 
-@query("turn_contrast", "trip_id n_in n_out")
+@query("turn_contrast", "trip_id n_in n_out a_lat_in_turn:3 a_lat_outside:3 n_turns", """
+SELECT * FROM (SELECT trip_id, count(*) FILTER (WHERE inside) AS n_in, count(*) FILTER (WHERE NOT inside) AS n_out, avg(a_lat) FILTER (WHERE inside) AS a_lat_in_turn, avg(a_lat) FILTER (WHERE NOT inside) AS a_lat_outside FROM (
+  SELECT s.trip_id, a_lat, EXISTS (SELECT 1 FROM turned_runs r WHERE r.trip_id = s.trip_id AND s.t BETWEEN r.t_start AND r.t_end) AS inside FROM signed s WHERE a_lat IS NOT NULL AND NOT handling AND v > 3.0) GROUP BY 1)
+JOIN (SELECT trip_id, count(*) AS n_turns FROM turned_runs GROUP BY 1) USING (trip_id) WHERE n_in >= 1 AND n_out >= 1""")
 def _(w):
     turns = motion.turn_events(_gps(w), min_dps=0.5, min_s=2.0)
     return motion.turn_contrast(_split(w), turns, min_n=1)
