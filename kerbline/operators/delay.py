@@ -47,7 +47,7 @@ def merge_close(runs: DataFrame, keys: Sequence[str], merge_m: float = CREEP_MER
     """Join neighbouring runs when the vehicle crept less than ``merge_m`` between them."""
     by = [*keys, "shape_id"]
     grouped = sessions(
-        stage(runs, "runs"), by, ["t_start"], time_slice("t_start", EVENT_SLICE_S),
+        runs, by, ["t_start"], time_slice("t_start", EVENT_SLICE_S),
         lambda prev: F.col("x_start") - prev >= merge_m, F.col("x_end"), "__event",
     )
     return grouped.groupBy(*by, "__event").agg(

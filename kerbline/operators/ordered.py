@@ -212,14 +212,9 @@ def islands(
         F.max(index).alias("__last"),
         *_run_aggs(aggs, F.col(index), F.col(index)),
     ).drop("__run")
-    runs = stage(runs, "runs")
-    touching = scan(
-        runs.withColumnRenamed(SLICE, "__s"),
-        by, ["__first"], F.floor(F.col("__s") / 16), __before=previous(F.col("__last")),
-    )
-    numbered = scan(
-        touching, by, ["__first"], F.floor(F.col("__s") / 16),
-        __run=cum_sum(F.when(F.col("__before") + 1 == F.col("__first"), 0).otherwise(1)),
+    numbered = sessions(
+        runs.withColumnRenamed(SLICE, "__s"), by, ["__first"], F.floor(F.col("__s") / 16),
+        lambda before: before + 1 != F.col("__first"), F.col("__last"), "__run",
     )
     again = {n: (k, F.col(n)) for n, (k, _) in aggs.items()}
     return numbered.groupBy(*by, "__run").agg(
@@ -238,11 +233,49 @@ def sessions(
 ) -> DataFrame:
     """Number the groups that a break between neighbouring rows separates.
 
-    ``breaks`` receives ``value`` of the row before (null on the first row).
+    ``breaks`` receives ``value`` of the row before (null on the first row) and
+    may use all columns. Breaks inside a slice are counted where the slice lies;
+    its first row carries their number and the slice's last value to the key's
+    other slices; null keys are one key. Rows and first rows read one exchange, with all columns of
+    ``df``: select what is needed before. ``order`` must be unique within a key.
+    """
+    by, order = list(by), list(order)
+    start, end = Window.unboundedPreceding, Window.unboundedFollowing
+    inside = Window.partitionBy("__key").orderBy(*order)
+    across = Window.partitionBy(*by).orderBy(F.col("__key")[SLICE])
+
+    def opens() -> Column:
+        return F.when(F.coalesce(breaks(F.col("__prev")), F.lit(False)), 1).otherwise(0)
+
+    seen = _dealt(df, by, slices).select(
+        "*", value.alias("__v"), F.lag(value).over(inside).alias("__prev"), F.row_number().over(inside).alias("__n")
+    ).withColumn("__o", F.when(F.col("__n") > 1, opens()).otherwise(0))
+    local = seen.select(
+        "*", F.sum("__o").over(inside.rowsBetween(start, 0)).alias("__l"), F.sum("__o").over(inside.rowsBetween(start, end)).alias("__total"),
+        F.last("__v").over(inside.rowsBetween(start, end)).alias("__end"),
+    ).where(_every_column(df))
+    heads = local.where(F.col("__n") == 1).withColumn("__prev", F.lag("__end").over(across)).withColumn("__o", opens())
+    carries = heads.select(
+        "__key", (F.sum("__o").over(across.rowsBetween(start, 0)) + F.coalesce(F.sum("__total").over(across.rowsBetween(start, -1)), F.lit(0))).alias("__c")
+    )
+    kept = [c for c in df.columns if c != name]
+    return local.join(carries, "__key").select(*kept, (F.col("__l") + F.col("__c")).alias(name))
+
+
+def _dealt(df: DataFrame, by: Sequence[str], slices: Column) -> DataFrame:
+    """Rows dealt by key and slice. The struct is never null, so a join on it keeps
+    null keys and adds no filter that would tell its two sides apart."""
+    return df.withColumn("__key", F.struct(*by, slices.alias(SLICE))).repartition("__key")
+
+
+def _every_column(df: DataFrame) -> Column:
+    """True on every row, yet it names every column that has a hash.
+
+    Above the windows of two branches it keeps both from pruning what they read,
+    so the exchange below is the same in both and Spark runs it once.
     """
-    seen = scan(df, by, order, slices, __prev=previous(value))
-    opened = F.when(F.coalesce(breaks(F.col("__prev")), F.lit(False)), 1).otherwise(0)
-    return scan(seen, by, order, slices, **{name: cum_sum(opened)}).drop("__prev")
+    named = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+    return F.pmod(F.xxhash64(*named), F.lit(2)) < 2
 
 
 def asof(

@@ -94,3 +94,39 @@ def test_interpolate_clamps(spark):
     right = spark.createDataFrame([("k", 0.0, 0.0), ("k", 5.0, 10.0)], "k string, x double, y double")
     got = ordered.interpolate(left, right, ["k"], "x", ["y"], F.floor(F.col("x") / 2), tie=["y"])
     assert {r.x: r.y for r in got.collect()} == {-1.0: 0.0, 0.0: 0.0, 2.5: 5.0, 5.0: 10.0, 9.0: 10.0}
+
+
+def _ran(df):
+    """Operators of the plan that was run, without those that reuse another's exchange."""
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return plan
+
+
+def test_sessions_read_their_input_once(spark, rows, tmp_path):
+    path = str(tmp_path / "rows")
+    rows.write.parquet(path)
+    df = spark.read.parquet(path)
+    plan = _ran(ordered.sessions(df, ["k"], ["t"], ordered.time_slice("t", 10.0), lambda p: F.col("t") - p > 30, F.col("t"), "no").select("k", "t", "no"))
+    assert plan.count("FileScan parquet") == 1
+    assert plan.count("ReusedExchange") >= 1
+    assert sum("REPARTITION_BY_COL" in line and "ReusedExchange" not in line for line in plan.splitlines()) == 1
+
+
+@pytest.mark.parametrize("width", [1.0, 37.0, 1e9])
+def test_sessions_equal_a_plain_window(rows, width):
+    breaks = lambda p: (p["t"] + 20 < F.col("t")) | (p["f"] != F.col("f"))
+    got = ordered.sessions(rows, ["k"], ["t"], ordered.time_slice("t", width), breaks, F.struct("t", "f"), "no").select("k", "i", "no").collect()
+    w = Window.partitionBy("k").orderBy("t")
+    before = rows.withColumn("p", F.lag(F.struct("t", "f")).over(w))
+    want = before.withColumn("o", F.coalesce(breaks(F.col("p")), F.lit(False)).cast("long")).select("k", "i", F.sum("o").over(w).alias("no")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_sessions_of_an_empty_table_and_null_values(spark, rows):
+    assert ordered.sessions(rows.where("false"), ["k"], ["t"], ordered.time_slice("t"), lambda p: p > 0, F.col("v")).count() == 0
+    got = ordered.sessions(rows, ["k"], ["t"], ordered.time_slice("t", 9.0), lambda p: p > 4, F.col("v"))
+    w = Window.partitionBy("k").orderBy("t")
+    want = rows.withColumn("p", F.lag("v").over(w)).select("k", "i", F.sum(F.coalesce((F.col("p") > 4).cast("long"), F.lit(0))).over(w))
+    assert sorted(map(tuple, got.select("k", "i", "session_no").collect())) == sorted(map(tuple, want.collect()))
