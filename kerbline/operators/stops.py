@@ -63,13 +63,15 @@ def _distinct_places(stops: DataFrame, n: int) -> DataFrame:
 
 
 def _pools(places: DataFrame, size: tuple[float, float], most: int) -> DataFrame:
-    """Stops of each map cell and its eight neighbours as one array, where they are at most ``most``."""
+    """Stops of each map cell and its eight neighbours as one array, where they are at most ``most``; without it where ``__many``."""
     step = F.sequence(F.lit(-1), F.lit(1))
     wide = places.withColumn("__dy", F.explode(step)).withColumn("__dx", F.explode(step)).select(
         F.struct("stop_id", "slat", "slon").alias("__s"), (F.floor(F.col("slat") / size[0]) + F.col("__dy")).alias("__cy"), (F.floor(F.col("slon") / size[1]) + F.col("__dx")).alias("__cx")
     )
-    few = wide.groupBy("__cy", "__cx").count().where(F.col("count") <= most).drop("count")
-    return wide.join(few, ["__cy", "__cx"], "left_semi").groupBy("__cy", "__cx").agg(F.collect_list("__s").alias("__near"))
+    counts = wide.groupBy("__cy", "__cx").count()
+    pools = wide.join(counts.where(F.col("count") <= most), ["__cy", "__cx"], "left_semi").groupBy("__cy", "__cx").agg(F.collect_list("__s").alias("__near"))
+    many = counts.where(F.col("count") > most).select("__cy", "__cx", F.lit(True).alias("__many"))
+    return pools.withColumn("__many", F.lit(False)).unionByName(many, allowMissingColumns=True)
 
 
 def _inside_box() -> Column:
@@ -134,24 +136,38 @@ def _descend(points: DataFrame, places: DataFrame, n: int, key: str, boxed: bool
     return far.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("dist_m", "stop_id"))).where(F.col("rank") <= n).select(key, "rank", "stop_id", "dist_m")
 
 
-def nearest_stops(points: DataFrame, stops: DataFrame, *, n: int = 10, key: str = "point_id") -> DataFrame:
+def nearest_stops(points: DataFrame, stops: DataFrame, *, n: int = 10, key: str = "point_id", max_m: float | None = None) -> DataFrame:
     """The n nearest stops of every point, ranked.
 
     The pool is the stops in a box around the point, or all stops where the box
     holds fewer than n. Cells of growing size, with at most ``POOL`` times n stops
     around each, answer the points that surely have n stops nearer than the border
     of the cells; only the others go on, at last to a pyramid of cells. ``key``
-    is unique; points without a position have no rows.
+    is unique; points without a position have no rows. With ``max_m`` only those of
+    the n that are at most so far are returned; then cells wider than ``max_m``, which
+    the box holds, answer every point but those among too many stops.
     """
     places = stage(_distinct_places(stops, n), "places")
     left, done = points.where("lat is not null and lon is not null").select(key, "lat", "lon"), []
-    far = F.transform("__near", lambda s: F.struct(geo.haversine_m(F.col("lat"), F.col("lon"), s["slat"], s["slon"]).alias("dist_m"), s["stop_id"].alias("stop_id")))
+    pool = F.col("__near")
+    if max_m is not None:
+        # distances are taken only inside a box around the point, a hundredth wider than the reach
+        tall = F.lit(max_m / 110000.0)
+        across = F.cos(F.radians(F.abs("lat") + tall))
+        wide = F.when(across > 0.1, tall / across).otherwise(360.0)
+        pool = F.filter("__near", lambda s: (F.abs(s["slat"] - F.col("lat")) <= tall) & (F.abs(s["slon"] - F.col("lon")) <= wide))
+    far = F.transform(pool, lambda s: F.struct(geo.haversine_m(F.col("lat"), F.col("lon"), s["slat"], s["slon"]).alias("dist_m"), s["stop_id"].alias("stop_id")))
     for size in FINE:
         keyed = left.withColumn("__cy", F.floor(F.col("lat") / size[0])).withColumn("__cx", F.floor(F.col("lon") / size[1]))
         near = salted_left_join(keyed, _pools(places, size, POOL * n), ["__cy", "__cx"], F.col(key))
         reach = F.least(F.lit(size[0] * 110574.0), size[1] * 111320.0 * F.cos(F.radians(F.abs(F.col("lat")) + size[0])))
-        ranked = near.withColumn("__r", F.slice(F.array_sort(far), 1, n))
+        met = far if max_m is None else F.filter(far, lambda s: s["dist_m"] <= max_m)
+        ranked = near.withColumn("__r", F.slice(F.array_sort(met), 1, n))
         sure = (F.size("__r") == n) & (F.get("__r", F.lit(n - 1))["dist_m"] <= reach)
+        if max_m is not None:
+            none = F.array().cast(ranked.schema["__r"].dataType)
+            ranked = ranked.withColumn("__r", F.coalesce("__r", none))
+            sure = sure | (~F.coalesce("__many", F.lit(False)) & (reach * 0.998 >= max_m) & (F.abs("lon") + size[1] < 180))
         step = stage(ranked.select(key, "lat", "lon", F.when(sure, F.col("__r")).alias("__found")), "nearest")
         done.append(step.where(F.col("__found").isNotNull()).select(key, F.posexplode("__found").alias("place", "s")).select(key, (F.col("place") + 1).alias("rank"), "s.stop_id", "s.dist_m"))
         left = step.where(F.col("__found").isNull()).select(key, "lat", "lon")
@@ -159,7 +175,8 @@ def nearest_stops(points: DataFrame, stops: DataFrame, *, n: int = 10, key: str
     full = boxed.where(F.col("rank") == n).select(key)
     rest = left.join(full, key, "left_anti")
     done += [boxed.join(full, key, "left_semi"), _descend(rest, places, n, key, False)]
-    return reduce(DataFrame.unionByName, [d.withColumn("rank", F.col("rank").cast("int")) for d in done])
+    found = reduce(DataFrame.unionByName, [d.withColumn("rank", F.col("rank").cast("int")) for d in done])
+    return found if max_m is None else found.where(F.col("dist_m") <= max_m)
 
 
 def project_on_pattern(points: DataFrame, pattern_lines: DataFrame) -> DataFrame:

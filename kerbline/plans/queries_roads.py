@@ -227,7 +227,7 @@ WITH d AS (SELECT p.event_id AS point_id, s.stop_id, 2*6371000.0*asin(sqrt(pow(s
 r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY dist_m, stop_id) AS rank FROM d)
 SELECT point_id, count(*) AS n FROM r WHERE rank <= 10 AND dist_m <= 140 AND CAST(stop_id AS INT) % 30 <= 15 GROUP BY 1""")
 def _(w):
-    near = stops.nearest_stops(_points(w), derived.stop_places(w.spark, w.sf_dir), n=10)
+    near = stops.nearest_stops(_points(w), derived.stop_places(w.spark, w.sf_dir), n=10, max_m=140.0)
     preds = w.stops.select("stop_id", (F.col("stop_id").cast("int") % 30).alias("eta_min"), F.lit("B1").alias("vehicle_id"))
     return stops.approaching_buses(near, preds, max_m=140.0).groupBy("point_id").agg(F.count(F.lit(1)).alias("n"))
 
