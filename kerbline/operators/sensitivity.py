@@ -5,13 +5,13 @@ The level is one more key column, so all levels run in the same jobs.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.constants import (
-    DOOR_ANY_S, DOOR_MAX_S, DOOR_MIN_S, DOOR_TOL_S, EVENT_MATCH_MIN_OVERLAP, N_LEVELS, POS_TOL_M, SLOW_MPH, SPEED_TOL_MPH,
+    DOOR_ANY_S, DOOR_MAX_S, DOOR_MIN_S, DOOR_TOL_S, EVENT_MATCH_MIN_OVERLAP, MPS_TO_MPH, N_LEVELS, POS_TOL_M, SLOW_MPH, SPEED_TOL_MPH,
 )
 from kerbline.functions import curve
 from kerbline.operators import delay, smooth
@@ -53,31 +53,74 @@ def downsample_ladder(matched: DataFrame, *, levels: int = N_LEVELS, tie: str =
     return timed.withColumn("bandwidth", curve.bandwidth_for_cadence(measured))
 
 
+class Levels(dict):
+    """Products by name, each built when it is first read, so a query writes only what it needs."""
+
+    def __init__(self, builders: dict[str, Callable[[Levels], object]]):
+        super().__init__()
+        self.builders = builders
+
+    def __missing__(self, name: str):
+        self[name] = self.builders[name](self)
+        return self[name]
+
+
 def run_levels(
     ladder: DataFrame, segs: DataFrame, zones: DataFrame, seg_controls: DataFrame, *, min_s: float = 10.0
-) -> dict[str, DataFrame]:
-    """Pieces, samples, events, causes and segment rows of every (trip, level)."""
-    pieces = stage(smooth.smooth_pchip(smooth.on_route_trace(ladder), LEVEL_KEYS, bandwidth="bandwidth"), "level_pieces")
-    samples = stage(smooth.sample_trajectory(pieces, LEVEL_KEYS, rule="whole", floor_zero=True), "level_samples")
-    events = stage(delay.slow_events(samples, LEVEL_KEYS, min_s=min_s), "level_events")
-    rows, named = delay.decompose(pieces, segs, zones, seg_controls, None, LEVEL_KEYS, dt=1.0, min_s=min_s)
-    return {"pieces": pieces, "samples": samples, "events": events, "attributed": named, "rows": stage(rows, "level_rows"),
-            "failures": smooth.rejects(ladder, LEVEL_KEYS)}
+) -> Levels:
+    """Pieces, samples, events, causes and segment rows of every (trip, level).
+
+    Samples have a row for each second of each level, so they are never written: what reads them works on pieces.
+    """
+    return Levels({
+        "pieces": lambda of: stage(smooth.smooth_pchip(smooth.on_route_trace(ladder), LEVEL_KEYS, bandwidth="bandwidth"), "level_pieces"),
+        "samples": lambda of: smooth.sample_trajectory(of["pieces"], LEVEL_KEYS, rule="whole", floor_zero=True),
+        "events": lambda of: stage(delay.curve_slow_events(of["pieces"], LEVEL_KEYS, min_s=min_s, rule="whole", floor_zero=True), "level_events"),
+        "decomposed": lambda of: delay.decompose(of["pieces"], segs, zones, seg_controls, None, LEVEL_KEYS, dt=1.0, min_s=min_s),
+        "attributed": lambda of: of["decomposed"][1],
+        "rows": lambda of: stage(of["decomposed"][0], "level_rows"),
+        "spans": lambda of: stage(common_span(of["pieces"]), "spans"),
+        "failures": lambda of: smooth.rejects(ladder, LEVEL_KEYS),
+    })
+
 
+def _seconds(pieces: DataFrame) -> DataFrame:
+    """Pieces with the whole seconds __a to __b that they own; the seconds of a curve are dealt to its pieces without overlap."""
+    return smooth.owned_grid(pieces, rule="whole")
 
-def common_span(samples: DataFrame) -> DataFrame:
+
+def _place(at: Column, curve_columns: Sequence[str]) -> tuple[Column, Column]:
+    """Position and speed in mph, as in the levels' samples, of the piece with these columns."""
+    piece = (at, *(F.col(c) for c in curve_columns))
+    return curve.hermite(*piece), F.greatest(curve.hermite_speed(*piece) * MPS_TO_MPH, F.lit(0.0))
+
+
+_PIECE = ("t", "x", "m", "t_next", "x_next", "m_next")
+SECONDS_BIN = 600.0
+
+
+def common_span(pieces: DataFrame) -> DataFrame:
     """Whole-second span shared by level 0 and each level: t_lo, t_hi."""
-    spans = samples.groupBy(*LEVEL_KEYS).agg(F.min("i").alias("a"), F.max("i").alias("b"))
+    spans = _seconds(pieces).groupBy(*LEVEL_KEYS).agg(F.min("__a").alias("a"), F.max("__b").alias("b"))
     base = spans.where(F.col("level") == 0).select("trip_id", F.col("a").alias("a0"), F.col("b").alias("b0"))
     return spans.join(base, "trip_id").select(
         *LEVEL_KEYS, F.greatest("a", "a0").alias("t_lo"), F.least("b", "b0").alias("t_hi")
     ).where(F.col("t_hi") > F.col("t_lo"))
 
 
-def grid_components(samples: DataFrame) -> DataFrame:
-    """Position, speed and slow-state agreement with level 0, second by second."""
-    base = samples.where(F.col("level") == 0).select("trip_id", "i", F.col("x").alias("x0"), F.col("v_mph").alias("v0"))
-    both = samples.select(*LEVEL_KEYS, "i", "x", "v_mph").join(base, ["trip_id", "i"])
+def grid_components(pieces: DataFrame) -> DataFrame:
+    """Position, speed and slow-state agreement with level 0, second by second.
+
+    Pieces meet the pieces of level 0 that share seconds with them; the seconds are
+    listed and summed inside the task of the pair.
+    """
+    every = _seconds(pieces).select(*LEVEL_KEYS, "__a", "__b", *_PIECE)
+    base = _seconds(pieces.where(F.col("level") == 0)).select("trip_id", F.col("__a").alias("__a0"), F.col("__b").alias("__b0"), *[F.col(c).alias(f"{c}0") for c in _PIECE])
+    met = overlap_join(every, base, ["trip_id"], ("__a", "__b"), ("__a0", "__b0"), SECONDS_BIN, touching=True)
+    each = met.withColumn("i", F.explode(F.sequence(F.greatest("__a", "__a0"), F.least("__b", "__b0"))))
+    at = F.col("i").cast("double")
+    (x, v_mph), (x0, v0) = _place(at, _PIECE), _place(at, [f"{c}0" for c in _PIECE])
+    both = each.select(*LEVEL_KEYS, "i", x.alias("x"), v_mph.alias("v_mph"), x0.alias("x0"), v0.alias("v0"))
     dx, dv = F.abs(F.col("x") - F.col("x0")), F.abs(F.col("v_mph") - F.col("v0"))
     b, v = F.col("v0") < SLOW_MPH, F.col("v_mph") < SLOW_MPH
 
@@ -179,13 +222,17 @@ def door_intervals(doors: DataFrame, clock: DataFrame, min_s: float, types: Sequ
     )
 
 
-def door_speed_components(samples: DataFrame, spans: DataFrame, doors: DataFrame) -> DataFrame:
+def door_speed_components(pieces: DataFrame, spans: DataFrame, doors: DataFrame) -> DataFrame:
     """Seconds with open doors, and those the curve holds below the slow limit."""
     cut = doors.join(spans, "trip_id").withColumn("__lo", F.greatest("open_s", "t_lo")).withColumn("__hi", F.least("close_s", "t_hi"))
     solid = cut.where(F.col("__hi") - F.col("__lo") >= DOOR_MIN_S)
     first, last = F.ceil("__lo"), F.floor("__hi")
-    each = solid.where(last >= first).withColumn("i", F.explode(F.sequence(first, last))).select(*LEVEL_KEYS, "event_id", "i")
-    sums = each.join(samples.select(*LEVEL_KEYS, "i", "v_mph"), [*LEVEL_KEYS, "i"]).groupBy(*LEVEL_KEYS).agg(
+    open_ = solid.select(*LEVEL_KEYS, first.alias("__first"), last.alias("__last")).where(F.col("__last") >= F.col("__first"))
+    owned = _seconds(pieces).select(*LEVEL_KEYS, "__a", "__b", *_PIECE)
+    met = overlap_join(open_, owned, LEVEL_KEYS, ("__first", "__last"), ("__a", "__b"), SECONDS_BIN, touching=True)
+    each = met.withColumn("i", F.explode(F.sequence(F.greatest("__first", "__a"), F.least("__last", "__b"))))
+    v_mph = _place(F.col("i").cast("double"), _PIECE)[1]
+    sums = each.select(*LEVEL_KEYS, v_mph.alias("v_mph")).groupBy(*LEVEL_KEYS).agg(
         F.count(F.lit(1)).alias("door_sec"), F.sum((F.col("v_mph") < SLOW_MPH).cast("long")).alias("door_slow")
     )
     return spans.select(*LEVEL_KEYS).join(sums, LEVEL_KEYS, "left").na.fill(0)
@@ -227,16 +274,15 @@ def dwell_components(attributed: DataFrame, spans: DataFrame, serviced: DataFram
     return out.na.fill(0)
 
 
-def score(levels: dict[str, DataFrame], doors: DataFrame, clock: DataFrame) -> DataFrame:
+def score(levels: Levels, doors: DataFrame, clock: DataFrame) -> DataFrame:
     """All additive components per (trip, level)."""
-    spans = stage(common_span(levels["samples"]), "spans")
-    named = levels["attributed"]
+    spans, named = levels["spans"], levels["attributed"]
     parts = [
         event_components(levels["events"], spans), attribution_components(attribution_seconds(named, spans), spans),
-        door_speed_components(levels["samples"], spans, door_intervals(doors, clock, DOOR_MIN_S, (3, 4, 5))),
+        door_speed_components(levels["pieces"], spans, door_intervals(doors, clock, DOOR_MIN_S, (3, 4, 5))),
         dwell_components(named, spans, door_intervals(doors, clock, DOOR_MIN_S, (3,)), door_intervals(doors, clock, DOOR_ANY_S, (3, 4, 5))),
     ]
-    out = grid_components(levels["samples"])
+    out = grid_components(levels["pieces"])
     for part in parts:
         out = out.join(stage(part, "components"), LEVEL_KEYS, "left")
     return out
