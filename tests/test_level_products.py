@@ -84,3 +84,11 @@ def test_ladder_writes_no_seconds(spark, monkeypatch):
     assert levels["events"].count() > 0 and levels["spans"].count() == 4
     assert written == ["level_pieces", "level_events", "spans"]
     assert levels["samples"].count() > 1000 and written == ["level_pieces", "level_events", "spans"]
+
+
+def test_shoulders_read_each_sample_once(spark):
+    """Neither end of an event is looked up again in the samples."""
+    samples = smooth.sample_trajectory(pieces(spark), K, rule="whole").select(*K, "i", "t", "v_mph")
+    events = spark.createDataFrame([("A", 0, 1.0, 2.0)], "trip_id string, level int, t_start double, t_end double")
+    plan = delay.loss_shoulders(samples, events, K)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(sequence") <= 4
